@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import binary_output, jaccard, language, mixing, packing, tokens
+from . import binary_output, chat, fingerprint, jaccard, language, media, mixing, packing, tokens, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_url_filter": urls.op2_url_filter,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_language_id": language.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_binary_output": binary_output.op6_binary_output,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_chat_format": chat.op8_chat_format,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
+    "op10_audio_fingerprint": media.op10_audio_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.OP2_SQL, "op8_chat_format": chat.OP8_SQL}
