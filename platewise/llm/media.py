@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-RATE = 4000
-FRAME, HOP = 512, 128
+RATE = 2000
+FRAME, HOP = 512, 64
 #: Frames that the widest filter covers.
 WIDEST = 12
 #: Sixteen filters by rule: kind, first pitch class, height, width in frames.
