@@ -120,7 +120,7 @@ def calorie_target(resting: Column, factor: Column, weight: Column, sex: Column,
     change = F.least(F.greatest(wanted, F.lit(0.0)), F.least(F.lit(1.0), weight * 0.01)) * 7700 / 7
     tdee = resting * factor
     target = F.when(direction == "lose", tdee - change).when(direction == "gain", tdee + change).otherwise(tdee)
-    return F.when(finite(wanted), half_up(F.greatest(target, resting, F.when(sex == "female", 1200.0).otherwise(1500.0))))
+    return F.when(finite(wanted) & resting.isNotNull() & factor.isNotNull(), half_up(F.greatest(target, resting, F.when(sex == "female", 1200.0).otherwise(1500.0))))
 
 
 def split_macros(kcal: Column, weight: Column, direction: Column) -> Column:

@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters that decomposition leaves whole, and what a plain keyboard has for them.
 WHOLE_LETTERS = {"œ": "oe", "æ": "ae", "ß": "ss", "ĳ": "ij", "ø": "o", "ł": "l", "ð": "d"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_any(s: pd.Series) -> pd.Series:
     def fold(x):
         if x is None:
@@ -43,7 +44,7 @@ def fold_name(c: Column) -> Column:
     return F.when(c.rlike("^[\\x00-\\x7F]*$"), F.lower(c)).otherwise(_fold_any(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repair(s: pd.Series) -> pd.Series:
     def repair(x):
         if x is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import COMPOUND_LANGS, depluralize, lexicon, split_compounds
+from .staging import staged
 
 #: Weights of the indexed columns, and the two constants of BM25.
 WEIGHTS = {"name": 5.0, "brand": 1.0, "aliases": 3.0, "extra": 0.0}
@@ -164,23 +165,25 @@ def lenders(served: DataFrame) -> DataFrame:
 def search(queries: DataFrame, foods: DataFrame, served: DataFrame) -> DataFrame:
     """``query_id, place, id, shelf, tier`` for a batch of queries: own table, rescue, borrowed tables, branded filler.
 
-    Three passes over all queries at once: rescue and borrowing only run for the queries that need them. ``served`` lists
+    Three passes over all queries at once, each staged: rescue and borrowing only run for the queries that need them. ``served`` lists
     each source's languages in order. The merge puts native head matches first, then the shelves, each in its order.
     """
-    postings = build_postings(foods)
+    foods, queries = staged(foods, "search-foods"), staged(queries, "search-queries")
+    postings = staged(build_postings(foods), "search-postings")
     own = F.col("f_source") != "off"
     mine = own & ((F.col("source") == "") | (F.col("f_source") == F.col("source")))
     base = queries.withColumn("head", F.lit("")).withColumn("lead_source", F.when(F.col("source").isin(*HEAD_FIRST), F.col("source")).otherwise(""))
-    first = shelf(base, postings, foods, mine)
+    first = staged(shelf(base, postings, foods, mine), "search-first")
     words = lexicon(foods.filter("source <> 'off'").select("source", "lang", F.col("name_folded").alias("folded")), ["source", "lang"])
-    other = rescue(base, first, words)
+    other = staged(rescue(base, first, words), "search-rescue")
     again = base.drop("q", "head", "tokens").join(other, "query_id").withColumn("tokens", F.array("q"))
     second = shelf(again, postings, foods, mine)
     now = base.join(other.select("query_id"), "query_id", "left_anti").unionByName(again)
-    primary = first.join(other.select("query_id"), "query_id", "left_anti").unionByName(second)
+    primary = staged(first.join(other.select("query_id"), "query_id", "left_anti").unionByName(second), "search-primary")
     empty = now.filter("source <> ''").join(primary.select("query_id").distinct(), "query_id", "left_anti")
     lent = lenders(served).groupBy("source").agg(F.collect_set("lender").alias("from"))
     borrowed = shelf(empty.join(lent, "source").withColumn("lead_source", F.lit("")), postings, foods, own & F.array_contains("from", F.col("f_source")))
+    borrowed = staged(borrowed, "search-borrowed")
     generic = primary.withColumn("shelf", F.lit(0)).unionByName(borrowed.withColumn("shelf", F.lit(1)))
     filler = branded_shelf(now, postings, foods).withColumn("shelf", F.lit(2)).withColumn("o1", F.lit(1))
     w = Window.partitionBy("query_id").orderBy("bucket", "shelf", "place")
