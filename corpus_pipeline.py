@@ -36,8 +36,8 @@ def distinct_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by the weights 5, 2, 1 over the sources: a document comes as often as it is taken, or goes."""
-    taken = mix(docs, cycle_weights).filter("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
-    return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    taken = mix(docs, cycle_weights).filter("repeats > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__repeats"))
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
