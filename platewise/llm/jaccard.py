@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import column, staged
 from .graph import components
+from .hashing import SpanHasher, mix64
 from .tokens import of_worker, text_groups
 
 #: Shingles of one batch, and of one bucket, about.
@@ -46,30 +47,11 @@ SEARCH = 4_000_000
 HEAVY_SHARE, HEAVY_LEAST = 1 / 256, 1024
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers with well spread bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Hashes of word shingles, for many texts at once: differences of a polynomial prefix hash over the words' bytes."""
 
-    PRIME = 0x9E3779B97F4A7C15
-
     def __init__(self, words: int = 5) -> None:
-        self.words = words
-        self.table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(self.PRIME))
-        self._grow(1 << 16)
-
-    def _grow(self, n: int) -> None:
-        def powers(x: int) -> np.ndarray:
-            a = np.full(n, x, np.uint64)
-            a[0] = 1
-            return np.cumprod(a, dtype=np.uint64)
-
-        self.power, self.inverse = powers(self.PRIME), powers(pow(self.PRIME, -1, 1 << 64))
+        self.words, self.hasher = words, SpanHasher()
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the sorted distinct hashes of its shingles; all words as one if they are fewer; none without words."""
@@ -79,19 +61,14 @@ class Shingler:
         if not full:
             return [empty] * len(texts)
         data = np.frombuffer(b" ".join(full), np.uint8)
-        if len(data) >= len(self.power):
-            self._grow(2 * len(data))
         gaps = np.flatnonzero(data == 32)
         starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.power[: len(data)], out=prefix[1:])
         n = np.array([c.count(b" ") + 1 for c in full])
         m = np.maximum(1, n - self.words + 1)
         stops = np.cumsum(m)
         first = np.repeat(np.cumsum(n) - n - (stops - m), m) + np.arange(stops[-1])
         last = first + np.repeat(np.minimum(n, self.words) - 1, m)
-        s, e = starts[first], ends[last]
-        hashes = mix64((prefix[e] - prefix[s]) * self.inverse[s] + (e - s).astype(np.uint64))
+        hashes = self.hasher.hashes(data, starts[first], ends[last])
         found = iter([np.unique(x) for x in np.split(hashes, stops[:-1])])
         return [next(found) if c else empty for c in clean]
 

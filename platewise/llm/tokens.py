@@ -1,7 +1,7 @@
 """Operator 3: token counts by heap-and-linked-list byte-pair merging; and encoding with cached chunks for operators 5 and 6.
 
 A text is cut where no piece of the vocabulary can span, so that each part merges on its own; a part's count is its
-initial symbols less its merges, and no ids are made. Counts of parts are kept in a bounded cache per worker process.
+initial symbols less its merges, and no ids are made. Parts are kept by hash in a bounded table of each worker process.
 """
 
 from __future__ import annotations
@@ -16,14 +16,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column
+from .hashing import SpanHasher, SpanTable
 
-#: Entries that a worker's cache holds at most; a full cache is emptied.
-CACHE_ENTRIES = 1_000_000
-#: Longest part (characters) whose count is kept.
-CACHED_CHARS = 64
+#: Parts that a worker's table holds at most; a full table is emptied.
+TABLE_ROWS = 2_000_000
+#: Characters of texts that are handled at once.
+GROUP_CHARS = 1_500_000
 SPACE = "▁"
 
 
+class ChunkTable:
+    """Rows of numbers for the chunks of texts: texts are cut before each space or line feed, equal chunks meet by hash.
+
+    ``make`` gives the rows of chunks that the table lacks. Each text begins with a line feed of its own here, so a chunk
+    is always a space or line feed and what follows it.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[np.ndarray]]) -> None:
+        self.make, self.table, self.hasher = make, SpanTable(TABLE_ROWS), SpanHasher()
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rows one after the other, the length of each chunk's row, and the number of chunks of each text."""
+        parts = [f"\n{t}".encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        starts = np.flatnonzero((data == 32) | (data == 10))
+        ends = np.append(starts[1:], len(data))
+        chunks = np.diff(np.searchsorted(starts, np.cumsum([0, *map(len, parts)])))
+        hashes, checks = self.hasher.hashes(data, starts, ends), self.hasher.checks(data, starts, ends)
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if not (checks == checks[first][back]).all():
+            raise ValueError("two chunks have one hash")
+        places = self.table.find(unique)
+        new = places < 0
+        if new.any() and len(self.table.hash) + int(new.sum()) > self.table.most:
+            self.table.clear()
+            new[:] = True
+        if (~new).any() and not (self.table.check[places[~new]] == checks[first][~new]).all():
+            raise ValueError("two chunks have one hash")
+        if new.any():
+            raw = data.tobytes()
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            self.table.add(unique[new], checks[first[new]], self.make(words))
+            places = self.table.find(unique)
+        out, length = self.table.gather(places[back])
+        return out, length, chunks
+
+
 class PieceCounter:
     """Counts the tokens of a SentencePiece BPE model with identity normalisation.
 
@@ -42,7 +80,7 @@ class PieceCounter:
             raise ValueError("a piece holds a space after another character; words don't merge on their own")
         self.newline_alone = not any("\n" in p for p in pieces if len(p) > 1)
         self.newline = self._symbol("\n")
-        self.caches: list[dict[str, int]] = [{}, {}]
+        self.chunks = ChunkTable(self._rows)
 
     @classmethod
     def from_model(cls, path: str) -> PieceCounter:
@@ -107,48 +145,53 @@ class PieceCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; 0 for null or empty."""
-        if not text:
-            return 0
-        if SPACE in text or "  " in text or not self.newline_alone or text[0] == " " or text[-1] == " ":
-            whole = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-            return sum(self.segment(x) for x in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", whole))
-        plain, spaced = self.caches
-        total = 0
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k or not self.dummy_prefix:
-                first = words[0]
-                words = words[1:]
-                total += self.newline if k else 0
-                if first:
-                    n = plain.get(first)
-                    total += self._new(first, plain, "") if n is None else n
-            counts = list(map(spaced.get, words))
-            if None in counts:
-                counts = [(spaced.get(w) or self._new(w, spaced, SPACE)) if n is None else n for w, n in zip(words, counts, strict=True)]
-            total += sum(counts)
-        return total
-
-    def _new(self, word: str, cache: dict[str, int], lead: str) -> int:
-        last = (lead + word)[-2:]
-        if len(last) == 2 and len(word) > 1 and last not in self.pairs:  # such as a full stop that no piece holds after this letter
-            core = word[:-1]
-            n = cache.get(core)
-            n = (self._new(core, cache, lead) if n is None else n) + self._symbol(word[-1])
-        else:
-            n = self.segment(lead + word)
-        if len(word) <= CACHED_CHARS:
-            if len(cache) >= CACHE_ENTRIES:
-                cache.clear()
-            cache[word] = n
-        return n
+        return self.count_many([text])[0]
+
+    def count_many(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; 0 for null or empty."""
+        out = [0] * len(texts)
+        easy = []
+        for i, t in enumerate(texts):
+            if t and (SPACE in t or "  " in t or not self.newline_alone or not self.dummy_prefix or t[0] in " \n" or t[-1] == " " or "\n " in t):
+                whole = (SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)
+                out[i] = sum(self.segment(x) for x in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", whole))
+            elif t:
+                easy.append(i)
+        if easy:
+            # A text begins with a space of its own instead of the table's line feed.
+            counts, _, chunks = self.chunks.rows([f" {texts[i]}" for i in easy])
+            ends = np.cumsum(chunks)
+            sums = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+            for i, n in zip(easy, (sums[ends] - sums[ends - chunks] - self.newline).tolist(), strict=True):
+                out[i] = n
+        return out
+
+    def _rows(self, chunks: list[str]) -> list[np.ndarray]:
+        """Counts of chunks. What ends in a character that no piece holds after the one before it counts apart."""
+        known: dict[str, int] = {}
+
+        def of(word: str) -> int:
+            n = known.get(word)
+            if n is None:
+                if len(word) > 2 and word[-2:] not in self.pairs:
+                    n = of(word[:-1]) + self._symbol(word[-1]) if len(word) < 200 else self.segment(word)
+                else:
+                    n = self.segment(word)
+                known[word] = n
+            return n
+
+        out = []
+        for c in chunks:
+            word = SPACE + c[1:] if c[0] == " " else c[1:]
+            out.append((self.newline if c[0] == "\n" else 0) + (of(word) if word else 0))
+        return [np.array([n], np.uint32) for n in out]
 
 
 class ChunkEncoder:
-    """Ids of whole texts as a ``tokenizers`` file gives them, from a cache of the ids of chunks.
+    """Ids of whole texts as a ``tokenizers`` file gives them, from a table of the ids of chunks.
 
-    ``keep_spaces`` is for byte-level vocabularies, where a chunk takes the one space before it along; without, white
-    space is dropped by the tokenizer and chunks are what stands between spaces or line feeds. Texts in which such
+    ``keep_spaces`` is for byte-level vocabularies, where a chunk takes the one space or line feed before it along; without,
+    white space is dropped by the tokenizer and chunks are what stands between spaces or line feeds. Texts in which such
     cuts might fall inside one unit of the tokenizer are encoded whole.
     """
 
@@ -165,7 +208,7 @@ class ChunkEncoder:
             raise ValueError("an added token doesn't begin with <|")
         self.stops = {c: self._whole(c) for c in ".,"}
         self.newline = self._whole("\n")
-        self.caches: list[dict[str, bytes]] = [{}, {}]
+        self.chunks = ChunkTable(self._rows)
         # A character that is one token by itself tells chunks apart in a call for many of them.
         self.mark = "\n" if keep_spaces else next(c for c in "|~^_{@#" if len(self._ids(c)) == 1)
         self.mark_id = self._ids(self.mark)[0]
@@ -177,63 +220,71 @@ class ChunkEncoder:
         return np.asarray(self._ids(text), "<u4").tobytes()
 
     def _fill(self, words: set[str], cache: dict[str, bytes], lead: str) -> None:
-        """Encode chunks that the cache lacks, many in one string with a mark between them.
+        """Encode chunks that the table lacks, many in one string with a mark between them.
 
         A full stop or comma after a Latin letter is a unit of its own for these tokenizers, so it is added apart.
         """
         ended = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0250" and w[-2].isalpha()]
         chunks = words.difference(ended)
         chunks.update(c for w in ended if (c := w[:-1]) not in cache)
-        plain = []
-        for c in chunks:
-            if not c or self.mark in c or "<|" in c:  # the last may begin a special string
-                cache[c] = self._whole(lead + c)
-            else:
-                plain.append(c)
-        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        plain = list(chunks)
+        groups, joined = [], []
         glue = self.mark if self.keep_spaces else f" {self.mark} "
-        for some, got in zip(groups, self.tok.encode_batch_fast([glue.join([lead + c for c in g]) for g in groups], add_special_tokens=False), strict=True):
+        for at in range(0, len(plain), 200):
+            g = plain[at : at + 200]
+            text = glue.join([lead + c for c in g])
+            if text.count(self.mark) == len(g) - 1 and "<|" not in text and all(g):  # no mark inside, nor what may begin a special string
+                groups.append(g)
+                joined.append(text)
+            else:
+                for c in g:
+                    cache[c] = self._whole(lead + c)
+        for some, got in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.asarray(got.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            ends = (4 * np.append(np.flatnonzero(ids == self.mark_id), len(ids))).tolist()
             data, begin = ids.tobytes(), 0
             for c, end in zip(some, ends, strict=True):
-                cache[c] = data[4 * begin : 4 * end]
-                begin = end + 1
+                cache[c] = data[begin:end]
+                begin = end + 4
         for w in ended:
             cache[w] = cache[w[:-1]] + self.stops[w[-1]]
 
-    def _look_up(self, lists: list[list[str]], cache: dict[str, bytes], lead: str) -> list[list[bytes]]:
-        """The ids of each chunk of each list."""
-        found = [list(map(cache.get, words)) for words in lists]
-        missing = {w for words, ids in zip(lists, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if missing:
-            if len(cache) + 2 * len(missing) > CACHE_ENTRIES:
-                cache.clear()
-            self._fill(missing, cache, lead)
-            found = [[cache[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(lists, found, strict=True)]
-        return found
+    def _rows(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks."""
+        made: dict[str, bytes] = {}
+        if self.keep_spaces:
+            spaced, first = {c[1:] for c in chunks if c[0] == " "}, {c[1:] for c in chunks if c[0] != " "}
+            heads: dict[str, bytes] = {}
+            self._fill(spaced, made, " ")
+            self._fill(first, heads, "")
+            return [np.frombuffer(made[c[1:]] if c[0] == " " else self.newline + heads[c[1:]], "<u4") for c in chunks]
+        self._fill({c[1:] for c in chunks}, made, "")
+        return [np.frombuffer(made[c[1:]], "<u4") for c in chunks]
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers; nothing for null or empty."""
-        if not self.keep_spaces:
-            lists = self._look_up([t.replace("\n", " ").split(" ") if t else [] for t in texts], self.caches[1], "")
-            yield from map(b"".join, lists)
-            return
-        whole = [bool(t) and ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or any(c in t for c in self.OTHER_SPACES)) for t in texts]
-        lines = [[x.split(" ") for x in t.split("\n")] if t and not w else [] for t, w in zip(texts, whole, strict=True)]
-        heads = self._look_up([[words[0] for words in x] for x in lines], self.caches[0], "")
-        rests = self._look_up([[w for words in x for w in words[1:]] for x in lines], self.caches[1], " ")
-        for t, w, x, head, rest in zip(texts, whole, lines, heads, rests, strict=True):
-            if w:
-                yield self._whole(t)
+        easy, whole = [], set()
+        for i, t in enumerate(texts):
+            if not t:
                 continue
-            parts, at = [], 0
-            for k, words in enumerate(x):
-                if k:
-                    parts.append(self.newline)
-                parts.append(head[k])
-                parts += rest[at : (at := at + len(words) - 1)]
-            yield b"".join(parts)
+            if self.keep_spaces and ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in self.OTHER_SPACES)):
+                whole.add(i)
+            else:
+                easy.append(i)
+        data, at, of = b"", 0, {}
+        if easy:
+            ids, length, chunks = self.chunks.rows([texts[i] for i in easy])
+            sums = np.concatenate(([0], np.cumsum(length)))
+            ends = np.cumsum(chunks)
+            skip = len(self.newline) if self.keep_spaces else 0
+            data = ids.astype("<u4", copy=False).tobytes()
+            of = dict(zip(easy, zip((4 * sums[ends - chunks] + skip).tolist(), (4 * sums[ends]).tolist(), strict=True), strict=True))
+        for i, t in enumerate(texts):
+            if i in whole:
+                yield self._whole(t)
+            else:
+                at, end = of.get(i, (0, 0))
+                yield data[at:end]
 
 
 _MADE: dict[tuple, object] = {}
@@ -253,7 +304,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def text_groups(texts: pd.Series, chars: int = 4_000_000) -> Iterator[slice]:
+def text_groups(texts: pd.Series, chars: int = GROUP_CHARS) -> Iterator[slice]:
     """Slices of a batch with about so many characters each, so that a batch of long texts is handled in parts."""
     start, total = 0, 0
     for i, t in enumerate(texts):
@@ -275,7 +326,8 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", *, id_col:
     def count(batches):
         counter = of_worker(("count", model), lambda: PieceCounter.from_model(tokenizer_path(model)))
         for batch in batches:
-            yield pd.DataFrame({id_col: batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": [counter.count(t) for t in batch["text"]]})
+            counts = [n for some in text_groups(batch["text"]) for n in counter.count_many(batch["text"].iloc[some].tolist())]
+            yield pd.DataFrame({id_col: batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": counts})
 
     text = column(docs, text_col, "string")
     rows = docs.select(column(docs, id_col, "long").alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
