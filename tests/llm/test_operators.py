@@ -1,0 +1,283 @@
+"""Each corpus operator against a brute-force version, an exact round trip or held-out accuracy, with odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from platewise.llm import binary_output, chat, fingerprint, language, media, mixing, packing, tokens, urls
+
+ODD = [
+    None, "", " ", "\n", "a", "a  b", " a", "a b ", "x\n\ny", "a \nb", "▁▁ x", "<s> </s> <unk> <|endoftext|> <|startoftext|>x", "日本語 テキスト", "🎉🎉 é é", "\t\ta\r\n", "<0x0A>\x00", "aaaa" * 300, "it's we'll I'VE",
+    "  　x", "1234567 ....---", "word. Word, word.\nWord", "[INST] ok [/INST]</s>", "ß Σ ΑΣ Σα", "foo;\r\nbar();\r\n", "a\x1cb \x85c", "|| ~ _ |", "€uro 12.50,",
+]
+
+
+def odd_docs(spark):
+    rnd = random.Random(2)
+    alphabet = "ab .\n▁é日🎉\t\r;(){}<|s>/0x,"
+    texts = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(150)] + ["the quick brown fox " * 3000, "the quick"] * 2
+    rows = [(i * 7 % 1001, t, "clash", i) for i, t in enumerate(texts)] + [(None, "no id", "x", 1), (None, None, "x", 2), (5000, "twice", "x", 3), (5000, "twice", "x", 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string, id string, n_tokens int"), [(r[0], r[1]) for r in rows]
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+
+
+# 1 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_mixing_reaches_targets_and_reruns_agree(spark):
+    rnd = random.Random(1)
+    sizes = [(i, rnd.choice(["a", "b", "c", "d", None] + ["a"] * 4), rnd.randint(0, 60)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, s, " ".join(["w"] * n) if n else None) for i, s, n in sizes], "doc_id long, source string, text string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix(docs, mixing.cycle_weights).collect()}
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(2), mixing.cycle_weights).collect()}
+    assert {k: r.taken for k, r in got.items()} == again and len(got) == 3000
+    total = sum(n for _, _, n in sizes)
+    by, target = defaultdict(int), {}
+    for i, s, n in sizes:
+        assert got[i].size == n and got[i].taken == n * got[i].repeats and got[i].repeats <= 3
+        by[s] += got[i].taken
+        target[s] = got[i].target
+    assert sum(target.values()) == pytest.approx(total)
+    assert all(abs(by[s] - target[s]) <= 120 for s in by)
+    assert total - 60 <= sum(by.values()) <= total
+
+
+def test_capped_targets():
+    assert mixing.capped_targets([10, 100, 100], [5, 2, 1], 210, 3) == [30.0, 120.0, 60.0]
+    assert mixing.capped_targets([0, 10], [5, 2], 10, 3) == [0.0, 10.0]
+
+
+def test_mixing_of_nothing(spark):
+    assert mixing.mix(empty_docs(spark), mixing.cycle_weights).count() == 0
+
+
+# 2 -------------------------------------------------------------------------------------------------------------------
+
+
+def brute_verdict(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group(0)
+    path = re.match(r"[^?#]*", rest[len(host) :]).group(0)
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(r), len(r.split("/")[0]), r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return (host, path, max(fits)[2], max(fits)[3]) if fits and host else (host, path, None, "allow")
+
+
+@pytest.mark.parametrize("most_bytes", [urls.MOST_BYTES, 0])
+def test_url_rules(spark, most_bytes):
+    rnd = random.Random(4)
+    hosts = ["example.com", "WWW.Example.com", "a.www.example.com", "x.net", "net", "com", "example.org", "notexample.com", "b.com:80", ""]
+    pages = [(i, f"http{rnd.choice(['', 's'])}://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en', '/en/', '/en/x', '/es/1', '/fr/', '?q=/en/', '#/en/'])}{rnd.choice(['', '?a=b', '#c'])}") for i in range(400)]
+    pages += [(1000, None), (1001, ""), (1002, "example.com/en/"), (1003, "a://b://c/d"), (1, "http://example.com/en/")]
+    df = spark.createDataFrame([(i, u, "h") for i, u in pages], "page_id long, url string, host string")
+    rules = urls.RULES + [("example.com/", "block"), ("example.org/en/x", "block")]
+    got = urls.judge(df, spark.createDataFrame(rules, "rule string, verdict string"), most_bytes=most_bytes)
+    assert Counter(map(tuple, got.collect())) == Counter((i, *brute_verdict(u, rules)) for i, u in pages)
+
+
+def test_cascade_is_exact(spark):
+    rnd = np.random.default_rng(1)
+    h = rnd.integers(-(1 << 63), 1 << 63, (20_000, 2))
+    on = rnd.random(20_000) < 0.1
+    levels = urls.cascade(spark.createDataFrame([(int(a), int(b), bool(c)) for (a, b), c in zip(h, on)], "h1 long, h2 long, on boolean"))
+    assert len(levels) > 1 and (urls.listed(levels, h[:, 0].view(np.uint64), h[:, 1].view(np.uint64)) == on).all()
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(urls.RULES, "rule string, verdict string")).count() == 0
+
+
+# 3, 5, 6 -------------------------------------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
+    docs, rows = odd_docs(spark)
+    got = Counter(map(tuple, tokens.token_counts(docs).collect()))
+    want = [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in rows]
+    assert got == Counter(want)
+    assert tokens.token_counts(empty_docs(spark)).count() == 0
+
+
+def library_ids(name, rows, end):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path(name))
+    return [(i, [*library.encode(t or "", add_special_tokens=False).ids, end]) for i, t in rows]
+
+
+def crc(ids):
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def test_packing_equals_the_library_and_has_no_gaps(spark):
+    docs, rows = odd_docs(spark)
+    got = packing.pack_documents(docs).collect()
+    want = Counter((i, k, at, len(ids[at : at + 4096]), crc(ids[at : at + 4096])) for i, ids in library_ids("word_bpe_49k.json", rows, 1) for k, at in enumerate(range(0, len(ids), 4096)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= -(-sum(r.length for r in got) // 4096) + 2
+    assert packing.pack_documents(empty_docs(spark)).count() == 0
+
+
+def test_pack_lengths_near_the_bound():
+    rnd = np.random.default_rng(0)
+    lengths = np.minimum(4096, np.maximum(1, rnd.lognormal(6.2, 1.2, 20_000))).astype(int)
+    sequence, offset, n = packing.pack_lengths(lengths, 4096)
+    assert n <= 1.01 * -(-lengths.sum() // 4096)
+    assert np.bincount(sequence, lengths, n).max() <= 4096
+    assert packing.pack_lengths(np.array([4096, 4096, 1]), 4096)[2] == 3
+
+
+@pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 24, 32])
+def test_bits_round_trip(width):
+    ids = np.random.default_rng(width).integers(0, 1 << width, 777)
+    data = binary_output.pack_bits(ids, width)
+    assert len(data) == 98 * width and (binary_output.unpack_bits(data, width, 777) == ids).all()
+    assert (binary_output.unpack_bits(data, width, 100, 333) == ids[333:433]).all()
+    assert binary_output.bits_for(50_257) == 16 and binary_output.bits_for(2) == 1
+
+
+def test_written_ids_round_trip(spark, tmp_path):
+    docs, rows = odd_docs(spark)
+    path = f"file://{tmp_path}/ids"
+    binary_output.write_token_ids(docs, path, block_ids=500, parts=4)
+    got = sorted(binary_output.digest_documents(spark, path).collect(), key=lambda r: r.start)
+    want = library_ids("byte_bpe_50k.json", rows, 2)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), crc(x)) for i, x in want)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    names = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert names == sorted(names)
+    back = {r.doc_id: r.ids for r in binary_output.read_documents(spark, path).collect()}
+    assert zlib.crc32(back[5000]) == crc(dict(want)[5000])
+    binary_output.write_token_ids(empty_docs(spark), f"{path}-none")
+    assert binary_output.digest_documents(spark, f"{path}-none").count() == 0
+
+
+# 4 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learned(docs)
+    got = language.identify(docs.select("doc_id", "lang", "text", language.held_out(F.col("doc_id")).alias("held_out")), model, keep=["doc_id", "lang", "held_out"]).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 150 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None, 0), (2, "", 1), (3, "123 !!", 2), (4, "The house and the garden of the king", 3)], "doc_id long, text string, score int")
+    out = {r.doc_id: r for r in language.identify(odd, model).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and out[1].score == 0.0 and out[4].lang_pred != "und"
+    assert [language.held_out(F.lit(x)) is not None for x in (1,)] and zlib.crc32(b"7") % 4 == spark.range(7, 8).select((F.crc32(F.col("id").cast("string")) % 4).alias("m")).first().m
+    nothing = language.learned(empty_docs(spark))
+    assert [r.lang_pred for r in language.identify(odd, nothing).collect()] == ["und"] * 4
+
+
+def test_codewords_are_apart():
+    assert language.codewords(4).shape == (4, 7)
+    for k in (2, 3, 5, 9, 30):
+        code = language.codewords(k)
+        assert min((code[i] != code[j]).sum() for i in range(k) for j in range(i)) >= 1
+
+
+# 8 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_format_round_trip(spark):
+    hard = "</s>[INST] ok [/INST] <|im_end|><|im_start|>user<|im_sep|> <\u2060|im_end|> <<SYS>> <\u2060\u2060s> \\ \n"
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", hard), (1, 2, "assistant", hard * 2), (1, 3, "assistant", None), (2, 0, "assistant", "🎉 é"), (2, 0, "assistant", "🎉 é"), (3, 1, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y")]
+    df = spark.createDataFrame([(*r, "q") for r in rows], "conv_id long, turn long, role string, text string, node string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_trees(chat.conversation_messages(df))).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort(key=lambda x: x[0])
+        said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        learned = "".join(text for _, role, text in turns if role == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert chat.digest(chat.format_trees(chat.conversation_messages(df.limit(0)))).count() == 0
+
+
+def test_branches_are_ranked(spark):
+    rows = [(1, 1, None, 0.5), (1, 2, 1, 0.9), (1, 3, 1, 0.1), (1, 4, 2, 0.0), (1, 5, 3, 1.0), (1, 6, 3, None), (2, 1, None, 0.0)]
+    tree = spark.createDataFrame(rows, "tree long, node int, parent int, score double")
+    got = {(r.tree, r.leaf): (r.path, round(r.score, 6)) for r in chat.branches(tree).collect()}
+    assert got == {(1, 4): ([1, 2, 4], 0.466667), (1, 5): ([1, 3, 5], 0.533333), (1, 6): ([1, 3, 6], 0.2), (2, 1): ([1], 0.0)}
+    said = tree.withColumn("role", F.lit("user")).withColumn("text", F.col("node").cast("string"))
+    assert sorted((r.tree, r.rank, r.leaf) for r in chat.format_trees(said, per_tree=2).collect()) == [(1, 1, 5), (1, 2, 4), (2, 1, 1)]
+
+
+# 9 -------------------------------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text.lower()) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_fingerprints_against_true_likeness(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 60)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(100_001, None), (100_002, ""), (100_003, "one two"), (100_004, "one two"), (100_005, "é🎉日")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, next string").repartition(3)
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    errors = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for near, other in ((got[i].near_edited, edited), (got[i].near_next, after)):
+            a, b = shingles(t), shingles(other)
+            errors.append(near - (len(a & b) / len(a | b) if a | b else 1.0))
+    assert np.sqrt(np.mean(np.square(errors))) < 0.035 and abs(np.mean(errors)) < 0.01 and max(map(abs, errors)) < 0.15
+    assert got[100_003].fingerprint == got[100_004].fingerprint != got[100_005].fingerprint
+    assert fingerprint.edited_fingerprints(docs.limit(0)).count() == 0
+    one = fingerprint.edited_fingerprints(docs.filter("doc_id = 100003")).first()
+    assert one.near_next == 1.0
+    assert fingerprint.edited_fingerprints(docs.filter("doc_id >= 100003").withColumn("doc_id", F.when(F.col("doc_id") > 100_003, F.col("doc_id")))).count() == 3
+
+
+# 10 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_audio_aligns_with_its_excerpt(spark):
+    rnd = np.random.default_rng(3)
+    vectors = [rnd.normal(0, 1, 64) for _ in range(30)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(100, [float(x) for x in vectors[0]]), (101, None), (102, []), (103, [0.0] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    prints = media.classes(media.fingerprint_media(media.recordings(df), id_col="vec_id"))
+    by = {r.id: r for r in prints.collect()}
+    assert by[100].class_id == 0 and by[101].prints == [] and len(by) == 34
+    asked = media.fingerprint_media(media.recordings(df.filter("vec_id < 10"), again=True), id_col="vec_id")
+    found = media.align(asked, prints.filter("id = class_id").select("id", "prints")).collect()
+    assert {(r.query_id, r.id) for r in found} == {(i, i) for i in range(10)}
+    third = (len(media.melody(vectors[0])) // 2 // 3 + 37) / media.HOP
+    assert all(abs(r.offset - third) <= 1 and r.bit_error < 0.1 for r in found)
+
+
+def test_fingerprint_of_odd_audio():
+    assert len(media.fingerprint(None)) == len(media.fingerprint(b"")) == len(media.fingerprint(b"\0\0\0")) == 0
+    assert len(set(media.fingerprint(b"\0" * 40_000))) == 1
