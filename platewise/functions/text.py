@@ -32,7 +32,7 @@ def fold_latin(c: Column) -> Column:
     """:func:`fold_name` for texts of ASCII and Latin letters with marks, without Python."""
     out = F.translate(c, _FROM, _TO)
     for a, b in WHOLE_LETTERS.items():
-        out = F.regexp_replace(out, f"[{a}{a.upper()}]" if len(a.upper()) == 1 else a, b)
+        out = F.regexp_replace(out, f"[{a}{a.upper()}]" if len(a.upper()) == 1 else f"[{a}ẞ]", b)
     return F.lower(out)
 
 
@@ -114,12 +114,11 @@ def british_name(c: Column, terms: tuple[tuple[str, str], ...] = BRITISH) -> Col
         known = F.lit(True)
         for w in gb.lower().split():
             known = known & lower.contains(w)
-        head, tail = us[0], us[1:]
-        new = F.regexp_replace(out, rf"\b{head.upper()}(?i:{tail})\b", gb[0].upper() + gb[1:])
-        new = F.regexp_replace(new, rf"\b{head.lower()}(?i:{tail})\b", gb)
-        out = F.when(lower.rlike(rf"\b{us.lower()}\b") & ~known, new).otherwise(out)
+        # One expression on the name so far: a term that is known replaces a pattern that fits nowhere.
+        for first, to in ((us[0].upper(), gb[0].upper() + gb[1:]), (us[0].lower(), gb)):
+            out = F.regexp_replace(out, F.when(known, "(?!)").otherwise(rf"\b{first}(?i:{us[1:]})\b"), F.lit(to))
     out = clean_name(out, repair=False)
-    return F.when(out != c, out)
+    return F.nullif(out, c)
 
 
 def query_tokens(folded: Column) -> Column:

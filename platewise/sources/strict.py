@@ -30,7 +30,7 @@ def load_branded(spark: SparkSession, path: str, codes: Column, parts: int | Non
         raise ContractError(f"missing {missing}")
     at = {c: head.index(c) for c in OFF_COLUMNS}
     rows = lines.filter("ord > 0" if not path.endswith(".gz") else "ord <> 0").filter(F.col("value") != "\t".join(head))
-    rows = rows.repartition(parts) if parts else rows.repartition()
+    rows = rows.repartition(parts) if parts else rows.hint("rebalance")
     cells = rows.withColumn("cells", F.split("value", "\t")).select("ord", (F.size("cells") <= max(at.values())).alias("short"), *[F.get("cells", F.lit(i)).alias(c) for c, i in at.items()])
     code = F.trim("code")
     num = {"kcal": "energy-kcal_100g", "protein": "proteins_100g", "fat": "fat_100g", "carbs": "carbohydrates_100g", "fibre": "fiber_100g", "sugar": "sugars_100g", "saturated": "saturated-fat_100g", "sodium": "sodium_100g"}
