@@ -378,3 +378,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` that link at Jaccard 0.8 over shingles of five words."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP7_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, root) as (select a, a from e union select e.b, r.root from r join e on r.doc_id = e.a where r.root < e.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.root), d.doc_id)) as component_id from documents d left join n using (doc_id) left join r on r.doc_id = d.doc_id group by d.doc_id, n.n
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_audio_fingerprint": media.op10_audio_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.OP2_SQL, "op8_chat_format": chat.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.OP2_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op8_chat_format": chat.OP8_SQL}

@@ -188,7 +188,7 @@ def test_language_id_on_held_out_documents(spark):
     odd = spark.createDataFrame([(1, None, 0), (2, "", 1), (3, "123 !!", 2), (4, "The house and the garden of the king", 3)], "doc_id long, text string, score int")
     out = {r.doc_id: r for r in language.identify(odd, model).collect()}
     assert [out[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and out[1].score == 0.0 and out[4].lang_pred != "und"
-    assert [language.held_out(F.lit(x)) is not None for x in (1,)] and zlib.crc32(b"7") % 4 == spark.range(7, 8).select((F.crc32(F.col("id").cast("string")) % 4).alias("m")).first().m
+    assert zlib.crc32(b"7") % 4 == spark.range(7, 8).select((F.crc32(F.col("id").cast("string")) % 4).alias("m")).first().m
     nothing = language.learned(empty_docs(spark))
     assert [r.lang_pred for r in language.identify(odd, nothing).collect()] == ["und"] * 4
 
