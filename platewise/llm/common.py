@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: One word of a text: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of whole texts that go to a Python worker at once: texts may be long, and workers share the executor's memory.
+TEXT_ROWS = 1_000
 #: Whole-table jobs aim at this many rows of narrow data in one task.
 ROWS_PER_TASK = 250_000
 
@@ -34,6 +36,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Have rows with whole texts go to Python workers in small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """A column by its exact name, even among others that differ by case or contain dots, or null if absent."""
     if name in df.columns:

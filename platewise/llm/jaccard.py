@@ -2,7 +2,7 @@
 
 A document is its set of distinct word shingles; two link when their sets' Jaccard similarity reaches a threshold.
 
-1. Each task turns runs of documents ("batches" of about a million shingles) into sets of 64-bit hashes. Shingles that
+1. Each task turns runs of documents ("batches" of about half a million shingles) into sets of 64-bit hashes. Shingles that
    a share of all documents hold ("heavy") are found first: batches report those frequent in them, and their sums
    bound how many there can be, whatever the number of documents. Heavy shingles rank last and are never gathered.
 2. All other shingles go to buckets, by hash, as packed arrays that name the batch and the document's place in it. A
@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, staged
+from .common import column, small_batches, staged
 from .graph import components
 from .hashing import SpanHasher, mix64
 from .tokens import of_worker, text_groups
 
 #: Shingles of one batch, and of one bucket, about.
-BATCH = 1_000_000
-BUCKET = 3_000_000
+BATCH = 500_000
+BUCKET = 1_500_000
 #: Shingles that one search task holds, about.
 SEARCH = 4_000_000
 #: A shingle is heavy from this share of the documents on (half of it by the batches' sums), and this number.
@@ -81,7 +81,7 @@ def _batches(frames: Iterator[pd.DataFrame], words: int, batch: int) -> Iterator
     held = 0
     for frame in frames:
         keys = frame["id"].astype("Int64")
-        for some in text_groups(frame["text"], 1_000_000):
+        for some in text_groups(frame["text"], 500_000):
             for key, s in zip(keys.iloc[some].tolist(), shingler.sets(frame["text"].iloc[some].tolist()), strict=True):
                 ids.append(None if key is pd.NA else key)
                 sets.append(s)
@@ -365,6 +365,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that links reach. Without words, or for null, the set is empty and links with nothing, so that the component is the
     document itself. Repeated rows are in one component; rows of null id count but never name one.
     """
+    small_batches(docs)
     rows = docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text"))
     sets = _sets(rows, words, threshold, batch, bucket, *heavy)
     classes = sets.filter(F.col("rare").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.first("rare").alias("rare"))

@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, small_batches
 from .hashing import SpanHasher, SpanTable
 
 #: Parts that a worker's table holds at most; a full table is emptied.
-TABLE_ROWS = 2_000_000
+TABLE_ROWS = 1_000_000
 #: Characters of texts that are handled at once.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 700_000
 SPACE = "▁"
 
 
@@ -291,8 +291,9 @@ _MADE: dict[tuple, object] = {}
 
 
 def of_worker(key: tuple, make: Callable[[], object]) -> object:
-    """One object per worker process, made at first use and kept for later tasks."""
+    """An object of the worker process, made at first use and kept for later tasks until another operator needs its own."""
     if key not in _MADE:
+        _MADE.clear()
         _MADE[key] = make()
     return _MADE[key]
 
@@ -329,6 +330,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", *, id_col:
             counts = [n for some in text_groups(batch["text"]) for n in counter.count_many(batch["text"].iloc[some].tolist())]
             yield pd.DataFrame({id_col: batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": counts})
 
+    small_batches(docs)
     text = column(docs, text_col, "string")
     rows = docs.select(column(docs, id_col, "long").alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
     out = rows.mapInPandas(count, f"`{id_col}` long, n_bytes long, n_tokens long")
