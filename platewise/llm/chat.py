@@ -1,7 +1,7 @@
 """Operator 8: chat formatting of reply trees. DataFrame functions only.
 
-Messages point to the message that they answer. Iterative self-joins walk from the roots to the leaves, one level a
-round, and give every branch; branches are ranked within their tree by the mean score of their messages, and each chosen
+Messages point to the message that they answer. Iterative self-joins, which double the distance they reach each round,
+give every path from root to leaf; these branches are ranked within their tree by the mean score of their messages, and each chosen
 one becomes a single conversation. The template marks turns with control strings. Any control string inside a role or
 text gets a mark (U+2060) after its first character, one more if marks are there already, so that no text can be taken
 for a turn and the change can be taken back.
@@ -47,30 +47,43 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def branches(messages: DataFrame, *, max_rounds: int = 100_000) -> DataFrame:
-    """``tree, leaf, depth, path, score``: every path from a root to a leaf, as an array of message numbers.
+def branch_steps(messages: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+    """``tree, leaf, node, up``: every message on the path from a root to a leaf, ``up`` steps above the leaf.
 
-    ``messages`` has ``tree, node, parent, score`` with nodes unique within a tree; a root's parent is null. Each round
-    joins the open paths with the answers to their last messages, by tree and message; paths end where there is none.
-    Messages whose ancestors are missing are not reached. A null score counts as 0.
+    ``messages`` has ``tree, node, parent`` with nodes unique within a tree; a root's parent is null. Self-joins of the
+    table of answers double the distance that they reach: after k of them each message knows its ancestor 2**k above, so
+    the rounds grow with the logarithm of the deepest path. Then each leaf's path is laid out from the longest jump to
+    the shortest; rows are as many as messages on all paths. Messages whose ancestors are missing are not reached; answers
+    that go in a circle are refused.
     """
-    links = staged(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-links")
-    parents = links.filter("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(True).alias("inner")).distinct()
-    nodes = staged(_join(links, parents, ["tree", "node"], "left").withColumn("inner", F.coalesce("inner", F.lit(False))), "chat-nodes")
-    replies = nodes.filter("parent is not null").select("tree", F.col("parent").alias("last"), "node", F.col("score").alias("more"), F.col("inner").alias("goes_on"))
-    front = nodes.filter("parent is null").select("tree", F.col("node").alias("last"), F.array("node").alias("path"), F.col("score").alias("total"), F.col("inner"))
-    done = []
-    for _ in range(max_rounds):
-        front = staged(front, "chat-front")
-        done.append(front.filter("not inner"))
-        front = front.filter("inner")
-        if front.select(F.lit(1)).limit(1).count() == 0:
+    links = staged(messages.select("tree", "node", "parent"), "chat-links")
+    jumps = []
+    now = links.filter("parent is not null").select("tree", "node", F.col("parent").alias("to"))
+    while True:
+        now = staged(now, "chat-jumps")
+        if now.select(F.lit(1)).limit(1).count() == 0:
             break
-        front = _join(front, replies, ["tree", "last"]).select("tree", F.col("node").alias("last"), F.concat("path", F.array("node")).alias("path"), (F.col("total") + F.col("more")).alias("total"), F.col("goes_on").alias("inner"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out.select("tree", F.col("last").alias("leaf"), F.size("path").alias("depth"), "path", (F.col("total") / F.size("path")).alias("score"))
+        if len(jumps) == max_rounds:
+            raise ValueError("answers go in a circle")
+        jumps.append(now)
+        now = _join(now, now.select("tree", F.col("node").alias("to"), F.col("to").alias("next")), ["tree", "to"]).select("tree", "node", F.col("next").alias("to"))
+    answered = links.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    steps = _join(links, answered, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(jumps))):
+        steps = staged(steps, "chat-steps")
+        steps = steps.union(_join(steps, jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), F.col("up") + (1 << k)))
+    steps = staged(steps, "chat-steps")
+    # The top of a whole path is a root.
+    roots = links.filter("parent is null").select("tree", "node", F.lit(True).alias("root"))
+    whole = _join(steps, roots, ["tree", "node"]).select("tree", "leaf")
+    return _join(steps, whole, ["tree", "leaf"], "left_semi")
+
+
+def rank_branches(messages: DataFrame, steps: DataFrame) -> DataFrame:
+    """``tree, leaf, depth, score, rank`` of each path: by the mean score of its messages (null counts as 0), then the leaf."""
+    scored = _join(steps, messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
+    return scored.groupBy("tree", "leaf").agg(F.count("*").alias("depth"), F.avg("score").alias("score")).withColumn("rank", F.row_number().over(best))
 
 
 def format_trees(messages: DataFrame, *, per_tree: int = 1, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -80,9 +93,9 @@ def format_trees(messages: DataFrame, *, per_tree: int = 1, loss_roles: tuple[st
     the leaf's number. ``loss`` holds start (from 1) and length, in characters of ``formatted``, of each text whose role is
     in ``loss_roles``. Rows of a null tree form one tree.
     """
-    rank = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = branches(messages).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_tree)
-    steps = chosen.select("tree", "leaf", "rank", "score", F.posexplode("path").alias("at", "node"))
+    paths = branch_steps(messages)
+    chosen = rank_branches(messages, paths).filter(F.col("rank") <= per_tree)
+    steps = _join(paths, chosen, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", (-F.col("up")).alias("at"), "node")
     said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turn = F.struct("at", (F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE))).alias("head"), escape(F.col("text")).alias("body"), F.col("role").isin(*loss_roles).alias("learn"))
     turns = _join(steps, said, ["tree", "node"]).groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

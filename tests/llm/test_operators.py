@@ -223,10 +223,18 @@ def test_chat_format_round_trip(spark):
 def test_branches_are_ranked(spark):
     rows = [(1, 1, None, 0.5), (1, 2, 1, 0.9), (1, 3, 1, 0.1), (1, 4, 2, 0.0), (1, 5, 3, 1.0), (1, 6, 3, None), (2, 1, None, 0.0)]
     tree = spark.createDataFrame(rows, "tree long, node int, parent int, score double")
-    got = {(r.tree, r.leaf): (r.path, round(r.score, 6)) for r in chat.branches(tree).collect()}
-    assert got == {(1, 4): ([1, 2, 4], 0.466667), (1, 5): ([1, 3, 5], 0.533333), (1, 6): ([1, 3, 6], 0.2), (2, 1): ([1], 0.0)}
+    steps = chat.branch_steps(tree)
+    paths = defaultdict(list)
+    for r in sorted(steps.collect(), key=lambda r: -r.up):
+        paths[r.tree, r.leaf].append(r.node)
+    scores = {(r.tree, r.leaf): round(r.score, 6) for r in chat.rank_branches(tree, steps).collect()}
+    assert paths == {(1, 4): [1, 2, 4], (1, 5): [1, 3, 5], (1, 6): [1, 3, 6], (2, 1): [1]} and scores == {(1, 4): 0.466667, (1, 5): 0.533333, (1, 6): 0.2, (2, 1): 0.0}
     said = tree.withColumn("role", F.lit("user")).withColumn("text", F.col("node").cast("string"))
     assert sorted((r.tree, r.rank, r.leaf) for r in chat.format_trees(said, per_tree=2).collect()) == [(1, 1, 5), (1, 2, 4), (2, 1, 1)]
+    deep = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(100)] + [(2, 5, 4), (3, 1, 2), (3, 2, None)], "tree long, node int, parent int")
+    assert Counter((r.tree, r.leaf) for r in chat.branch_steps(deep).collect()) == {(1, 99): 100, (3, 1): 2}
+    with pytest.raises(ValueError, match="circle"):
+        chat.branch_steps(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "tree long, node int, parent int"), max_rounds=4)
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------
