@@ -16,6 +16,15 @@ from platewise.llm.mixing import cycle_weights, mix
 from platewise.llm.packing import pack_documents
 
 
+#: A number of each row's own, while a stage works.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with ``ROW``, staged, so that a row has one number however often it is read."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without text or any letter go. Learned from the labelled documents of the input."""
     return identify(docs, learned(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
@@ -35,9 +44,10 @@ def distinct_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by the weights 5, 2, 1 over the sources: a document comes as often as it is taken, or goes."""
-    taken = mix(docs, cycle_weights).filter("repeats > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__repeats"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    """The mix by the weights 5, 2, 1 over the sources: each row comes as often as it is taken, or goes, whatever its id."""
+    rows = keyed(docs, "mixing")
+    taken = mix(rows, cycle_weights, key_col=ROW).filter("repeats > 0").select(F.col("row_key").alias(ROW), F.col("repeats").alias("__repeats"))
+    return rows.join(taken, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ def mix(
     source_col: str = "source",
     size: Column | None = None,
     text_col: str = "text",
+    key_col: str | None = None,
     budget: float | None = None,
     max_repeats: int = 3,
     seed: int = 17,
@@ -58,13 +59,17 @@ def mix(
     default: all) is shared by weight under the cap of ``max_repeats`` times a source's size. ``repeats`` is how often
     the document is in the mix, ``taken`` is ``repeats * size``. Sources are counted on the driver: one row for each
     source, the only thing gathered. Documents without words, and those of null id, are kept with what they have:
-    size 0 is taken 0 times. Ties in the shuffled order (rows with one id, size and hash) are alike, so reruns agree.
+    size 0 is taken 0 times. ``row_key`` tells rows apart: the column ``key_col`` (long, another for each row), or a number
+    made here. Rows without an id are shuffled by their texts. Ties in the shuffled order (rows with one id, size and
+    text) are alike, so reruns agree.
     """
     spark = docs.sparkSession
     rows = docs.select(
         column(docs, id_col, "long").alias("doc_id"),
         column(docs, source_col, "string").alias("source"),
         (word_count(column(docs, text_col, "string")) if size is None else size.cast("long")).alias("size"),
+        F.xxhash64(column(docs, text_col, "string")).alias("mark"),
+        *([] if key_col is None else [column(docs, key_col, "long").alias("tie")]),
     )
     rows = staged(rows, "mix-sizes")
     totals = sorted(((r["source"], r["s"] or 0, r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
@@ -76,11 +81,12 @@ def mix(
     parts = max(1, n_rows // ROWS_PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
     queue = (
         rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"]), "left").drop(table["source"])
-        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-        .withColumn("tie", F.monotonically_increasing_id())
+        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("mark"))))
     )
+    if key_col is None:
+        queue = queue.withColumn("tie", F.monotonically_increasing_id())
     # One running total over all sources in a row; what stands before a source's first document is the sum of the sources before it.
-    queue = running_total(queue, ["rank", "h", "doc_id", "tie"], "size", "before", "mix-queue", parts)
+    queue = running_total(queue, ["rank", "h", "doc_id", "mark", "tie"], "size", "before", "mix-queue", parts)
     first, at = [], 0
     for i, n in enumerate(sizes):
         first.append((i, at))
@@ -93,9 +99,9 @@ def mix(
         queue.filter((F.col("size") > 0) & (F.col("target") > 0))
         .withColumn("round", F.explode(F.sequence(F.lit(0), rounds)))
         .withColumn("finish", (F.col("round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))
-        .select("tie", "round", "size", "finish", "rank", "h")
+        .select("tie", "round", "size", "finish", "rank", "h", "mark")
     )
-    ordered = running_total(copies, ["finish", "rank", "h", "tie", "round"], "size", "sent", "mix-order", parts)
+    ordered = running_total(copies, ["finish", "rank", "h", "mark", "tie", "round"], "size", "sent", "mix-order", parts)
     repeats = ordered.filter(F.col("sent") + F.col("size") <= F.lit(total)).groupBy("tie").agg(F.count("*").cast("int").alias("repeats"))
     return (
         queue.join(repeats, "tie", "left")

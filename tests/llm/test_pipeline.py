@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from tests_support import classes
 
 import corpus_pipeline as pipeline
+from platewise.llm.mixing import capped_targets
 
 
 def test_stages_in_order(spark):
@@ -34,3 +35,29 @@ def test_stages_in_order(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_mixing_decides_by_row(spark):
+    rows = []
+    for i in range(900):
+        source = f"src{i % 3}"
+        rows.append((source, None if i % 9 < 3 else 7 if i % 9 < 5 else i, f"t{i} " + "word " * (i * 7 % 30), "en", i))
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string, lang string, n_chars int").repartition(3)
+    mixed = pipeline.mixing_stage(spark, docs, "")
+    assert mixed.columns == docs.columns
+    copies = Counter(tuple(r) for r in mixed.collect())
+    assert set(copies) <= set(rows) and max(copies.values()) <= 3
+    have, got = Counter(), Counter()
+    for r in rows:
+        have[r[0]] += len(r[2].split())
+        got[r[0]] += len(r[2].split()) * copies[r]
+    names = sorted(have)
+    targets = capped_targets([have[s] for s in names], [5.0, 2.0, 1.0], sum(have.values()), 3)
+    assert sum(got.values()) <= sum(have.values())
+    for s, target in zip(names, targets, strict=True):
+        assert abs(got[s] - target) <= 60
+    # In each source a row comes as often as any other, or once more or less; rows of null or repeated id among them too.
+    for s in names:
+        for some in ([r for r in rows if r[0] == s and r[1] is None], [r for r in rows if r[0] == s and r[1] == 7], [r for r in rows if r[0] == s and r[1] not in (None, 7)]):
+            n = [copies[r] for r in some]
+            assert not n or max(n) - min(n) <= 1
