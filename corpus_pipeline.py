@@ -6,7 +6,7 @@ packed pieces. A document that the mix repeats is packed as often, so its rows r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm.common import staged
@@ -31,16 +31,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: the one of smallest id. Documents without words are kept as they are."""
-    classes = staged(jaccard_classes(docs), "distinct")
-    keep = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    found = docs.join(keep, "doc_id", "left_semi")
-    # Rows that share the kept id: one of them stays.
-    again = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = found.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    nameless = docs.filter("doc_id is null")
-    return found.join(again, "doc_id", "left_anti").union(repeated.select(*docs.columns)).union(nameless).select(*docs.columns)
+    """One row of each group that links connect: the one of smallest id, nulls last, whatever ids the rows share.
+
+    Rows of equal id, or all without one, are in the order of a hash of the text. Rows without words are kept as they are.
+    """
+    rows = keyed(docs, "distinct")
+    # The operator's id is the row's own number here, so that a component names the class of a row.
+    classes = jaccard_classes(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__class"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(ROW).alias("row"))
+    least = rows.select(ROW, order.alias("__order")).join(classes, ROW).groupBy("__class").agg(F.min("__order").alias("__order"))
+    return rows.join(least.select(F.col("__order.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

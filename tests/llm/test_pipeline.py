@@ -37,6 +37,27 @@ def test_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
 
+def test_distinct_decides_by_row(spark):
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(40))
+
+    rows = [
+        ("a", 11, text(1)), ("b", 5, text(1) + " end"), ("c", None, text(1)),  # one class: b has the least id
+        ("d", None, text(2)), ("e", None, text(2)), ("f", None, text(3)),  # copies without an id; f is alone
+        ("g", 20, text(4)), ("h", 20, text(5)),  # one id, different texts
+        ("i", 30, text(6)), ("j", 40, text(6) + " end"), ("k", 40, text(7)),  # j is a copy, k shares its id
+        ("l", 20, text(4)), ("m", None, None), ("n", None, " "), ("o", 50, ""), ("p", 50, ""),  # without words: kept
+    ]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3)
+    one = pipeline.distinct_stage(spark, docs, "")
+    assert one.columns == docs.columns
+    got = one.collect()
+    assert all(tuple(r) in rows for r in got)
+    names = sorted(r.source for r in got)
+    assert len([x for x in names if x in "de"]) == 1 and len([x for x in names if x in "gl"]) == 1
+    assert [x for x in names if x not in "degl"] == list("bfhikmnop")
+
+
 def test_mixing_decides_by_row(spark):
     rows = []
     for i in range(900):
