@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, work_dir
+from .common import column, exact_ids, flagged, small_batches, work_dir
 from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 
 #: A block is closed with the document that brings it to so many ids.
@@ -71,7 +71,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
     text = column(docs, text_col, "string")
     rows = docs.select(column(docs, id_col, "long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").withColumn("shard", F.spark_partition_id())
+    ranged = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select(*flagged(F.col("id"), "id"), "text", F.spark_partition_id().alias("shard"))
 
     def pack(batches):
         coder: ChunkEncoder = of_worker(("chunks", tokenizer), lambda: ChunkEncoder(tokenizer_path(tokenizer), keep_spaces=True))
@@ -90,7 +90,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
         shard = 0
         for batch in batches:
             shard = int(batch["shard"].iloc[0]) if len(batch) else shard
-            ids_of = batch["id"].astype("Int64")
+            ids_of = exact_ids(batch, "id")
             for some in text_groups(batch["text"]):
                 texts = batch["text"].iloc[some].tolist()
                 for key, ids in zip(ids_of.iloc[some].tolist(), coder.encode_many(texts), strict=True):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +51,16 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def flagged(ids: Column, name: str) -> list[Column]:
+    """Ids (long) on their way to pandas: 0 for null, and a column that says so. With a null in it, a batch would come as doubles."""
+    return [F.coalesce(ids, F.lit(0)).alias(name), ids.isNull().alias("nameless")]
+
+
+def exact_ids(frame: pd.DataFrame, name: str) -> pd.Series:
+    """The ids that ``flagged`` sent, null where they were."""
+    return frame[name].astype("Int64").mask(frame["nameless"])
+
+
 def running_total(df: DataFrame, order: list[str], value: str, out: str, name: str, parts: int) -> DataFrame:
     """Add ``out``: the sum of ``value`` (long) over all rows before this one in the order of ``order``.
 
@@ -62,14 +75,13 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, name: s
 
     def inside(batches):
         total = 0
-        for batch in batches:
-            v = batch[value].fillna(0).astype("int64")
+        for batch in batches:  # Arrow, so that long columns with nulls stay exact
+            v = batch.column(value).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             c = v.cumsum()
-            batch["__inside"] = total + c - v
-            total += int(c.iloc[-1]) if len(c) else 0
-            yield batch
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total + c - v, pa.int64())], names=[*batch.schema.names, "__inside"])
+            total += int(c[-1]) if len(c) else 0
 
-    table = staged(ranged.mapInPandas(inside, schema), name)
+    table = staged(ranged.mapInArrow(inside, schema), name)
     sums = {r["__part"]: r["s"] or 0 for r in table.groupBy("__part").agg(F.sum(value).alias("s")).collect()}  # one row a range
     base, at = [], 0
     for part in range(max(sums, default=-1) + 1):

@@ -123,27 +123,34 @@ def fingerprints(df: DataFrame, text: Column, out: str) -> DataFrame:
 def next_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Add ``next``, a struct of the columns ``carry`` of the next document by descending ``doc_id``; after the last the first.
 
-    Ids are cut into groups at quantiles of all ids, so that a group has a bounded number of different ids; a group's
-    greatest id is copied into the group above, whose least comes before it. One shuffle moves the rows, and each group is
+    Ids are cut into groups at quantiles of all ids, so that a group has a bounded number of different ids. Quantiles are
+    worked out in doubles and may be no ids, so groups end at the greatest id found in each, gathered as one number a
+    group; it is copied into the group above, whose least comes before it. One shuffle moves the rows, and each group is
     put in order by itself. Equal ids are in the order of ``carry``; rows of null id are a group that comes last. A
     single document is its own next.
     """
     groups = max(1, min(MOST_GROUPS, docs.count() // GROUP_ROWS))
     quantiles = F.percentile_approx("doc_id", F.array(*[F.lit(i / groups) for i in range(1, groups + 1)]), F.lit(10 * groups + 100))
-    found = docs.agg(quantiles.alias("b"), F.max("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    ends = sorted({*(found["b"] or []), *([] if found["m"] is None else [found["m"]])})
+    found = docs.agg(quantiles.alias("b"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+
+    def group(ends: list[int]) -> Column:
+        """The first group whose end is not below the id, or else the last; -1 for a null id."""
+        array, last = _constant(ends, "long"), len(ends) - 1
+
+        def halve(s: Column, _: Column) -> Column:  # bisection
+            mid = F.shiftright(s["lo"] + s["hi"], 1)
+            below = F.get(array, mid) < F.col("doc_id")
+            return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+        state = F.struct(F.lit(0).alias("lo"), F.lit(max(0, last)).alias("hi"))
+        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, last + 1).bit_length())), state, halve)["lo"])
+
+    cut = docs.select("doc_id", group(sorted({*(found["b"] or [])})).alias("g")).filter("g >= 0")
+    ends = sorted(r["m"] for r in cut.groupBy("g").agg(F.max("doc_id").alias("m")).collect())
     last = len(ends) - 1
     lowest = -1 if found["nulls"] or not ends else 0
     array = _constant(ends, "long")
-
-    def halve(s: Column, _: Column) -> Column:  # bisection for the first group whose end is not below the id
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        below = F.get(array, mid) < F.col("doc_id")
-        return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"))
-
-    state = F.struct(F.lit(0).alias("lo"), F.lit(max(0, last)).alias("hi"))
-    group = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, last + 1).bit_length())), state, halve)["lo"])
-    placed = docs.withColumn("g", group)
+    placed = docs.withColumn("g", group(ends))
     end = F.coalesce(F.get(array, F.col("g")) == F.col("doc_id"), F.lit(False))
     above = F.when((end & (F.col("g") < last)) | ((F.col("g") == -1) & F.lit(last >= 0)), F.col("g") + 1)
     around = F.when((end & (F.col("g") == last)) if ends else F.lit(True), F.lit(lowest))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, staged
+from .common import column, exact_ids, flagged, small_batches, staged
 from .graph import components
 from .hashing import SpanHasher, mix64
 from .tokens import of_worker, text_groups
@@ -80,7 +80,7 @@ def _batches(frames: Iterator[pd.DataFrame], words: int, batch: int) -> Iterator
     sets: list[np.ndarray] = []
     held = 0
     for frame in frames:
-        keys = frame["id"].astype("Int64")
+        keys = exact_ids(frame, "id")
         for some in text_groups(frame["text"], 500_000):
             for key, s in zip(keys.iloc[some].tolist(), shingler.sets(frame["text"].iloc[some].tolist()), strict=True):
                 ids.append(None if key is pd.NA else key)
@@ -366,7 +366,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     document itself. Repeated rows are in one component; rows of null id count but never name one.
     """
     small_batches(docs)
-    rows = docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text"))
+    rows = docs.select(*flagged(column(docs, id_col, "long"), "id"), column(docs, text_col, "string").alias("text"))
     sets = _sets(rows, words, threshold, batch, bucket, *heavy)
     classes = sets.filter(F.col("rare").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.first("rare").alias("rare"))
     links = staged(_links(staged(classes, "jaccard-classes"), threshold, room), "jaccard-links")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, staged
+from .common import column, exact_ids, flagged, small_batches, staged
 from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 
 #: Pieces of one bin on average.
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, id_col: str
         tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            keys = batch["doc_id"].astype("Int64")
+            keys = exact_ids(batch, "doc_id")
             for some in text_groups(batch["text"]):
                 out = []
                 for key, row, ids in zip(keys.iloc[some], batch["row_key"].iloc[some], coder.encode_many(batch["text"].iloc[some].tolist()), strict=True):
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, id_col: str
                 yield frame
 
     small_batches(docs)
-    rows = docs.select(column(docs, id_col, "long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), column(docs, text_col, "string").alias("text"))
+    rows = docs.select(*flagged(column(docs, id_col, "long"), "doc_id"), F.monotonically_increasing_id().alias("row_key"), column(docs, text_col, "string").alias("text"))
     return rows.mapInPandas(cut, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
@@ -136,8 +136,9 @@ def pack(pieces_: DataFrame, capacity: int = 4096, bin_pieces: int = BIN_PIECES)
     """
     n = pieces_.count()
     bins = max(1, round(n / bin_pieces))
-    dealt = pieces_.withColumn("bin", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(bins)).cast("int"))
-    fields = pieces_.schema.simpleString()[7:-1].replace(":", " ")
+    # Ids pass through pandas as strings: with a null among them they would come as doubles.
+    dealt = pieces_.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("bin", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(bins)).cast("int"))
+    fields = dealt.drop("bin").schema.simpleString()[7:-1].replace(":", " ")
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         sequence, offset, _ = pack_lengths(frame["length"].to_numpy(), capacity)
@@ -146,7 +147,7 @@ def pack(pieces_: DataFrame, capacity: int = 4096, bin_pieces: int = BIN_PIECES)
         out["offset"] = offset
         return out
 
-    return dealt.groupBy("bin").applyInPandas(place, ", ".join(fields.split(",")) + ", sequence_id long, offset long")
+    return dealt.groupBy("bin").applyInPandas(place, ", ".join(fields.split(",")) + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, capacity: int = 4096) -> DataFrame:

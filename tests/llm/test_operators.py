@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platewise.llm import binary_output, chat, fingerprint, language, media, mixing, packing, tokens, urls
+from platewise.llm import binary_output, chat, fingerprint, jaccard, language, media, mixing, packing, tokens, urls
 
 ODD = [
     None, "", " ", "\n", "a", "a  b", " a", "a b ", "x\n\ny", "a \nb", "▁▁ x", "<s> </s> <unk> <|endoftext|> <|startoftext|>x", "日本語 テキスト", "🎉🎉 é é", "\t\ta\r\n", "<0x0A>\x00", "aaaa" * 300, "it's we'll I'VE",
@@ -289,3 +289,34 @@ def test_audio_aligns_with_its_excerpt(spark):
 def test_fingerprint_of_odd_audio():
     assert len(media.fingerprint(None)) == len(media.fingerprint(b"")) == len(media.fingerprint(b"\0\0\0")) == 0
     assert len(set(media.fingerprint(b"\0" * 40_000))) == 1
+
+
+# ids beyond 2^53 -------------------------------------------------------------------------------------------------------
+
+
+def long_ids(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["red", "green", "blue", "grey", "pink"]) + str(rnd.randint(0, 99)) for _ in range(12)) for _ in range(400)]
+    rows = [(rnd.getrandbits(61) | 1 << 61 | 1, t, f"src{k % 3}") for k, t in enumerate(texts)] + [(None, "no id here", "src0"), (-(1 << 62) - 1, "below all", None)]
+    rnd.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), rows
+
+
+def test_next_of_long_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 20)
+    docs, rows = long_ids(spark)
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    assert len(got) == len(rows)
+    for k, (i, t, _) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+        assert got[i].near_next is not None and got[i].edited_fingerprint
+
+
+def test_long_ids_beside_a_null_stay_exact(spark, tmp_path):
+    docs, rows = long_ids(spark)
+    want = Counter(r[0] for r in rows)
+    binary_output.write_token_ids(docs, str(tmp_path / "ids"), parts=1)
+    for out in (tokens.token_counts(docs), packing.pack_documents(docs), binary_output.digest_documents(spark, str(tmp_path / "ids")), jaccard.jaccard_classes(docs), mixing.mix(docs, mixing.cycle_weights)):
+        assert Counter(r.doc_id for r in out.collect()) == want
