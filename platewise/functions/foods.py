@@ -18,6 +18,12 @@ ID_BASE = {
 }
 
 
+def national_source(country: Column) -> Column:
+    """The national table of a country's code, ``GB`` read as ``UK``; empty for a country without one."""
+    table = F.create_map(*[F.lit(x) for source, code in COUNTRY_OF_SOURCE.items() for x in (code, source)])
+    return F.coalesce(F.try_element_at(table, F.when(country == "GB", "UK").otherwise(country)), F.lit(""))
+
+
 def atwater_predicted(protein: Column, fat: Column, carbs: Column) -> Column:
     """Energy of the macros: 4, 9 and 4 kcal a gram."""
     return protein * 4 + fat * 9 + carbs * 4

@@ -10,7 +10,7 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Marks of each source for a trace, and for a missing figure.
 DIALECTS = {
     "plain": ((), ()),
-    "german": (("TR",), ("-", "<LOD")),
+    "german": (("TR",), ("-", "<LOD", "<LOQ")),
     "uk": (("Tr",), ("N",)),
     "swiss": (("tr.",), ("n.d.",)),
 }
@@ -64,6 +64,16 @@ def parse_number(c: Column) -> Column:
     return F.struct(v.alias("value"), status.alias("status"))
 
 
+def is_implausible(typed: Column, most: float) -> Column:
+    """Whether a typed figure (of :func:`parse_number`) is above what is taken without a question; false if it is no number."""
+    return F.coalesce(typed["value"] > most, F.lit(False))
+
+
+def is_below(typed: Column, least: float) -> Column:
+    """Whether a typed figure is below a bound; false if it is no number."""
+    return F.coalesce(typed["value"] < least, F.lit(False))
+
+
 #: Type letters of a figure and what they say.
 VALUE_KINDS = ("TRACE", "BELOW_DETECTION", "BELOW_QUANTIFICATION", "BELOW_DETECTION_OR_QUANTIFICATION", "LOGICAL_ZERO", "UNDECIDABLE", "UNSPECIFIED", "BOUNDED", "BEST_ESTIMATE", "AVERAGE", "WEIGHTED")
 

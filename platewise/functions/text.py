@@ -140,10 +140,10 @@ def strip_like(c: Column) -> Column:
 
 
 def csv_escape(c: Column) -> Column:
-    """A CSV cell: null is empty, formulas are defused with an apostrophe, cells with separators are quoted."""
-    text = F.coalesce(c.cast("string"), F.lit(""))
+    """A CSV cell of text: null is empty, formulas are defused with an apostrophe, anything else is quoted."""
+    text = c.cast("string")
     safe = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
-    return F.when(safe.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+    return F.coalesce(F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
 
 
 def country_codes(tags: Column, codes: Column) -> Column:

@@ -221,11 +221,18 @@ def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{out}/{n}") for n in ("foods", "aliases", "barcodes", "servings", "members")} | {"meta": spark.read.json(f"{out}/meta")}
 
 
-def manifest(foods: DataFrame, version: str) -> DataFrame:
-    """One row: version, sources with their counts in order, number of foods, digest of the content."""
+def source_versions(files: dict[str, str]) -> str:
+    """``label:name`` of the files of a build, in the order of the national tables; the last part of a path is its name."""
+    order = [*(s for s in ("off", *COUNTRY_OF_SOURCE) if s != "usda"), "usda"]
+    return ",".join(f"{s}:{files[s].rstrip('/').rsplit('/', 1)[-1]}" for s in order if files.get(s))
+
+
+def manifest(foods: DataFrame, version: str, files: dict[str, str] | None = None) -> DataFrame:
+    """One row: version, files of the sources, sources with their counts in order, number of foods, digest and size (characters as JSON) of the content."""
     by = foods.groupBy("source").count()
     sources = by.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "count"))), lambda s: F.concat(s["source"], F.lit(":"), s["count"].cast("string"))), ", ").alias("sources"))
-    return content_digest(foods.drop("aliases", "servings")).crossJoin(sources).select(F.lit(version).alias("version"), "sources", "n", "xor", "sum")
+    size = foods.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct(*foods.columns)))), F.lit(0)).alias("size"))
+    return content_digest(foods.drop("aliases", "servings")).crossJoin(sources).crossJoin(size).select(F.lit(version).alias("version"), F.lit(source_versions(files or {})).alias("source_versions"), "sources", "n", "xor", "sum", "size")
 
 
 def export_subset(foods: DataFrame, child_tables: dict[str, DataFrame], source: str) -> dict[str, DataFrame]:

@@ -164,10 +164,32 @@ def targets(profiles: DataFrame, weights: DataFrame, day: Column) -> DataFrame:
     return p.select("user_id", "kg", "bmr", "kcal", F.col("m.protein").alias("protein"), F.col("m.fat").alias("fat"), F.col("m.carbs").alias("carbs"), N.warn_floor(F.col("bmr"), F.col("sex")).alias("warn_floor"))
 
 
-EXPORT_COLUMNS = ("log_date", "meal", "name", "brand", "amount", "unit", "grams", "kcal", "protein", "fat", "carbs", "fibre", "sugar", "saturated", "sodium", "credit")
+#: The export's columns.
+EXPORT_HEADER = ("date", "meal", "food_name", "brand", "quantity", "unit", "grams", "calories", "protein_g", "fat_g", "carbs_g", "nutrition_basis", "basis_amount", "nutrition_metadata", "source_credit")
+#: The export's cells of text; the others are numbers, a date and the meal's name.
+_EXPORT_TEXT = {"food_name", "brand", "unit", "nutrition_basis", "nutrition_metadata", "source_credit"}
+MEAL_CODES = {"breakfast": 1, "lunch": 2, "dinner": 3, "snack": 4}
 
 
-def export_lines(entries: DataFrame) -> DataFrame:
-    """Lines of the CSV export in order, cells escaped; columns that are absent are empty. Write them as text with a header."""
-    cells = [csv_escape(F.col(c) if c in entries.columns else F.lit(None)) for c in EXPORT_COLUMNS]
-    return entries.repartitionByRange("log_date", "meal", "created_at").sortWithinPartitions("log_date", "meal", "created_at").select(F.array_join(F.array(*cells), ",").alias("value"))
+def export_lines(entries: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines (``value``) of the CSV export of entries that have the columns of ``EXPORT_HEADER`` and ``created_at``.
+
+    In the order of day, meal (breakfast, lunch, dinner, snack) and time. Text is escaped and quoted, numbers have a dot,
+    null is empty; an absent column is empty. ``keep`` adds columns of the entries.
+    """
+    none = F.lit(None).cast("string")
+
+    def cell(name: str) -> Column:
+        c = F.col(name) if name in entries.columns else none
+        return csv_escape(F.nullif(c.cast("string"), F.lit(""))) if name in _EXPORT_TEXT else F.coalesce(F.lower(c.cast("string")) if name == "meal" else c.cast("string"), F.lit(""))
+
+    code = F.create_map(*[F.lit(x) for kv in MEAL_CODES.items() for x in kv])
+    ordered = entries.withColumn("__meal", F.try_element_at(code, F.lower("meal")))
+    by = ["date", "__meal", "created_at"]
+    return ordered.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep, F.array_join(F.array(*map(cell, EXPORT_HEADER)), ",").alias("value"))
+
+
+def write_export(entries: DataFrame, path: str) -> None:
+    """The export as text in parts that are in order: the header is the first part."""
+    header = entries.sparkSession.createDataFrame([(",".join(EXPORT_HEADER),)], "value string").coalesce(1)
+    header.union(export_lines(entries)).write.mode("overwrite").text(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.foods import gtin_ok
+from ..functions.text import fold_name
 from .tables import ContractError
 
 
@@ -73,43 +75,101 @@ def missing_ids(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return updates.join(base, key, "left_anti")
 
 
-def _v2(e: DataFrame) -> DataFrame:
-    return e.withColumn("source", F.when(F.col("source") == "manual", "quick").otherwise(F.col("source"))).withColumn("meal_type", F.when(F.col("meal_type") == 0, 4).otherwise(F.col("meal_type")))
+def _entries_2(e: DataFrame) -> DataFrame:
+    return e.withColumn("food_source", F.when(F.col("food_source") == "db", "bundled").otherwise(F.col("food_source")))
 
 
-def _v3(e: DataFrame) -> DataFrame:
-    kind = F.when(F.col("food_id").isNull(), "quick").when(F.col("source") == "custom", "custom").otherwise("bundled")
-    return e.withColumn("ref_kind", kind).withColumn("ref_id", F.col("food_id")).drop("food_id")
+def _entries_3(e: DataFrame) -> DataFrame:
+    known = F.col("food_source").isin("bundled", "custom", "quick")
+    made = F.coalesce("created_at", F.lit(0)).cast("long")
+    return e.select(
+        "id", "log_date", F.when(F.col("meal_type") == 0, 4).otherwise(F.col("meal_type")).alias("meal_type"), F.when(known, F.col("food_source")).when(F.col("food_source") == "db", "bundled").otherwise("quick").alias("food_ref_kind"),
+        F.when(~F.col("food_source").eqNullSafe("quick"), F.col("food_id")).alias("food_ref_id"), "food_name", F.lit(None).cast("string").alias("brand"), F.col("amount").alias("quantity"),
+        F.coalesce(F.nullif("amount_unit", F.lit("")), F.lit("g")).alias("unit_label"), F.col("amount").alias("grams"), "calories", F.col("protein").alias("protein_g"), F.col("fat").alias("fat_g"), F.col("carbs").alias("carbs_g"),
+        made.alias("created_at"), made.alias("updated_at"),
+    )
 
 
-def _v4(e: DataFrame) -> DataFrame:
-    return e.withColumn("quantity", F.col("amount")).withColumn("grams", F.when(F.col("unit") == "g", F.col("amount"))).drop("amount")
+def _entries_7(e: DataFrame) -> DataFrame:
+    return e.withColumn("nutrition_basis", F.lit("g")).withColumn("basis_amount", F.col("grams")).withColumn("nutrition_metadata", F.lit(None).cast("string"))
 
 
-def _v5(e: DataFrame) -> DataFrame:
-    return e.withColumn("basis_amount", F.coalesce("grams", "quantity"))
+def _goals_3(g: DataFrame, entries: DataFrame, by: str | None) -> DataFrame:
+    first = entries.groupBy(*([by] if by else [])).agg(F.min("log_date").alias("first_day"))
+    dated = g.join(F.broadcast(first)) if by is None else g.join(first, by, "left")
+    return dated.select(
+        *([by] if by else []), F.coalesce("first_day", F.lit("1970-01-01").cast("date")).alias("effective_from"), F.coalesce("calories_target", F.lit(2000.0)).alias("calories_target"), F.coalesce("protein_target", F.lit(150.0)).alias("protein_target_g"),
+        F.coalesce("fat_target", F.lit(65.0)).alias("fat_target_g"), F.coalesce("carbs_target", F.lit(250.0)).alias("carbs_target_g"), F.lit("manual").alias("source"), F.lit(0).cast("long").alias("created_at"),
+    )
 
 
-#: One projection for each version of diary entries, applied in this order.
-ENTRY_UPGRADES = {2: _v2, 3: _v3, 4: _v4, 5: _v5}
+def _favourites_3(f: DataFrame, by: list[str]) -> DataFrame:
+    kind = F.when(F.col("food_source").isin("bundled", "custom"), F.col("food_source")).when(F.col("food_source") == "db", "bundled").otherwise("custom")
+    rows = f.filter("food_id is not null").select(*by, kind.alias("food_ref_kind"), F.col("food_id").alias("food_ref_id"), "id", "food_name", F.lit(None).cast("string").alias("brand"), F.coalesce("sort_order", F.lit(0)).alias("sort_order"), F.coalesce("created_at", F.lit(0)).cast("long").alias("created_at"))
+    key = [*by, "food_ref_kind", "food_ref_id"]
+    return rows.groupBy(*key).agg(F.min_by(F.struct("food_name", "brand", "sort_order", "created_at"), "id").alias("r")).select(*key, "r.*")  # the first of a key stays
+
+
+def _custom_3(c: DataFrame) -> DataFrame:
+    made = F.coalesce("created_at", F.lit(0)).cast("long")
+    return c.select(
+        "id", F.col("description").alias("name"), F.col("brand_owner").alias("brand"), F.col("gtin_upc").alias("barcode"), F.col("calories_100g").alias("kcal_100g"), "protein_100g", "fat_100g", "carbs_100g", F.lit(None).cast("double").alias("density_g_per_ml"),
+        made.alias("created_at"), made.alias("updated_at"),
+    )
+
+
+def _servings_3(c: DataFrame) -> DataFrame:
+    return c.filter("serving_size > 0").select(F.col("id").alias("food_id"), F.coalesce(F.nullif("serving_unit", F.lit("")), F.lit("serving")).alias("label"), F.col("serving_size").alias("grams"), F.lit(True).alias("is_default"), F.lit(0).alias("sort_order"))
 
 
 def upgrade_entries(entries: DataFrame, version: int) -> DataFrame:
-    """Entries of an old version as the newest."""
-    for to, step in ENTRY_UPGRADES.items():
+    """Diary entries of an old version (1 to 6) as the newest.
+
+    2 renames a source; 3 makes references, quantity and grams out of source, id and amount, whatever the unit was (a
+    blank unit is g), and code 0 of a meal becomes 4; 7 adds the basis, in grams.
+    """
+    for to, step in ((2, _entries_2), (3, _entries_3), (7, _entries_7)):
         if to > version:
             entries = step(entries)
     return entries
 
 
-def upgrade_goals(goals: DataFrame, first_logged: DataFrame, by: str = "user_id") -> DataFrame:
-    """Goals that had no start begin with the user's first logged day, or the day they were made."""
-    return goals.join(first_logged.select(by, "first_day"), by, "left").withColumn("effective_from", F.coalesce("effective_from", "first_day", F.to_date("created_at"))).drop("first_day")
+def upgrade_snapshot(tables: dict[str, DataFrame], version: int, *, user: str | None = None) -> dict[str, DataFrame]:
+    """All tables of an old snapshot as the newest: ``daily_logs, goals, favorites, custom_foods`` (and ``custom_food_servings``).
 
-
-def serving_rows(foods: DataFrame) -> DataFrame:
-    """The one serving that old custom foods held in two columns, as rows of their own."""
-    return foods.filter("serving_label is not null and serving_grams > 0").select(F.col("id").alias("food_id"), F.lit(0).alias("sort_order"), F.col("serving_label").alias("label"), F.col("serving_grams").alias("grams"), F.lit(True).alias("is_default"))
+    Goals that had no date begin with the first logged day, or else in 1970; favourites without a food go, and of equal
+    ones the first stays; a custom food's one serving becomes a row; names are folded. ``user``: a column that tells
+    several people's snapshots apart; without one there is a single goal row.
+    """
+    out = dict(tables)
+    if version < 3:
+        out["goals"] = _goals_3(tables["goals"], tables["daily_logs"], user)
+        out["favorites"] = _favourites_3(tables["favorites"], [user] if user else [])
+        out["custom_food_servings"] = _servings_3(tables["custom_foods"])
+        out["custom_foods"] = _custom_3(tables["custom_foods"])
+    none = F.lit(None).cast("string")
+    for to, columns in ((5, {"source": none}), (6, {"name_folded": fold_name(F.col("name")), "brand_folded": fold_name(F.col("brand"))}), (7, {"nutrition_basis": F.lit("g"), "nutrition_metadata": none})):
+        if version < to:
+            out["custom_foods"] = out["custom_foods"].withColumns(columns)
+    if version < 4 and "profile" in out:
+        out["profile"] = out["profile"].withColumn("body_fat_percent", F.lit(None).cast("double"))
+    out["daily_logs"] = upgrade_entries(tables["daily_logs"], version)
+    return out
+
+
+def ordered(table: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
+    """Stored rows with ``place`` in the order in which they are shown, for each key ``by`` (default: the owner of such rows).
+
+    ``servings`` by sort order, ``favourites`` by sort order and newest first, ``entries`` by meal and time, ``weights`` by
+    day, newest first.
+    """
+    key, order = {
+        "servings": (["food_id"], [F.col("sort_order")]),
+        "favourites": (["user_id"], [F.col("sort_order"), F.desc("created_at")]),
+        "entries": (["user_id", "log_date"], [F.col("meal_type"), F.col("created_at")]),
+        "weights": (["user_id"], [F.desc("measured_on")]),
+    }[kind]
+    return table.withColumn("place", F.row_number().over(Window.partitionBy(*(key if by is None else by)).orderBy(*order)))
 
 
 def resolve_barcode(scans: DataFrame, barcodes: DataFrame, custom: DataFrame) -> DataFrame:
@@ -135,6 +195,11 @@ def custom_search(foods: DataFrame, queries: DataFrame, folded: Column | None =
     return queries.join(f, "user_id").filter(F.contains("__text", F.col("q"))).drop("__text")
 
 
+def offerable_custom(acceptable: Column, confirmed_missing: Column, barcode: Column, contributable: Column) -> Column:
+    """Whether a saved food may be offered upstream: a lookup has confirmed that it is missing there, its code is valid, its text and figures may go out."""
+    return F.coalesce(acceptable & confirmed_missing & gtin_ok(barcode) & contributable, F.lit(False))
+
+
 def acceptable_custom(name: Column, kcal: Column, usable: Column) -> Column:
     """Whether a user's food may be saved: a name of 2 to 120 characters, usable figures, stated energy."""
     return F.coalesce(F.length(F.trim(name)).between(2, 120) & usable & kcal.isNotNull(), F.lit(False))

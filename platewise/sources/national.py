@@ -11,7 +11,7 @@ from ..functions.foods import is_named_serving, serving_label
 from ..functions.numbers import KJ_PER_KCAL, parse_cell, to_canonical_unit, to_float
 from ..functions.text import clean_name, sentence_case
 from ..operators.tables import ContractError, assert_empty, pivot_values, reject_ambiguous, set_difference
-from .common import FIELDS, delimited, finish
+from .common import delimited, finish
 
 #: Nutrient numbers of the American and Canadian sets.
 USDA = {"1008": "kcal", "1003": "protein", "1004": "fat", "1005": "carbs", "1079": "fibre", "2000": "sugar", "1258": "saturated", "1093": "sodium"}
@@ -62,7 +62,10 @@ def load_ciqual(spark: SparkSession, names: str, values: str) -> DataFrame:
 
 @dataclass
 class Wide:
-    """A wide table: which columns hold key, name, figures (and by what they are divided), aliases, and how cells are read."""
+    """A wide table: which columns hold key, name, figures (and by what they are divided), aliases, and how cells are read.
+
+    ``or_name``: a column whose name counts where the first is no usable one.
+    """
 
     source: str
     key: str
@@ -79,18 +82,26 @@ class Wide:
     group: str | None = None
     rejected_groups: tuple[str, ...] = ()
     unique_key: bool = False
+    or_name: str | None = None
 
 
-EIGHT = {c: c for c in FIELDS}
-BLS = Wide("bls", "BLS Code", "Food name", EIGHT, {"sodium": 1000}, {"de": "Lebensmittelbezeichnung"}, dialect="german")
+#: Headers of the national tables. German ones are codes with text after them.
+BLS = Wide(
+    "bls", "BLS", "Food", {"kcal": "ENERCC", "protein": "PROT625", "fat": "FAT", "carbs": "CHO", "fibre": "FIBT", "sugar": "SUGAR", "saturated": "FASAT", "sodium": "NA"}, {"sodium": 1000}, {"de": "Lebensmittelbezeichnung"},
+    dialect="german", or_name="Lebensmittelbezeichnung",
+)
 COFID = Wide(
     "cofid", "Food Code", "Food Name", {"protein": "PROT", "fat": "FAT", "carbs": "CHO", "kcal": "KCALS", "sugar": "TOTSUG", "fibre": "AOACFIB", "saturated": "SATFOD", "sodium": "NA"}, {"sodium": 1000}, dialect="uk",
     convention="available_monosaccharide", unique_key=True,
 )
-FRIDA = Wide("frida", "id", "name_en", EIGHT, {"sodium": 1000}, {"da": "name_da"})
-SWISS = Wide("swiss", "id", "name_en", EIGHT, {"sodium": 1000}, {"de": "name_de", "fr": "name_fr", "it": "name_it"}, dialect="swiss")
-TCA = Wide("tca", "id", "name", EIGHT, {"sodium": 1000}, lang="pt", group="group", rejected_groups=("per 100 ml",))
-AFCD = Wide("afcd", "id", "name", {**EIGHT, "kcal": "kj"}, {"sodium": 1000, "kcal": KJ_PER_KCAL}, key_pattern=r"^F\d{6}$")
+FRIDA = Wide("frida", "FoodID", "FoodName", {"kcal": "KCAL", "protein": "PROTEIN", "fat": "FAT", "saturated": "SAT_FAT", "carbs": "CARBS", "fibre": "FIBRE", "sugar": "SUGAR", "sodium": "SODIUM"}, {"sodium": 1000}, {"da": "FodevareNavn"})
+_CAPITALS = {"kcal": "KCAL", "fat": "FAT", "saturated": "SAT_FAT", "carbs": "CARBS", "sugar": "SUGAR", "fibre": "FIBER", "protein": "PROTEIN", "sodium": "SODIUM"}
+SWISS = Wide("swiss", "ID", "NAME", _CAPITALS, {"sodium": 1000}, {"de": "NAME_DE", "fr": "NAME_FR", "it": "NAME_IT"}, dialect="swiss")
+TCA = Wide("tca", "COD", "NOME", _CAPITALS, {"sodium": 1000}, lang="pt", group="NIVEL1", rejected_groups=("Bebidas alcoólicas",))
+AFCD = Wide(
+    "afcd", "Public Food Key", "Food Name", {"kcal": "E_KJ", "protein": "PROTEIN", "fat": "FAT", "carbs": "AVAIL_CHO", "fibre": "FIBRE", "sugar": "SUGAR", "saturated": "SATFAT", "sodium": "SODIUM"}, {"sodium": 1000, "kcal": KJ_PER_KCAL},
+    key_pattern=r"^F\d{6}$",
+)
 
 
 def load_wide(spark: SparkSession, path: str, spec: Wide) -> DataFrame:
@@ -100,10 +111,13 @@ def load_wide(spark: SparkSession, path: str, spec: Wide) -> DataFrame:
         raw = delimited(spark, path, wanted, sep=spec.sep, charset=spec.charset)
     except ContractError:
         head = spark.read.option("sep", spec.sep).option("charset", spec.charset).csv(path).limit(1).collect()[0]
-        full = {c: next((h.strip() for h in head if h and h.strip().split(" ")[0] == c), c) if c not in head else c for c in wanted}
+        full = {c: next((h.strip() for h in reversed(head) if h and h.strip().split(" ")[0] == c), c) if c not in head else c for c in wanted}
         raw = delimited(spark, path, list(full.values()), sep=spec.sep, charset=spec.charset).select(*[F.col(f"`{h}`").alias(c) for c, h in full.items()], "ord")
+    name = F.col(f"`{spec.name}`")
+    if spec.or_name:
+        name = F.when(clean_name(name).isNotNull(), name).otherwise(F.col(f"`{spec.or_name}`"))
     df = raw.select(
-        F.trim(F.col(f"`{spec.key}`")).alias("key"), F.col(f"`{spec.name}`").alias("raw_name"), "ord", *[F.col(f"`{c}`").alias(f"alias_{k}") for k, c in spec.aliases.items()], *([F.col(f"`{spec.group}`").alias("food_group")] if spec.group else []),
+        F.trim(F.col(f"`{spec.key}`")).alias("key"), name.alias("raw_name"), "ord", *[F.col(f"`{c}`").alias(f"alias_{k}") for k, c in spec.aliases.items()], *([F.col(f"`{spec.group}`").alias("food_group")] if spec.group else []),
         *[(parse_cell(F.col(f"`{c}`"), spec.dialect) / spec.divide.get(f, 1)).alias(f) for f, c in spec.figures.items()],
     )
     why = []
@@ -111,7 +125,7 @@ def load_wide(spark: SparkSession, path: str, spec: Wide) -> DataFrame:
         df = reject_ambiguous(df, "key").withColumnRenamed("reject_reason", "early")
         why.append(F.col("early"))
     if spec.rejected_groups:
-        why.append(F.when(F.col("food_group").isin(*spec.rejected_groups), "food group not per 100 g"))
+        why.append(F.when(F.trim("food_group").isin(*spec.rejected_groups), "food group not per 100 g"))
     if spec.key_pattern:
         why.append(F.when(~F.col("key").rlike(spec.key_pattern), "non-standard key"))
     return finish(df, spec.source, lang=spec.lang, convention=spec.convention, names={k: f"alias_{k}" for k in spec.aliases}, why=F.coalesce(*why) if why else None)
@@ -142,7 +156,7 @@ def load_bedca(spark: SparkSession, wide: str, basis: str) -> DataFrame:
 
 
 #: Nutrient names of the Norwegian, Swedish and Finnish tables.
-MATVARETABELLEN = {"Protein": "protein", "Fett": "fat", "Karbo": "carbs", "Fiber": "fibre", "Mono+Di": "sugar", "Mettet": "saturated", "Na": "sodium"}
+MATVARETABELLEN = {"Protein": "protein", "Fett": "fat", "Karbo": "carbs", "Sukker": "sugar", "Fiber": "fibre", "Mettet": "saturated", "Na": "sodium"}
 LIVSMEDEL = {"ENERC": "kcal", "PROT": "protein", "FAT": "fat", "CHO": "carbs", "FIBT": "fibre", "SUGAR": "sugar", "FASAT": "saturated", "NA": "sodium"}
 FINELI = {"ENERC": "kcal", "PROT": "protein", "FAT": "fat", "CHOAVL": "carbs", "FIBC": "fibre", "SUGAR": "sugar", "FASAT": "saturated", "NA": "sodium"}
 FINELI_UNITS = {"ENERC": "KJ", "PROT": "G", "FAT": "G", "CHOAVL": "G", "FIBC": "G", "SUGAR": "G", "FASAT": "G", "NA": "MG"}

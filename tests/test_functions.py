@@ -63,7 +63,7 @@ def test_names(spark):
     assert values(spark, text.sentence_case(F.col("x")), rows) == list(rows.values())
     assert values(spark, text.slug(F.col("x")), ["Côte d'Ivoire", " A--b "]) == ["cote-d-ivoire", "a-b"]
     assert values(spark, text.query_tokens(F.col("x")), ["chick'br 50€", "...", "a b c d e f g h i j"]) == [["chick", "br", "50"], None, list("abcdefgh")]
-    assert values(spark, text.csv_escape(F.col("x")), [None, "=1+1", 'a"b', "x,y", "plain"]) == ["", "'=1+1", '"a""b"', '"x,y"', "plain"]
+    assert values(spark, text.csv_escape(F.col("x")), [None, "=1+1", 'a"b', "x,y", "plain"]) == ["", '"\'=1+1"', '"a""b"', '"x,y"', '"plain"']
     assert values(spark, text.escape_like(F.col("x")), ["50%_\\"]) == ["50\\%\\_\\\\"] and values(spark, text.strip_like(F.col("x")), ["5%_0"]) == ["50"]
     codes = F.create_map(F.lit("france"), F.lit("FR"), F.lit("world"), F.lit("world"))
     assert values(spark, text.first_country(F.col("x"), codes), ["en:france,en:xx", "France", "en:world,en:france", None, "zz"]) == ["FR", "FR", None, None, None]

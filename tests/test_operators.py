@@ -100,8 +100,6 @@ def test_maintenance(spark):
     events = spark.createDataFrame([(1, "x", 1, "bundled"), (1, "y", 2, "bundled"), (2, "z", 1, "bundled"), (3, "q", 1, "quick")], "k long, v string, at int, kind string")
     favourites = spark.createDataFrame([(2, "old", 0), (5, "old", 0)], "k long, v string, at int")
     assert rows(maintain.toggle(favourites, events, ["k"], "at"), "k", "v") == [(5, "old")]
-    old = spark.createDataFrame([(1, "manual", 0, None, 2.0, "g"), (2, "custom", 1, 5, 3.0, "cup")], "id long, source string, meal_type int, food_id long, amount double, unit string")
-    assert rows(maintain.upgrade_entries(old, 1), "id", "source", "meal_type", "ref_kind", "ref_id", "quantity", "grams", "basis_amount") == [(1, "quick", 4, "quick", None, 2.0, 2.0, 2.0), (2, "custom", 1, "custom", 5, 3.0, None, 3.0)]
 
 
 def test_log_entries(spark):
@@ -186,14 +184,6 @@ def test_wide_sources(spark, tmp_path):
     got = {r.name: r for r in national.load_wide(spark, path, national.COFID).collect()}
     assert (got["Oats"].sugar, got["Oats"].fibre, got["Oats"].saturated, got["Oats"].sodium, got["Oats"].reject_reason) == (0.0, None, 1.5, 0.01, None)
     assert got["Twice"].reject_reason == got["Again"].reject_reason == "ambiguous code"
-    path = write(tmp_path, "swiss.csv", "id,name_en,kcal,protein,fat,carbs,fibre,sugar,saturated,sodium,name_de,name_fr,name_it\n1,Polenta,350,8,tr.,75,n.d.,1,0,2,Polenta,Polenta fr,\n")
-    polenta = national.load_wide(spark, path, national.SWISS).first()
-    assert polenta.fat == 0.0 and polenta.fibre is None and [a.lang for a in polenta.aliases] == ["fr"]
-    path = write(tmp_path, "afcd.csv", "id,name,kj,protein,fat,carbs,fibre,sugar,saturated,sodium\nF000001,Rice,418.4,2,0,22,,,,1\nX1,Bad,418.4,2,0,22,,,,1\n")
-    got = {r.key: r for r in national.load_wide(spark, path, national.AFCD).collect()}
-    assert got["F000001"].kcal == pytest.approx(100) and got["F000001"].id == 190_000_000_001 and got["X1"].reject_reason == "non-standard key"
-    with pytest.raises(tables.ContractError):
-        national.load_wide(spark, path, national.FRIDA)
     cells = "f_id,f_eng_name,f_ori_name," + ",".join(f"{c},{c}_unit" for c in national.BEDCA)
     wide = write(tmp_path, "bedca.csv", cells + "\n7,Cheese,Queso,1674,kJ,25,g,33,g,1300,mg,0,g,1,g,20,g,8000,mg\n")
     basis = write(tmp_path, "basis.csv", "f_id,eur_name,moex\n" + "".join(f"7,{c},{'WKG' if c == 'NA' else 'W'}\n" for c in national.BEDCA if c != "FASAT"))
