@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, exact_ids, flagged, small_batches, work_dir
+from .common import column, exact_ids, flagged, work_dir
 from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 
 #: A block is closed with the document that brings it to so many ids.
@@ -67,7 +67,6 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
     share an id are ordered by a hash of their text. A document is never split, so a block is as long as it must be.
     """
     spark = docs.sparkSession
-    small_batches(docs)
     text = column(docs, text_col, "string")
     rows = docs.select(column(docs, id_col, "long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,25 +27,77 @@ ROWS_PER_TASK = 250_000
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (a local test session) a temporary folder is made for the session.
+    Only a session in one process (``local``, as in tests) may leave that setting out: a temporary folder is made for it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``__`` for a dot) that hold for the actions inside only."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def written(df: DataFrame, path: str, **options: str) -> None:
+    """Write Parquet. Whole texts go to Python workers in small batches meanwhile; shuffle files go when the table is there."""
+    with setting(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(TEXT_ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.options(**options).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    written(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> None:
-    """Have rows with whole texts go to Python workers in small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+class Scratch:
+    """Tables that an operator stages for itself, in a folder of their own in the shared one; they go when the work is done."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :func:`staged`."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        written(df, path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((table, path))
+        return table
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for table, path in self.paths:
+            if any(table is x for x in tables):
+                self._remove(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._remove(self.folder)
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
@@ -51,6 +107,29 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name`` (long): a number of each row's own, the same however often the rows are read.
+
+    A table read straight from Parquet gives a row's file and place in it: the place takes the low bits that the longest file
+    needs, a hash of the file's name the others, with a seed under which no two files meet. Nothing is written then. Any
+    other frame is staged with numbers.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        straight = docs._jdf.queryExecution().analyzed().children().isEmpty()
+    except AnalysisException:
+        straight = False
+    if straight:
+        files = placed.groupBy("__file").agg(F.max("__at").alias("most"))
+        n, most = files.agg(F.count("*"), F.coalesce(F.max("most"), F.lit(0))).first()
+        low = max(1, int(most).bit_length())
+        for seed in range(16):
+            tag = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__file"), low + 1)
+            if files.select(tag).distinct().count() == n:
+                return placed.withColumn(name, F.shiftleft(tag, low).bitwiseOR(F.col("__at"))).drop("__file", "__at")
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def flagged(ids: Column, name: str) -> list[Column]:
     """Ids (long) on their way to pandas: 0 for null, and a column that says so. With a null in it, a batch would come as doubles."""
     return [F.coalesce(ids, F.lit(0)).alias(name), ids.isNull().alias("nameless")]
@@ -61,7 +140,7 @@ def exact_ids(frame: pd.DataFrame, name: str) -> pd.Series:
     return frame[name].astype("Int64").mask(frame["nameless"])
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, name: str, parts: int) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], value: str, out: str, work: Scratch, parts: int) -> DataFrame:
     """Add ``out``: the sum of ``value`` (long) over all rows before this one in the order of ``order``.
 
     One range shuffle, never one task for all rows: rows are sorted by range and staged with their range's number,
@@ -81,7 +160,7 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, name: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total + c - v, pa.int64())], names=[*batch.schema.names, "__inside"])
             total += int(c[-1]) if len(c) else 0
 
-    table = staged(ranged.mapInArrow(inside, schema), name)
+    table = work.table(ranged.mapInArrow(inside, schema), out)
     sums = {r["__part"]: r["s"] or 0 for r in table.groupBy("__part").agg(F.sum(value).alias("s")).collect()}  # one row a range
     base, at = [], 0
     for part in range(max(sums, default=-1) + 1):

@@ -5,19 +5,20 @@ A document is its set of distinct word shingles; two link when their sets' Jacca
 1. Each task turns runs of documents ("batches" of about half a million shingles) into sets of 64-bit hashes. Shingles that
    a share of all documents hold ("heavy") are found first: batches report those frequent in them, and their sums
    bound how many there can be, whatever the number of documents. Heavy shingles rank last and are never gathered.
-2. All other shingles go to buckets, by hash, as packed arrays that name the batch and the document's place in it. A
-   bucket's task learns in how many documents each occurs and answers each batch with those that occur again
-   elsewhere. What no other document holds cannot be part of an overlap.
+2. All other shingles go to buckets, by ranges of the hash, as packed arrays of whole hashes that name the batch and the
+   document's place in it. A bucket's task learns in how many documents each occurs and answers each batch with those
+   that occur again elsewhere. What no other document holds cannot be part of an overlap.
 3. T-occurrence: a partner must share at least T of a document's n shingles, so it shares one of the n - T + 1 rarest.
    If that many are its own alone, it has no partner. Else its rarest others link it, over the shingle, to the least
    document that has the shingle among its rarest: components of this graph hold all links that are possible.
 4. In each such component the sets are searched: short inverted lists are merged with a heap, long ones probed by
    binary search for the candidates, and pairs that reach the overlap link. Pairs that are already connected are passed
-   over. Components too large for one task are cut into chunks that are searched apart, with one common document; what
-   is then not connected to that document is searched, in blocks, against all chunks.
+   over. Components too large for one task are cut into parts that are searched apart, with one common document; what
+   is then not connected to that document is grouped anew by its rare shingles and searched against all that share one.
 5. Components of the links give each document its class.
 
-Nothing is capped, sampled or approximated; equal sets are one class from step 3 on.
+Nothing is capped or sampled. A shingle is known by 64 bits of a hash all the way, a whole set by 128; equal sets are one
+class from step 3 on.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, exact_ids, flagged, small_batches, staged
+from .common import Scratch, column, exact_ids, flagged, staged
 from .graph import components
-from .hashing import SpanHasher, mix64
+from .hashing import SpanHasher
 from .tokens import of_worker, text_groups
 
 #: Shingles of one batch, and of one bucket, about.
@@ -93,7 +94,16 @@ def _batches(frames: Iterator[pd.DataFrame], words: int, batch: int) -> Iterator
         yield ids, sets
 
 
-def _heavy(rows: DataFrame, words: int, batch: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: all highest bytes first. Of sorted numbers these are runs, which compress."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
+def _heavy(rows: DataFrame, work: Scratch, words: int, batch: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Heavy shingles, sorted, with their counts; the numbers of documents and shingles.
 
     A shingle in at least ``share`` of all documents is in at least half that share of some batches' documents, and
@@ -108,7 +118,7 @@ def _heavy(rows: DataFrame, words: int, batch: int, share: float, least: int) ->
             v, c = values[often], counts[often]
             yield pd.DataFrame({"kind": [1] * len(v) + [0], "v": np.append(v.view(np.int64), len(values)), "c": np.append(c, len(ids))})
 
-    table = staged(rows.mapInPandas(report, "kind int, v long, c long"), "jaccard-heavy")
+    table = work.table(rows.mapInPandas(report, "kind int, v long, c long"), "heavy")
     n_docs, n_shingles = table.filter("kind = 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     bar = max(least, n_docs * share / 2)
     rows_ = table.filter("kind = 1").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") >= bar).collect()
@@ -117,10 +127,10 @@ def _heavy(rows: DataFrame, words: int, batch: int, share: float, least: int) ->
     return values[order], np.array([r["c"] for r in rows_], np.int64)[order], n_docs, n_shingles
 
 
-def _sets(rows: DataFrame, words: int, threshold: int, batch: int, bucket: int, share: float, least: int) -> DataFrame:
+def _sets(rows: DataFrame, work: Scratch, words: int, threshold: int, batch: int, bucket: int, share: float, least: int) -> DataFrame:
     """``doc_id, n, key, ids, rare`` of every document: ``ids`` are the shingles that others hold too, ``rare`` those of them
     among its n - T + 1 rarest; both null where no partner is possible. ``key`` is equal for equal sets."""
-    heavy, heavy_counts, _, n_shingles = _heavy(rows, words, batch, share, least)
+    heavy, heavy_counts, _, n_shingles = _heavy(rows, work, words, batch, share, least)
     buckets = max(1, -(-n_shingles // bucket))
     spark = rows.sparkSession
     spread = spark.sparkContext.broadcast((heavy, heavy_counts))  # bounded, see _heavy
@@ -138,42 +148,38 @@ def _sets(rows: DataFrame, words: int, threshold: int, batch: int, bucket: int,
                 at = np.minimum(np.searchsorted(heavy, all_), len(heavy) - 1)
                 common = heavy[at] == all_
             # The batch's own table passes through some bucket's task on its way back.
-            yield pd.DataFrame({"bucket": [number % buckets], "batch": [number], "places": [place[common].tobytes()], "low": [all_[common].tobytes()], "high": [b""], "docs": [np.array([i or 0 for i in ids], np.int64).tobytes()], "nameless": [bytes(i is None for i in ids)], "n": [n.tolist()], "key": [key]})
-            to = all_[~common] % np.uint64(buckets)
+            yield pd.DataFrame({"bucket": [number % buckets], "batch": [number], "places": [place[common].tobytes()], "ids": [all_[common].tobytes()], "docs": [np.array([i or 0 for i in ids], np.int64).tobytes()], "nameless": [bytes(i is None for i in ids)], "n": [n.tolist()], "key": [key]})
             rest, place = all_[~common], place[~common]
-            order = np.argsort(to, kind="stable")
-            rest, place = rest[order] // np.uint64(buckets), place[order]
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+            order = np.argsort(rest, kind="stable")
+            rest, place = rest[order], place[order]
+            to = (rest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
             some = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
             span = [slice(cuts[b], cuts[b + 1]) for b in some]
             if some:
                 none = [None] * len(some)
-                yield pd.DataFrame({"bucket": some, "batch": number, "places": [place[x].tobytes() for x in span], "low": [low[x].tobytes() for x in span], "high": [high[x].tobytes() for x in span], "docs": none, "nameless": none, "n": none, "key": none})
+                yield pd.DataFrame({"bucket": some, "batch": number, "places": [place[x].tobytes() for x in span], "ids": [_planes(rest[x]) for x in span], "docs": none, "nameless": none, "n": none, "key": none})
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         heavy, heavy_counts = spread.value
         out = []
         own = frame["docs"].isna()
         for r in frame[~own].itertuples():
-            ids = np.frombuffer(r.low, np.uint64)
+            ids = np.frombuffer(r.ids, np.uint64)
             counts = heavy_counts[np.searchsorted(heavy, ids)].astype(np.int64) if len(ids) else np.empty(0, np.int64)
-            out.append((r.batch, r.places, mix64(ids).tobytes(), counts.tobytes(), r.docs, r.nameless, r.n, r.key))
+            out.append((r.batch, r.places, r.ids, counts.tobytes(), r.docs, r.nameless, r.n, r.key))
         posts = frame[own]
         if len(posts):
-            which = int(frame["bucket"].iloc[0])
-            low = np.frombuffer(b"".join(posts["low"]), np.uint32).astype(np.uint64)
-            ids = low | np.frombuffer(b"".join(posts["high"]), np.uint8).astype(np.uint64) << np.uint64(32)
+            ids = np.concatenate([_from_planes(x) for x in posts["ids"]])
             order = np.argsort(ids, kind="stable")
             run = np.append(True, ids[order][1:] != ids[order][:-1])
             count = np.diff(np.append(np.flatnonzero(run), len(ids)))
             counts = np.empty(len(ids), np.int64)
             counts[order] = np.repeat(count, count)
-            full = mix64(ids * np.uint64(buckets) + np.uint64(which))  # one name for a shingle wherever it went
             at = 0
             for r in posts.itertuples():
                 places = np.frombuffer(r.places, np.uint16)
-                c, f = counts[at : at + len(places)], full[at : at + len(places)]
+                c, f = counts[at : at + len(places)], ids[at : at + len(places)]
                 at += len(places)
                 if (again := c > 1).any():
                     out.append((r.batch, places[again].tobytes(), f[again].tobytes(), c[again].tobytes(), None, None, None, None))
@@ -197,10 +203,10 @@ def _sets(rows: DataFrame, words: int, threshold: int, batch: int, bucket: int,
             "ids": [None if x is None else np.sort(x).tobytes() for x in kept], "rare": [None if x is None else x[: rare[i]] for i, x in enumerate(kept)],
         })
 
-    sent = "bucket int, batch long, places binary, low binary, high binary, docs binary, nameless binary, n array<long>, key binary"
+    sent = "bucket int, batch long, places binary, ids binary, docs binary, nameless binary, n array<long>, key binary"
     got = "batch long, places binary, ids binary, counts binary, docs binary, nameless binary, n array<long>, key binary"
     answers = rows.mapInPandas(deal, sent).groupBy("bucket").applyInPandas(learn, got)
-    return staged(answers.groupBy("batch").applyInPandas(choose, "doc_id long, n long, key binary, ids binary, rare array<long>"), "jaccard-sets")
+    return work.table(answers.groupBy("batch").applyInPandas(choose, "doc_id long, n long, key binary, ids binary, rare array<long>"), "sets")
 
 
 class Links:
@@ -316,64 +322,95 @@ def _search_all(frame: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _links(classes: DataFrame, threshold: int, room: int) -> DataFrame:
-    """Links (``a``, ``b``: keys) that connect what is linked, from classes ``key, n, ids, rare``."""
-    posts = classes.select("key", F.explode("rare").alias("id"))
-    hubs = posts.groupBy("id").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter(F.col("hub") != F.col("last")).select("id", "hub")
-    near = components(posts.join(hubs, "id").filter(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")), "jaccard-near")
-    rows = staged(classes.join(near, F.col("key") == F.col("node")).select("key", "n", "ids", "root"), "jaccard-groups")
-    groups = rows.groupBy("root").agg(F.sum(F.octet_length("ids") / 8).cast("long").alias("tokens"))
-    total = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    groups = groups.withColumn("chunks", F.ceil(F.col("tokens") / room).cast("int"))
-    rows = rows.join(groups, "root")
+def _grouped(rows: DataFrame, work: Scratch, threshold: int, room: int) -> DataFrame:
+    """Links inside groups ``g`` of rows ``g, key, n, ids, asks``: rows that ask are searched against all of their group.
+
+    Groups of up to ``room`` shingles share tasks. Of a larger one, the rows that ask are dealt over blocks, all rows over
+    chunks, and each block meets each chunk. What has one row for a group is staged before the group's rows meet it, so
+    that adaptive execution splits the rows of a large group.
+    """
+    tokens = F.octet_length("ids") / 8
+    sizes = rows.groupBy("g").agg(F.sum(tokens).cast("long").alias("tokens"), F.ceil(F.sum(F.when(F.col("asks"), tokens).otherwise(0)) / room).cast("int").alias("blocks"))
+    sizes = work.table(sizes.withColumn("chunks", F.ceil(F.col("tokens") / room).cast("int")), "sizes")
+    total = sizes.filter("chunks = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bins = max(1, -(-2 * total // room))
-    edge = "a binary, b binary"
-
-    def run(df: DataFrame) -> DataFrame:
-        return df.groupBy("task").applyInPandas(lambda frame: _search_all(frame, threshold), edge)
-
-    small = rows.filter("chunks = 1").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")).alias("task"), F.col("root").alias("g"), "key", "n", "ids", F.lit(True).alias("asks"))
-    links = run(small)
-    large = rows.filter("chunks > 1")
-    if large.select(F.lit(1)).limit(1).count() == 0:
-        return links
-    chunk = F.pmod(F.xxhash64("key"), F.col("chunks"))
-
-    def task(*parts: str):
-        return F.concat_ws("-", F.lit("l"), F.hex("root"), *[F.col(p).cast("string") for p in parts])
-
-    # Each chunk with the group's least document (its root) added.
-    in_chunks = large.withColumn("chunk", F.when(F.col("key") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk.cast("int")))).withColumn("chunk", F.explode("chunk"))
-    first = staged(links.union(run(in_chunks.select(task("chunk").alias("task"), F.col("root").alias("g"), "key", "n", "ids", F.lit(True).alias("asks")))), "jaccard-links")
-    label = components(first, "jaccard-part")
-    label = staged(label, "jaccard-label").select("node", F.col("root").alias("label"))
-    # Labels are least nodes, so what is connected to the group's least document has its key as label.
-    with_label = large.join(label, F.col("key") == F.col("node"), "left").withColumn("open", F.coalesce("label", "key") != F.col("root")).drop("node", "label")
-    with_label = staged(with_label, "jaccard-open")
-    blocks = with_label.filter("open").groupBy("root").agg(F.ceil(F.sum(F.octet_length("ids") / 8) / room).cast("int").alias("blocks"))
-    asked = with_label.filter("open").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(True))
-    there = with_label.join(blocks, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", chunk.cast("int")).withColumn("asks", F.lit(False))
-    pick = [task("chunk", "block").alias("task"), F.col("root").alias("g"), "key", "n", "ids", "asks"]
-    return first.union(run(asked.select(*pick).union(there.select(*pick))))
+    rows = rows.join(sizes, "g")
+    pick = ["task", "g", "key", "n", "ids", "asks"]
+    small = rows.filter("chunks = 1").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string"))).select(*pick)
+    large = rows.filter("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    asked = large.filter("asks").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    there = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
+    task = F.concat_ws("-", F.lit("l"), F.hex("g"), "chunk", "block")
+    return small.unionByName(asked.unionByName(there).withColumn("task", task).select(*pick)).groupBy("task").applyInPandas(lambda frame: _search_all(frame, threshold), "a binary, b binary")
+
+
+def _links(classes: DataFrame, work: Scratch, threshold: int, room: int) -> DataFrame:
+    """Links (``a``, ``b``: keys) that connect what is linked, from classes ``key, n, ids, rare``.
+
+    Groups of possible partners that are too large for a task are searched twice. First in chunks, each with the group's
+    least document: most of a large group of near copies is connected then. What isn't ("open") is grouped anew, by the
+    rare shingles that open documents share with each other, and to each new group come the connected documents that
+    share such a shingle with one of its open documents: no other pair can link that isn't connected already.
+    """
+    posts = classes.select("key", F.explode("rare").alias("id"))
+    hubs = work.table(posts.groupBy("id").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter(F.col("hub") != F.col("last")).select("id", "hub"), "hubs")
+    near = work.table(components(posts.join(hubs, "id").filter(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")), work), "near")
+    rows = work.table(classes.join(near, F.col("key") == F.col("node")).select("key", "n", "ids", F.col("root").alias("g")), "groups")
+    sizes = work.table(rows.groupBy("g").agg(F.ceil(F.sum(F.octet_length("ids")) / (8 * room)).cast("int").alias("parts")), "parts")
+    rows = rows.join(sizes, "g")
+    whole = rows.select("g", "key", "n", "ids", F.lit(True).alias("asks"))
+    if sizes.agg(F.max("parts")).first()[0] in (None, 1):
+        return _grouped(whole, work, threshold, room)
+    # A part's name is the group's and its number; the group's least document, whose key is its name, is in all of them.
+    numbers = F.when(F.col("key") == F.col("g"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+    parts = rows.withColumn("part", F.explode(numbers)).select(F.encode(F.concat_ws("-", F.hex("g"), "part"), "utf-8").alias("g"), "key", "n", "ids")
+    first = work.table(_grouped(parts.withColumn("asks", F.lit(True)), work, threshold, 4 * room), "first")
+    label = work.table(components(first, work), "label").select("node", F.col("root").alias("label"))
+    # Labels are least keys, so what is connected to the group's least document has its key as label.
+    seen = rows.filter("parts > 1").join(label, F.col("key") == F.col("node"), "left")
+    seen = work.table(seen.select("key", "n", "ids", (F.coalesce("label", "key") != F.col("g")).alias("asks")), "seen")
+    posts = work.table(seen.select("key", "asks").join(posts, "key"), "posts")
+    hubs = work.table(posts.filter("asks").groupBy("id").agg(F.min("key").alias("hub")), "hubs")
+    near = work.table(components(posts.filter("asks").join(hubs, "id").filter(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")), work), "near")
+    named = work.table(hubs.join(near, F.col("hub") == F.col("node"), "left").select("id", F.coalesce("root", "hub").alias("g")), "named")
+    members = work.table(posts.join(named, "id").select("g", "key").distinct(), "members")
+    return first.union(_grouped(members.join(seen, "key").select("g", "key", "n", "ids", "asks"), work, threshold, room))
+
+
+#: The bit that turns signed numbers into unsigned ones of the same order.
+_SIGN = -(1 << 63)
+
+
+def _named(key: Column, least: Column) -> Column:
+    """A class's key with its least id before it, so that keys are in the order of ids, classes without an id last."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(least, F.lit(0)).bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+    return F.concat(F.when(least.isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), number, key)
+
+
+def _id_of(name: Column) -> Column:
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number)
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, batch: int = BATCH, bucket: int = BUCKET, room: int = SEARCH, heavy: tuple[float, int] = (HEAVY_SHARE, HEAVY_LEAST)) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
+    """``doc_id, n_shingles, component_id`` of every row, a staged table.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a set has the distinct runs of ``words`` words, or all
     words as one where they are fewer. Two documents link at ``threshold`` percent; ``component_id`` is the smallest id
     that links reach. Without words, or for null, the set is empty and links with nothing, so that the component is the
     document itself. Repeated rows are in one component; rows of null id count but never name one.
     """
-    small_batches(docs)
     rows = docs.select(*flagged(column(docs, id_col, "long"), "id"), column(docs, text_col, "string").alias("text"))
-    sets = _sets(rows, words, threshold, batch, bucket, *heavy)
-    classes = sets.filter(F.col("rare").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.first("rare").alias("rare"))
-    links = staged(_links(staged(classes, "jaccard-classes"), threshold, room), "jaccard-links")
-    label = components(links, "jaccard-classes")
-    known = sets.select("doc_id", "n", "key").join(label, F.col("key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
-    least = known.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return known.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    with Scratch(docs.sparkSession, "jaccard") as work:
+        sets = _sets(rows, work, words, threshold, batch, bucket, *heavy)
+        classes = sets.filter(F.col("rare").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("ids").alias("ids"), F.first("rare").alias("rare"))
+        classes = work.table(classes.select(F.col("key").alias("set"), _named(F.col("key"), F.col("least")).alias("key"), "n", "ids", "rare"), "classes")
+        links = work.table(_links(classes.drop("set"), work, threshold, room), "found")
+        root = work.table(components(links, work), "roots")
+        known = classes.select("set", "key").join(root, F.col("key") == F.col("node"), "left").select(F.col("set").alias("key"), F.coalesce("root", "key").alias("root"))
+        known = work.table(known, "known")
+        out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(known, "key", "left")
+        return staged(out.select("doc_id", "n_shingles", F.when(F.col("root").isNotNull(), _id_of(F.col("root"))).otherwise(F.col("doc_id")).alias("component_id")), "jaccard-classes")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, small_batches
+from .common import TEXT_ROWS, column
 from .tokens import of_worker, text_groups
 
 #: Hash values of n-grams.
@@ -135,7 +135,6 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     Rows are chosen by ``order`` (a hash, long) below a share that is counted for each language. Only the languages'
     n-gram counts, ``BINS`` numbers each, come to the driver; over ``MOST_LANGUAGES`` languages it refuses.
     """
-    small_batches(docs)
     rows = docs.select(column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang"), learn.alias("learn"), F.pmod(order, F.lit(1 << 20)).alias("h")).filter("learn and lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -172,7 +171,6 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", ambiguous
     A null text, or one without a letter, is ``und`` with score 0. Nothing but the text is used. Whole texts, one pass,
     no shuffle; columns of these three names are replaced.
     """
-    small_batches(docs)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "ambiguous")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], column(docs, text_col, "string").alias("__text"))
@@ -181,17 +179,19 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", ambiguous
         import pyarrow as pa
 
         grams: Grams = of_worker(("grams",), Grams)
-        for batch in batches:
-            texts = pd.Series(batch.column(batch.num_columns - 1).to_pylist(), dtype=object)
-            langs: list[str] = []
-            scores, flags = [np.empty(0)], [np.empty(0, bool)]
-            for some in text_groups(texts, GROUP_CHARS):
-                a, b, c = spread.value.predict(*grams.of(texts.iloc[some].tolist()), ambiguous)
-                langs += a
-                scores.append(b)
-                flags.append(c)
-            out = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(flags))]
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXT_ROWS):
+                batch = whole.slice(at, TEXT_ROWS)
+                texts = pd.Series(batch.column(batch.num_columns - 1).to_pylist(), dtype=object)
+                langs: list[str] = []
+                scores, flags = [np.empty(0)], [np.empty(0, bool)]
+                for some in text_groups(texts, GROUP_CHARS):
+                    a, b, c = spread.value.predict(*grams.of(texts.iloc[some].tolist()), ambiguous)
+                    langs += a
+                    scores.append(b)
+                    flags.append(c)
+                out = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(flags))]
+                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
     from pyspark.sql import types as T
 

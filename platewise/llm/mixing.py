@@ -13,7 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_TASK, WORD, column, running_total, staged
+from .common import ROWS_PER_TASK, WORD, Scratch, column, running_total, staged
+
+
+#: Sources are counted on the driver, one row for each; beyond this number it refuses.
+MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +57,7 @@ def mix(
     max_repeats: int = 3,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document: ``row_key, <id>, <source>, size, source_size, target, repeats, taken``.
+    """One row per document, a staged table: ``row_key, <id>, <source>, size, source_size, target, repeats, taken``.
 
     ``weights`` gets the sources in code point order, null last, and returns a weight for each. ``budget`` (words;
     default: all) is shared by weight under the cap of ``max_repeats`` times a source's size. ``repeats`` is how often
@@ -71,43 +75,48 @@ def mix(
         F.xxhash64(column(docs, text_col, "string")).alias("mark"),
         *([] if key_col is None else [column(docs, key_col, "long").alias("tie")]),
     )
-    rows = staged(rows, "mix-sizes")
-    totals = sorted(((r["source"], r["s"] or 0, r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    names, sizes = [r[0] for r in totals], [int(r[1]) for r in totals]
-    n_rows = sum(r[2] for r in totals)
-    total = float(sum(sizes) if budget is None else budget)
-    targets = capped_targets(sizes, weights(names), total, max_repeats)
-    table = spark.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(zip(names, sizes, targets, strict=True))], "rank int, source string, source_size long, target double")
-    parts = max(1, n_rows // ROWS_PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    queue = (
-        rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"]), "left").drop(table["source"])
-        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("mark"))))
-    )
-    if key_col is None:
-        queue = queue.withColumn("tie", F.monotonically_increasing_id())
-    # One running total over all sources in a row; what stands before a source's first document is the sum of the sources before it.
-    queue = running_total(queue, ["rank", "h", "doc_id", "mark", "tie"], "size", "before", "mix-queue", parts)
-    first, at = [], 0
-    for i, n in enumerate(sizes):
-        first.append((i, at))
-        at += n
-    firsts = spark.createDataFrame(first, "rank int, first long")
-    queue = queue.join(F.broadcast(firsts), "rank").withColumn("before", F.col("before") - F.col("first"))
-    # One copy for each round of the source that can come into the mix; words beyond target + one document never do.
-    rounds = F.least(F.lit(max_repeats - 1), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int"))
-    copies = (
-        queue.filter((F.col("size") > 0) & (F.col("target") > 0))
-        .withColumn("round", F.explode(F.sequence(F.lit(0), rounds)))
-        .withColumn("finish", (F.col("round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))
-        .select("tie", "round", "size", "finish", "rank", "h", "mark")
-    )
-    ordered = running_total(copies, ["finish", "rank", "h", "mark", "tie", "round"], "size", "sent", "mix-order", parts)
-    repeats = ordered.filter(F.col("sent") + F.col("size") <= F.lit(total)).groupBy("tie").agg(F.count("*").cast("int").alias("repeats"))
-    return (
-        queue.join(repeats, "tie", "left")
-        .withColumn("repeats", F.coalesce("repeats", F.lit(0)))
-        .select(F.col("tie").alias("row_key"), F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
-    )
+    with Scratch(spark, "mixing") as work:
+        rows = work.table(rows, "sizes")
+        found = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
+        totals = sorted(((r["source"], r["s"] or 0, r["n"]) for r in found), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
+        names, sizes = [r[0] for r in totals], [int(r[1]) for r in totals]
+        n_rows = sum(r[2] for r in totals)
+        total = float(sum(sizes) if budget is None else budget)
+        targets = capped_targets(sizes, weights(names), total, max_repeats)
+        table = spark.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(zip(names, sizes, targets, strict=True))], "rank int, source string, source_size long, target double")
+        parts = max(1, n_rows // ROWS_PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        queue = (
+            rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"]), "left").drop(table["source"])
+            .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("mark"))))
+        )
+        if key_col is None:
+            queue = queue.withColumn("tie", F.monotonically_increasing_id())
+        # One running total over all sources in a row; what stands before a source's first document is the sum of the sources before it.
+        queue = running_total(queue, ["rank", "h", "doc_id", "mark", "tie"], "size", "before", work, parts)
+        first, at = [], 0
+        for i, n in enumerate(sizes):
+            first.append((i, at))
+            at += n
+        firsts = spark.createDataFrame(first, "rank int, first long")
+        queue = queue.join(F.broadcast(firsts), "rank").withColumn("before", F.col("before") - F.col("first"))
+        # One copy for each round of the source that can come into the mix; words beyond target + one document never do.
+        rounds = F.least(F.lit(max_repeats - 1), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int"))
+        copies = (
+            queue.filter((F.col("size") > 0) & (F.col("target") > 0))
+            .withColumn("round", F.explode(F.sequence(F.lit(0), rounds)))
+            .withColumn("finish", (F.col("round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))
+            .select("tie", "round", "size", "finish", "rank", "h", "mark")
+        )
+        ordered = running_total(copies, ["finish", "rank", "h", "mark", "tie", "round"], "size", "sent", work, parts)
+        repeats = ordered.filter(F.col("sent") + F.col("size") <= F.lit(total)).groupBy("tie").agg(F.count("*").cast("int").alias("repeats"))
+        out = (
+            queue.join(repeats, "tie", "left")
+            .withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+            .select(F.col("tie").alias("row_key"), F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
+        )
+        return staged(out, "mix")
 
 
 def cycle_weights(sources: list[str | None]) -> list[float]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, exact_ids, flagged, small_batches, staged
+from .common import column, exact_ids, flagged, staged
 from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 
 #: Pieces of one bin on average.
@@ -123,7 +123,6 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, id_col: str
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    small_batches(docs)
     rows = docs.select(*flagged(column(docs, id_col, "long"), "doc_id"), F.monotonically_increasing_id().alias("row_key"), column(docs, text_col, "string").alias("text"))
     return rows.mapInPandas(cut, "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, exact_ids, flagged, small_batches
+from .common import column, exact_ids, flagged
 from .hashing import SpanHasher, SpanTable
 
 #: Parts that a worker's table holds at most; a full table is emptied.
@@ -330,7 +330,6 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", *, id_col:
             counts = [n for some in text_groups(batch["text"]) for n in counter.count_many(batch["text"].iloc[some].tolist())]
             yield pd.DataFrame({id_col: exact_ids(batch, "id"), "n_bytes": batch["n_bytes"], "n_tokens": counts})
 
-    small_batches(docs)
     text = column(docs, text_col, "string")
     rows = docs.select(*flagged(column(docs, id_col, "long"), "id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
     out = rows.mapInPandas(count, f"`{id_col}` long, n_bytes long, n_tokens long")

@@ -6,6 +6,7 @@ import pytest
 
 from tests_support import classes
 
+from platewise.llm.common import Scratch
 from platewise.llm.graph import components
 from platewise.llm.jaccard import jaccard_classes, search
 
@@ -67,5 +68,5 @@ def test_search_connects_what_is_linked():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
-    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "links")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 130)}
