@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import staged
+from platewise.llm.common import row_keys, staged
 from platewise.llm.jaccard import jaccard_classes
 from platewise.llm.language import UNKNOWN, identify, learned
 from platewise.llm.mixing import cycle_weights, mix
@@ -20,34 +20,38 @@ from platewise.llm.packing import pack_documents
 ROW = "__row"
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with ``ROW``, staged, so that a row has one number however often it is read."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without text or any letter go. Learned from the labelled documents of the input."""
     return identify(docs, learned(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
+def chosen(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows that a narrow staged table ``some`` names by ``ROW``, with its columns.
+
+    Whole texts move once, unsorted, to meet a hash table of the few numbers of their partition: one plan at any size.
+    """
+    return rows.join(some.hint("shuffle_hash"), ROW)
+
+
 def distinct_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links connect: the one of smallest id, nulls last, whatever ids the rows share.
 
     Rows of equal id, or all without one, are in the order of a hash of the text. Rows without words are kept as they are.
     """
-    rows = keyed(docs, "distinct")
+    rows = row_keys(docs, ROW)
     # The operator's id is the row's own number here, so that a component names the class of a row.
     classes = jaccard_classes(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__class"))
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(ROW).alias("row"))
     least = rows.select(ROW, order.alias("__order")).join(classes, ROW).groupBy("__class").agg(F.min("__order").alias("__order"))
-    return rows.join(least.select(F.col("__order.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    kept = staged(least.select(F.col("__order.row").alias(ROW)), "distinct")
+    return chosen(rows, kept).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by the weights 5, 2, 1 over the sources: each row comes as often as it is taken, or goes, whatever its id."""
-    rows = keyed(docs, "mixing")
+    rows = row_keys(docs, ROW)
     taken = mix(rows, cycle_weights, key_col=ROW).filter("repeats > 0").select(F.col("row_key").alias(ROW), F.col("repeats").alias("__repeats"))
-    return rows.join(taken, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    return chosen(rows, taken).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
