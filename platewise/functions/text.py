@@ -148,7 +148,7 @@ def csv_escape(c: Column) -> Column:
 
 def country_codes(tags: Column, codes: Column) -> Column:
     """``struct(codes, unresolved)`` of a comma list of ``en:`` tags or names; ``codes`` maps slugs to country codes."""
-    parts = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda x: F.trim(x)), lambda p: p != "")
     found = F.transform(parts, lambda p: F.struct(p.alias("p"), F.try_element_at(codes, F.when(p.startswith("en:"), F.trim(F.substring(p, 4, 1000))).otherwise(slug(p))).alias("c")))
     return F.struct(F.transform(F.filter(found, lambda x: x["c"].isNotNull()), lambda x: x["c"]).alias("codes"), F.transform(F.filter(found, lambda x: x["c"].isNull()), lambda x: x["p"]).alias("unresolved"))
 

@@ -49,15 +49,42 @@ def _fold(rows: Column) -> Column:
     return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.get(rows, F.lit(0)), step)
 
 
+#: Rows of a display group, by their order of arrival, whose best is found together.
+STRIDE = 4096
+
+
+def _incumbents(rows: DataFrame) -> DataFrame:
+    """Add ``now``: of each row's group the best (popularity, quality, the earliest of equals) up to and with it, in order of arrival.
+
+    A group is cut into strides of ``ord``; the best before a stride comes from one row a stride, the rest from the stride
+    itself. So a group of very many rows is never in one task.
+    """
+    me = F.struct("popularity", "quality", (-F.col("ord")).alias("back"), "name")
+    cut = rows.withColumn("__me", me).withColumn("__stride", F.floor(F.col("ord") / STRIDE))
+    best = cut.groupBy("k", "__stride").agg(F.max("__me").alias("m"))
+    before = Window.partitionBy("k").orderBy("__stride").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("k", "__stride").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    met = cut.join(best.select("k", "__stride", F.max("m").over(before).alias("__before")), ["k", "__stride"])
+    return met.withColumn("__inside", F.max("__me").over(inside)).withColumn("now", F.greatest("__before", "__inside")).drop("__me", "__stride", "__before", "__inside")
+
+
 def merge_aliases(foods: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One winner for each display key (within ``by``, such as ``source``) with the aliases its group gathers.
 
-    The fold depends on the order of arrival (``ord``), so a group's names are gathered in order; a group is the records
-    that share name, brand and energy step in a national table, whose number doesn't grow with the catalogue.
+    The fold depends on the order of arrival (``ord``, unique). Only what can matter is gathered: the rows that beat all
+    before them, and between two of these the first usable name of each language. Popularity and quality are not null.
     """
-    row = F.struct("ord", "id", "name", "popularity", "quality", F.coalesce("aliases", F.array().cast(ALIASES)).alias("aliases"))
     key = F.struct(*(by or []), display_key(F.col("name"), F.col("brand"), F.col("kcal")))
-    merged = foods.groupBy(key.alias("k")).agg(_fold(F.array_sort(F.collect_list(row))).alias("w")).select(F.col("w.id").alias("id"), F.col("w.aliases").alias("merged"))
+    rows = foods.select(key.alias("k"), F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("id"), "name", F.col("popularity").cast("int").alias("popularity"), F.col("quality").cast("int").alias("quality"), F.coalesce("aliases", F.array().cast(ALIASES)).alias("aliases"))
+    now = _incumbents(rows)
+    mine = -F.col("now.back")
+    best = now.filter(F.col("ord") == mine).select("k", "ord", "id", "name", "popularity", "quality", "aliases")
+    given = now.filter(F.col("ord") != mine).select("k", mine.alias("reign"), "now", "ord", F.posexplode("aliases").alias("at", "a")).filter(F.col("a.name") != F.col("now.name"))
+    first = given.groupBy("k", "reign", F.col("a.lang").alias("lang")).agg(F.min(F.struct("ord", "at", "a")).alias("f"))
+    losers = first.select("k", F.col("f.ord").alias("ord"), F.col("f.at").alias("at"), F.lit(None).cast("long").alias("id"), F.lit("").alias("name"), F.lit(-1).alias("popularity"), F.lit(-1).alias("quality"), F.array("f.a").cast(ALIASES).alias("aliases"))
+    both = best.withColumn("at", F.lit(-1)).unionByName(losers)
+    row = F.struct("ord", "at", "id", "name", "popularity", "quality", "aliases")
+    merged = both.groupBy("k").agg(_fold(F.array_sort(F.collect_list(row))).alias("w")).select(F.col("w.id").alias("id"), F.col("w.aliases").alias("merged"))
     return foods.join(merged, "id").withColumn("aliases", F.col("merged")).drop("merged")
 
 

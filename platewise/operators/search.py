@@ -6,40 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import COMPOUND_LANGS, depluralize, lexicon, split_compounds
-from .staging import staged
+from .staging import Scratch, staged
 
 #: Weights of the indexed columns, and the two constants of BM25.
 WEIGHTS = {"name": 5.0, "brand": 1.0, "aliases": 3.0, "extra": 0.0}
 K1, B = 1.2, 0.75
 #: Sources that name the food first and stack what qualifies it.
 HEAD_FIRST = ("nevo", "foodfiles")
-#: Letters of a token that queries and postings meet on before the whole prefix is compared.
-STEM = 2
+#: Letters of a word that a token can be a beginning of.
+LONGEST = 64
 
 
 def build_postings(foods: DataFrame) -> DataFrame:
-    """``token, stem, id, col, tf, dl``: words of the searchable columns of each food (``dl``: words of the column).
+    """``word, id, col, tf, dl``: words of the searchable columns of each food (``dl``: words of the column).
 
     ``foods``: ``id, name_folded, brand, alias_names, search_extra``; the brand is lower-cased here.
     """
     cols = {"name": F.col("name_folded"), "brand": F.lower("brand"), "aliases": F.col("alias_names"), "extra": F.col("search_extra")}
     words = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("w")) for c, x in cols.items()]))
-    one = foods.select("id", words.alias("x")).select("id", "x.col", F.size("x.w").alias("dl"), F.explode("x.w").alias("token"))
-    return one.groupBy("token", "id", "col").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).withColumn("stem", F.substring("token", 1, STEM))
+    one = foods.select("id", words.alias("x")).select("id", "x.col", F.size("x.w").alias("dl"), F.explode("x.w").alias("word"))
+    return one.groupBy("word", "id", "col").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def prefix_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, id, bm25``: foods of which some word begins with each token of a query; the best bm25 is the greatest.
 
-    ``queries``: ``query_id, tokens``. Tokens meet postings on their first letters by an equi-join, then the prefix is
-    compared; a token shorter than that meets the words' first letter. Every column of every word counts as one row.
+    ``queries``: ``query_id, tokens``. Each different token meets the beginnings of each different word, as equal strings;
+    only the words found meet their postings, so work follows what matches, and a word in very many foods is split by
+    adaptive execution. Every column of every word counts as one row.
     """
     asked = queries.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
     distinct = asked.select("token").distinct()
-    short, long_ = distinct.filter(F.length("token") < STEM), distinct.filter(F.length("token") >= STEM)
-    p = postings.withColumnRenamed("token", "word")
-    hit = long_.withColumn("stem", F.substring("token", 1, STEM)).join(p, "stem").filter(F.startswith("word", F.col("token"))).select("token", "id", "col", "tf", "dl")
-    hit = hit.union(short.withColumn("one", F.col("token")).join(p.withColumn("one", F.substring("word", 1, 1)), "one").select("token", "id", "col", "tf", "dl"))
+    beginnings = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    begun = postings.select("word").distinct().select("word", F.explode(beginnings).alias("token"))
+    hit = distinct.join(begun, "token").join(postings, "word").select("token", "id", "col", "tf", "dl")
     by_row = hit.groupBy("token", "id", "col").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     weight = F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("col"))
     per_food = by_row.groupBy("token", "id").agg(F.sum(weight * F.col("tf")).alias("wtf"))
@@ -131,7 +131,7 @@ def shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, scope: Colu
         F.length(c["name"]).alias("o8"), F.round("bm25", 9).alias("o9"), c["quality"].alias("o10"),
     )
     w = Window.partitionBy("query_id").orderBy("o1", "tier", "o3", "o4", "o5", "o6", "o7", "o8", F.desc("o9"), F.desc("o10"), "id")
-    return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("limit")).select("query_id", "id", "tier", "place", "o1")
+    return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("limit")).select("query_id", "id", "tier", "place")
 
 
 def branded_shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame) -> DataFrame:
@@ -162,35 +162,47 @@ def lenders(served: DataFrame) -> DataFrame:
     return first.join(served.select(F.col("source").alias("lender"), "lang"), "lang").filter("lender <> source").select("source", "lender").distinct()
 
 
-def search(queries: DataFrame, foods: DataFrame, served: DataFrame) -> DataFrame:
-    """``query_id, place, id, shelf, tier`` for a batch of queries: own table, rescue, borrowed tables, branded filler.
+def search(queries: DataFrame, foods: DataFrame, served: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """``query_id, place, id, shelf, tier`` for a batch of queries, a staged table: own foods, own table, rescue, borrowed tables, branded filler.
 
-    Three passes over all queries at once, each staged: rescue and borrowing only run for the queries that need them. ``served`` lists
-    each source's languages in order. The merge puts native head matches first, then the shelves, each in its order.
+    Passes over all queries at once, each staged: rescue and borrowing only run for the queries that need them. ``served``
+    lists each source's languages in order. ``custom`` (``query_id, id, place``) are the asker's own foods: they come first
+    (shelf -1, no tier), outside the ranking, and the tables fill what they leave of the limit. The merge puts names that begin with
+    the query (tier 2 or less) first, then the shelves, the better tiers, and each shelf's order; branded filler comes last.
     """
-    foods, queries = staged(foods, "search-foods"), staged(queries, "search-queries")
-    postings = staged(build_postings(foods), "search-postings")
-    own = F.col("f_source") != "off"
-    mine = own & ((F.col("source") == "") | (F.col("f_source") == F.col("source")))
-    base = queries.withColumn("head", F.lit("")).withColumn("lead_source", F.when(F.col("source").isin(*HEAD_FIRST), F.col("source")).otherwise(""))
-    first = staged(shelf(base, postings, foods, mine), "search-first")
-    words = lexicon(foods.filter("source <> 'off'").select("source", "lang", F.col("name_folded").alias("folded")), ["source", "lang"])
-    other = staged(rescue(base, first, words), "search-rescue")
-    again = base.drop("q", "head", "tokens").join(other, "query_id").withColumn("tokens", F.array("q"))
-    second = shelf(again, postings, foods, mine)
-    now = base.join(other.select("query_id"), "query_id", "left_anti").unionByName(again)
-    primary = staged(first.join(other.select("query_id"), "query_id", "left_anti").unionByName(second), "search-primary")
-    empty = now.filter("source <> ''").join(primary.select("query_id").distinct(), "query_id", "left_anti")
-    lent = lenders(served).groupBy("source").agg(F.collect_set("lender").alias("from"))
-    borrowed = shelf(empty.join(lent, "source").withColumn("lead_source", F.lit("")), postings, foods, own & F.array_contains("from", F.col("f_source")))
-    borrowed = staged(borrowed, "search-borrowed")
-    generic = primary.withColumn("shelf", F.lit(0)).unionByName(borrowed.withColumn("shelf", F.lit(1)))
-    filler = branded_shelf(now, postings, foods).withColumn("shelf", F.lit(2)).withColumn("o1", F.lit(1))
-    w = Window.partitionBy("query_id").orderBy("bucket", "shelf", "place")
-    merged = generic.unionByName(filler).withColumn("bucket", F.when((F.col("o1") == 0) & (F.col("tier") <= 2), 0).otherwise(1))
-    once = merged.groupBy("query_id", "id").agg(F.min(F.struct("bucket", "shelf", "place", "tier")).alias("m")).select("query_id", "id", "m.*")
-    out = once.withColumn("rank", F.row_number().over(w)).join(queries.select("query_id", "limit"), "query_id").filter(F.col("rank") <= F.col("limit"))
-    return out.select("query_id", F.col("rank").alias("place"), "id", "shelf", "tier")
+    with Scratch(foods.sparkSession, "search") as work:
+        foods, queries = work.table(foods, "foods"), work.table(queries, "queries")
+        limits = queries.select("query_id", "limit")
+        none = F.lit(None).cast("int")
+        mine_first = None
+        if custom is not None:
+            mine_first = work.table(custom.join(limits, "query_id").filter(F.col("place") <= F.col("limit")).select("query_id", F.col("place").cast("int").alias("place"), "id", F.lit(-1).alias("shelf"), none.alias("tier")), "custom")
+            used = mine_first.groupBy("query_id").agg(F.count("*").cast("int").alias("used"))
+            queries = queries.join(used, "query_id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("limit", F.col("limit") - F.col("used")).filter(F.col("limit") > 0)
+            queries = work.table(queries, "queries")
+        postings = work.table(build_postings(foods), "postings")
+        own = F.col("f_source") != "off"
+        mine = own & ((F.col("source") == "") | (F.col("f_source") == F.col("source")))
+        base = queries.withColumn("head", F.lit("")).withColumn("lead_source", F.when(F.col("source").isin(*HEAD_FIRST), F.col("source")).otherwise(""))
+        first = work.table(shelf(base, postings, foods, mine), "first")
+        words = lexicon(foods.filter("source <> 'off'").select("source", "lang", F.col("name_folded").alias("folded")), ["source", "lang"])
+        other = work.table(rescue(base, first, words), "rescue")
+        again = base.drop("q", "head", "tokens").join(other, "query_id").withColumn("tokens", F.array("q"))
+        second = shelf(again, postings, foods, mine)
+        now = base.join(other.select("query_id"), "query_id", "left_anti").unionByName(again)
+        primary = work.table(first.join(other.select("query_id"), "query_id", "left_anti").unionByName(second), "primary")
+        empty = now.filter("source <> ''").join(primary.select("query_id").distinct(), "query_id", "left_anti")
+        lent = lenders(served).groupBy("source").agg(F.collect_set("lender").alias("from"))
+        borrowed = shelf(empty.join(lent, "source").withColumn("lead_source", F.lit("")), postings, foods, own & F.array_contains("from", F.col("f_source")))
+        generic = primary.withColumn("shelf", F.lit(0)).unionByName(borrowed.withColumn("shelf", F.lit(1)))
+        generic = generic.withColumn("order", F.struct(F.when(F.col("tier") <= 2, 0).otherwise(1).alias("a"), F.col("shelf").alias("b"), F.col("tier").alias("c"), "place"))
+        filler = branded_shelf(now, postings, foods).withColumn("shelf", F.lit(2))
+        filler = filler.withColumn("order", F.struct(F.lit(2).alias("a"), F.col("shelf").alias("b"), F.lit(0).alias("c"), "place"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("order"))
+        ranked = generic.unionByName(filler).withColumn("rank", rank).join(queries.select("query_id", "limit", *(["used"] if custom is not None else [])), "query_id").filter(F.col("rank") <= F.col("limit"))
+        place = F.col("rank") + F.col("used") if custom is not None else F.col("rank")
+        out = ranked.select("query_id", place.alias("place"), "id", "shelf", "tier")
+        return staged(out if mine_first is None else mine_first.unionByName(out), "search")
 
 
 def boost(results: DataFrame, favourites: DataFrame, recents: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +11,11 @@ from ..functions import foods as food
 from ..functions import numbers, nutrition, text
 from ..operators import audit, diary, maintain, search, tables
 from ..operators import catalogue as cat
-from ..operators.staging import shared_folder
+from ..operators.staging import work_dir
 from ..sources.common import driver_table
 from ..streaming import live
 from . import views as v
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-MACROS = ("kcal", "protein", "fat", "carbs")
-
-
-def register(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with the SQL that DuckDB runs for it."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def with_views(sql: str, **more: str) -> str:
-    """SQL with the stand-in views in front."""
-    views = {"foods": v.CATALOGUE_SQL, "diary": v.DIARY_SQL, "goals": v.GOALS_SQL, "weights": v.WEIGHTS_SQL, "profiles": v.PROFILES_SQL, "long_values": v.LONG_SQL} | more
-    used = {n: q for n, q in views.items() if n in sql or any(n in x for x in more.values())}
-    return "with " + ", ".join(f"{n} as ({q})" for n, q in used.items()) + " " + sql
-
+from .registry import MACROS, register, with_views
 
 REASON_SQL = (
     "case when kcal is null then 'no energy' when kcal < 0 or kcal > 900 then 'energy range' when protein is null or fat is null or carbs is null then 'incomplete macros' "
@@ -119,10 +95,10 @@ def recent_foods(spark, d):
     return diary.recent_foods(v.diary(spark, d), 20)
 
 
-@register(with_views("select distinct user_id, log_date from diary"))
+@register(with_views("select distinct user_id, log_date from diary where h % 5 <> 0"))
 def logged_dates(spark, d):
-    """Days on which each user logged something."""
-    return v.diary(spark, d).select("user_id", "log_date").distinct()
+    """Days on which a user has entries left, from changes: entries of every fifth hour are deleted again."""
+    return live.live_logged_dates(_changes(driver_table(spark, d, "events"))).select("user_id", "log_date")
 
 
 @register(with_views("select id as copied_from, user_id, cast(log_date + interval 1 day as date) as log_date, h, calories, name from diary where h < 11"))
@@ -149,10 +125,19 @@ def population_targets(spark, d):
     return out.filter("kcal is not null").select("user_id", "bmr", "kcal", "protein", "fat", "carbs")
 
 
-@register("select user_id, measured_on, kg, floor(kg / 0.45359237::double * 10 + 0.5) / 10 as lb, kg * 4.184::double as kj from weights".replace("weights", f"({v.WEIGHTS_SQL}) w"))
+_TENTH_LB = "floor(kg / 0.45359237::double * 10 + 0.5) / 10"
+
+
+@register(f"select user_id, measured_on, kg, {_TENTH_LB} as lb from weights".replace("weights", f"({v.WEIGHTS_SQL}) w"))
 def body_units(spark, d):
-    """Weights in pounds (and a conversion of energy)."""
-    return v.weights(spark, d).select("user_id", "measured_on", "kg", nutrition.kg_to_lb(F.col("kg")).alias("lb"), nutrition.kcal_to_kj(F.col("kg")).alias("kj"))
+    """Weights in pounds."""
+    return v.weights(spark, d).select("user_id", "measured_on", "kg", nutrition.kg_to_lb(F.col("kg")).alias("lb"))
+
+
+@register(with_views("select id, kcal * 4.184::double as kj from foods"))
+def energies_in_kj(spark, d):
+    """Energies in kilojoules."""
+    return v.catalogue(spark, d).select("id", nutrition.kcal_to_kj(F.col("kcal")).alias("kj"))
 
 
 @register(with_views(f"select reason, count(*) as n from (select coalesce({REASON_SQL}, 'kept') as reason from foods) group by reason"))
@@ -324,68 +309,11 @@ def clean_names(spark, d):
     return driver_table(spark, d, "pages").select("page_id", text.clean_name(title).alias("name"))
 
 
-QTOKENS = "select query_id, unnest(tokens) as token, length(tokens) as n from q"
-QUERIES_SQL = "select row_number() over (order by w) as query_id, w as q, [w] as tokens from (select distinct substr(p_name, 1, 4) as w from part where position(' ' in substr(p_name, 1, 4)) = 0)"
-POSTINGS_SQL = "select id, col, word, count(*) as tf, any_value(dl) as dl from (select id, 'name' as col, unnest(t) as word, length(t) as dl from (select id, regexp_extract_all(lower(name), '[a-z0-9]+') as t from foods) union all select id, 'brand', unnest(t), length(t) from (select id, regexp_extract_all(lower(coalesce(brand, '')), '[a-z0-9]+') as t from foods)) group by id, col, word"
-
-
-def _search_foods(spark: SparkSession, d: str) -> DataFrame:
-    f = _ranked(spark, d)
-    none = F.lit(None).cast("string")
-    return f.select("id", "name", F.lower("name").alias("name_folded"), none.alias("alias_names"), F.array().cast(cat.ALIASES).alias("aliases"), none.alias("search_extra"), "brand", "source", "lang", food.basic_rank(F.col("name"), F.col("source"), F.col("nova")).alias("basic_rank"), "quality", F.lit(True).alias("preferred"))
-
-
-def _search_queries(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    words = driver_table(spark, d, "part").select(F.substring("p_name", 1, 4).alias("q")).filter(F.locate(" ", "q") == 0).distinct()
-    return words.select(F.row_number().over(Window.orderBy("q")).alias("query_id"), "q", F.array("q").alias("tokens"))
-
-
-@register(with_views("select query_id, p.id, sum(ln_part) as bm25 from (select t.query_id, t.n, x.id, greatest(0.000001, ln((s.rows - d.df + 0.5) / (d.df + 0.5))) * x.wtf * 2.2 / (x.wtf + 1.2 * (0.25 + 0.75 * l.len / s.avg_len)) as ln_part from qt t join wtf x on x.token = t.token join (select token, count(*) as df from wtf group by token) d on d.token = x.token join len l on l.id = x.id, (select count(*) as rows, avg(len) as avg_len from len) s) p group by query_id, p.id, p.n having count(*) = p.n", foods=v.CATALOGUE_SQL + " where not (p_partkey % 17 = 0)", q=QUERIES_SQL, qt=QTOKENS, post=POSTINGS_SQL, hit="select t.token, p.id, p.col, sum(p.tf) as tf from (select distinct token from qt) t join post p on starts_with(p.word, t.token) group by all", wtf="select token, id, sum(tf * case col when 'name' then 5.0 else 1.0 end) as wtf from hit group by all", len="select id, sum(dl) as len from (select distinct id, col, dl from post) group by id"))
-def prefix_search(spark, d):
-    """Foods that match a batch of prefix queries, with their BM25."""
-    return search.prefix_matches(_search_queries(spark, d), search.build_postings(_search_foods(spark, d)))
-
-
-FLAT_SQL = "concat(' ', regexp_replace(regexp_replace(n, '[,-]', ' ', 'g'), ' +', ' ', 'g'), ' ')"
-
-
-@register(with_views(f"select query_id, id, case when n = q or n = q || 's' then 0 when starts_with(n, q || ',') or starts_with(n, q || 's,') then 1 when starts_with(n, q || ' ') or starts_with(n, q || 's ') then 2 when contains({FLAT_SQL}, ' ' || q || ' ') then 3 when contains({FLAT_SQL}, ' ' || q) then 4 else 5 end as tier from (select query_id, id, q, lower(name) as n from q, foods where kcal is not null and contains(concat(' ', lower(name), ' '), ' ' || q))", q=QUERIES_SQL))
-def match_tiers(spark, d):
-    """How well names match queries."""
-    f = _search_foods(spark, d)
-    hits = search.prefix_matches(_search_queries(spark, d), search.build_postings(f.withColumn("brand", F.lit(None).cast("string")))).select("query_id", "id")
-    rows = hits.join(_search_queries(spark, d), "query_id").join(f, "id")
-    cols = {c: F.col(c) for c in search.FOOD}
-    return rows.select("query_id", "id", search.match_tier(F.col("q"), cols, F.array(F.lit("en")), F.lit("")).alias("tier"))
-
-
-@register()
-def ranked_search(spark, d):
-    """Ranked results of a batch of queries: own table, rescue, borrowed tables, branded filler."""
-    q = _search_queries(spark, d).withColumn("source", F.lit("bls")).withColumn("languages", F.array(F.lit("de"), F.lit("en"))).withColumn("limit", F.lit(30))
-    served = spark.createDataFrame([("usda", "en", 1), ("bls", "de", 1), ("bls", "en", 2), ("frida", "da", 1), ("frida", "en", 2)], "source string, lang string, place int")
-    return search.search(q, _search_foods(spark, d), served)
-
-
-@register(with_views("select query_id, case when bool_or(name like q || '%' and place <= 5) and not bool_or(place <= 5 and contains(name, 'anvil')) then 'pass' else 'fail' end as verdict from (select q.query_id, q.q, f.name, row_number() over (partition by q.query_id order by length(f.name), f.id) as place from q join foods f on contains(f.name, q.q)) group by query_id", q=QUERIES_SQL))
-def relevance_report(spark, d):
-    """Judged queries that pass in the first five results."""
-    from pyspark.sql import Window
-
-    q, f = _search_queries(spark, d), v.catalogue(spark, d).select("id", "name")
-    words = f.withColumn("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 3), lambda i: F.substring("name", i, F.lit(4))))))
-    hits = words.join(q.filter(F.length("q") == 4), words["word"] == q["q"])
-    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("name"), "id"))).select("query_id", "place", "name")
-    judged = q.select("query_id", F.concat(F.lit("^"), "q").alias("acceptable"), F.lit("anvil").alias("unacceptable"))
-    return search.evaluate(ranked, judged, 5)
-
-
-@register("select l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.5) as median, quantile_cont(l_extendedprice, 0.95) as p95 from lineitem group by all")
+@register("select event_type, hour(ts) as h, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.95) as p95 from events group by all")
 def latency_summary(spark, d):
-    """Median and 95th percentile of a measure by batch."""
-    return search.latency_summary(driver_table(spark, d, "lineitem").withColumnRenamed("l_extendedprice", "ms"), ["l_returnflag", "l_linestatus"])
+    """Median and 95th percentile of timings by batch: values of events stand for milliseconds."""
+    e = driver_table(spark, d, "events").select("event_type", F.hour("ts").alias("h"), F.col("value").alias("ms"))
+    return search.latency_summary(e, ["event_type", "h"])
 
 
 NUTRIENT_SQL = "select user_id, log_date, case when ref_id % 7 <> 0 then calories end as value, ref_id % 5 = 0 as trace, ref_id % 11 = 0 as bounded from diary"
@@ -443,16 +371,6 @@ def audit_rows(spark, d):
     return audit.row_checks(v.catalogue(spark, d), checks).withColumn("passed", F.col("n") <= F.col("budget"))
 
 
-@register()
-def audit_report(spark, d):
-    """All checks of the catalogue."""
-    f = v.catalogue(spark, d)
-    foods_ = f.withColumn("name_folded", F.lower("name")).withColumn("alias_names", F.lit(None).cast("string")).withColumn("basic_rank", F.lit(1)).withColumn("source_rank", food.source_rank(F.col("source"))).withColumn("carbs_convention", F.lit("available"))
-    aliases = spark.createDataFrame([], "food_id long, ord int, lang string, name string")
-    servings = f.select(F.col("id").alias("food_id"), F.lit(0).alias("sort_order"), F.lit("serving").alias("label"), F.col("carbs").alias("grams"))
-    return audit.audit(foods_, aliases, f.filter("barcode is not null").select("barcode", F.col("id").alias("food_id")), servings)
-
-
 @register("with a as (select l_orderkey as k, l_linenumber as f, max(l_quantity) as v from lineitem where l_linestatus = 'F' group by all), b as (select l_orderkey as k, l_linenumber as f, max(l_quantity) as v from lineitem where l_linestatus = 'O' group by all) select coalesce(a.k, b.k) as k, coalesce(a.f, b.f) as f, a.v as expected, b.v as actual, case when b.k is null then 'missing' when a.k is null then 'unexpected' else 'differs' end as error from a full join b on a.k = b.k and a.f = b.f where a.k is null or b.k is null or abs(a.v - b.v) > 1e-14 * greatest(abs(a.v), abs(b.v))")
 def reconciled_figures(spark, d):
     """Figures derived anew against those stored."""
@@ -477,11 +395,26 @@ def licensed_export(spark, d):
     return cat.flat_export(sub["foods"], sub["barcodes"]).select("id", "name", "barcodes")
 
 
-@register(with_views("select id, concat_ws(',', cast(log_date as varchar), ref_kind, case when regexp_matches(t, '[\",\\n\\r]') then concat('\"', replace(t, '\"', '\"\"'), '\"') else t end) as line from (select *, case when regexp_matches(name, '^[=+@\\t\\r-]') then concat('''', name) else name end as t from diary)"))
+_CELL = "case when {0} is null then '' else '\"' || replace(case when regexp_matches({0}, '^[=+@\\t\\r-]') then concat('''', {0}) else {0} end, '\"', '\"\"') || '\"' end"
+
+
+@register(
+    with_views(
+        "select id, concat_ws(',', cast(log_date as varchar), meal, " + _CELL.format("food") + ", " + _CELL.format("brand") + ", amount, '\"g\"', amount, cast(calories as varchar), '1.0', '2.0', '3.0', '\"g\"', amount, '', " + _CELL.format("credit") + ") as value from e",
+        e="select *, case when h < 11 then 'breakfast' when h < 15 then 'lunch' when h < 17 then 'snack' when h < 21 then 'dinner' else 'snack' end as meal, case h % 4 when 0 then '=' || name when 1 then 'a \"b\", ' || name when 2 then '-' || name else name end as food, case when h % 3 = 0 then 'Acme' end as brand, cast(h as varchar) || '.5' as amount, case when h % 2 = 0 then 'credit, of it' end as credit from diary",
+    )
+)
 def export_lines(spark, d):
-    """Diary entries as safe CSV lines."""
+    """Diary entries as lines of the CSV export."""
     e = v.diary(spark, d)
-    return e.select("id", F.concat_ws(",", text.csv_escape(F.col("log_date")), text.csv_escape(F.col("ref_kind")), text.csv_escape(F.col("name"))).alias("line"))
+    n = F.col("h")
+    food_name = F.when(n % 4 == 0, F.concat(F.lit("="), "name")).when(n % 4 == 1, F.concat(F.lit('a "b", '), "name")).when(n % 4 == 2, F.concat(F.lit("-"), "name")).otherwise(F.col("name"))
+    amount = n + F.lit(0.5)
+    rows = e.select(
+        "id", F.col("log_date").alias("date"), F.upper(nutrition.meal_for_hour(n)).alias("meal"), food_name.alias("food_name"), F.when(n % 3 == 0, "Acme").alias("brand"), amount.alias("quantity"), F.lit("g").alias("unit"), amount.alias("grams"), "calories",
+        F.lit(1.0).alias("protein_g"), F.lit(2.0).alias("fat_g"), F.lit(3.0).alias("carbs_g"), F.lit("g").alias("nutrition_basis"), amount.alias("basis_amount"), F.when(n % 2 == 0, "credit, of it").alias("source_credit"), "created_at",
+    )
+    return diary.export_lines(rows, keep=("id",))
 
 
 CHANGES_SQL = "select user_id, log_date, count(*) filter (where h % 5 <> 0) as entries, sum(case when h % 5 <> 0 then case when h % 3 = 0 then calories * 2 else calories end else 0 end) as calories from diary group by user_id, log_date"
@@ -510,7 +443,7 @@ def totals_from_changes(spark, d):
 @register(TOTALS_SQL)
 def live_totals(spark, d):
     """The same totals from a stream over the events, run until it has seen all of them."""
-    out = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    out = f"{work_dir(spark)}/live-{uuid.uuid4().hex}"
     table = driver_table(spark, d, "events")
     single = table.inputFiles()[0].endswith("/events.parquet")  # a file, or a folder of files
     reader = spark.readStream.schema(table.schema)
@@ -541,12 +474,21 @@ def scanned_barcodes(spark, d):
     return maintain.resolve_barcode(scans, codes, custom).select("user_id", "barcode", "kind", "id")
 
 
-@register()
+@register(
+    with_views(
+        "select w.id, string_agg(p.lang || ':' || p.alias, '|' order by p.late, p.pos) as aliases from win w join pick p using (k) group by w.id",
+        ranked=RANKED_SQL,
+        rows_="select *, lower(trim(name)) || '|' || lower(trim(coalesce(brand, ''))) || '|' || cast(floor(kcal / 50) as varchar) as k, popularity * 1000 + quality as pq, 'l' || cast(id % 5 as varchar) as al, name || ' ' || cast(id % 3 as varchar) as alias from ranked",
+        rec="select *, pq > coalesce(max(pq) over (partition by k order by ord rows between unbounded preceding and 1 preceding), -1) as record from rows_",
+        pick="select * from (select *, row_number() over (partition by k, lang order by late, pos) as n from (select k, al as lang, alias, case when record then 0 else 1 end as late, case when record then -ord else ord end as pos from rec)) where n = 1",
+        win="select k, max_by(id, ord) as id from rec where record group by k",
+    )
+)
 def merged_aliases(spark, d):
-    """Foods with the names that their display group gathers."""
+    """Foods with the names that their display group gathers: its best rows' own, the latest first, then the others' as they came."""
     alias = F.array(F.struct(F.concat(F.lit("l"), (F.col("id") % 5).cast("string")).alias("lang"), F.concat("name", F.lit(" "), (F.col("id") % 3).cast("string")).alias("name")))
     out = cat.merge_aliases(_ranked(spark, d).withColumn("aliases", alias))
-    return out.select("id", F.to_json("aliases").alias("aliases"))
+    return out.select("id", F.array_join(F.transform("aliases", lambda a: F.concat(a["lang"], F.lit(":"), a["name"])), "|").alias("aliases"))
 
 
 @register(with_views("select source, 'brand' as \"column\" from foods group by source having count(brand) = 0 union all select source, 'lang' from foods group by source having count(lang) = 0"))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from platewise.plans import queries as base
+from platewise.plans import registry as base
 
 FOLDER = "/root/testdata/sf0.001"
 

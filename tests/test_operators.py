@@ -255,8 +255,8 @@ def test_streams_equal_batches(spark, tmp_path):
     for k, data in enumerate([[("96385074", 60.0, 3.0, 3.0, 5.0, "", 50, 1, 0), ("96385075", 60.0, 3.0, 3.0, 5.0, "", 99, 1, 1)], [("96385074", 60.0, 3.0, 3.0, 5.0, "", 50, 1, 2), ("96385074", 60.0, 3.0, 3.0, 5.0, "", 60, 0, 3)]]):
         spark.createDataFrame(data, products).coalesce(1).write.parquet(f"file://{tmp_path}/p/{k}")
     stream = spark.readStream.schema(products).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/p")
-    live.keep_current(stream, f"file://{tmp_path}/best", f"file://{tmp_path}/c2", live.ingest_products()).awaitTermination()
-    assert rows(spark.read.parquet(f"file://{tmp_path}/best/1"), "barcode", "quality", "ord") == [("96385074", 60, 3)]
+    live.keep_current(stream, f"file://{tmp_path}/best", f"file://{tmp_path}/c2", live.ingest_products(), ["barcode"]).awaitTermination()
+    assert rows(live.read_current(spark, f"file://{tmp_path}/best"), "barcode", "quality", "ord") == [("96385074", 60, 3)]
 
 
 def test_contracts(spark):
