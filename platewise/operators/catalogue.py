@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.foods import COUNTRY_OF_SOURCE, basic_rank, clean_micros, display_key, quality_score, rank_name, source_rank
 from ..functions.text import british_name, fold_name
-from .tables import ContractError, assert_unique, content_digest
+from .tables import ContractError, assert_empty, assert_unique, content_digest
 
 ALIASES = "array<struct<lang:string,name:string>>"
 #: The language of a national table's own names; languages that write compounds; links inside compounds.
@@ -269,6 +269,25 @@ def export_subset(foods: DataFrame, child_tables: dict[str, DataFrame], source:
     return {"foods": kept, **out}
 
 
+def verify_subset(subset: dict[str, DataFrame], flat: DataFrame, source: str) -> dict[str, int]:
+    """Rows of each table of a subset, or an error: a food of another source, a child of a food that isn't in it, or a flat export of another length."""
+    foods = subset["foods"]
+    assert_empty(foods.filter(~F.col("source").eqNullSafe(F.lit(source))).select("id", "source"), "other sources")
+    ids = foods.select(F.col("id").alias("food_id"))
+    for name, df in subset.items():
+        if name != "foods":
+            assert_empty(df.join(ids, "food_id", "left_anti"), f"{name} of other foods")
+    counts = {name: df.count() for name, df in subset.items()} | {"flat": flat.count()}
+    if counts["flat"] != counts["foods"]:
+        raise ContractError(f"counts differ: {counts}")
+    return counts
+
+
+def write_flat(flat: DataFrame, path: str) -> None:
+    """A flat export as compressed CSV parts with a header."""
+    flat.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+
+
 def flat_export(foods: DataFrame, barcodes: DataFrame) -> DataFrame:
     """One row for each food with its codes joined by semicolons."""
     codes = barcodes.groupBy("food_id").agg(F.array_join(F.array_sort(F.collect_set("barcode")), ";").alias("barcodes"))

@@ -134,6 +134,12 @@ def latest_by(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__r")).select("__r.*")
 
 
+def logged_dates(entries: DataFrame, *, user: str = "user_id", date: str = "log_date") -> DataFrame:
+    """The days that a user logged, each once, with ``place`` 1 for the newest; stored text that is no date is left out."""
+    days = entries.select(user, F.col(date).cast("string").try_cast("date").alias(date)).filter(F.col(date).isNotNull()).distinct()
+    return days.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(date))))
+
+
 def copy_day(entries: DataFrame, by: int = 1) -> DataFrame:
     """A meal's entries as of the day after: amounts and frozen figures stay, ids are left for the writer."""
     return entries.withColumn("copied_from", F.col("id")).withColumn("log_date", F.date_add("log_date", by)).drop("id")

@@ -112,6 +112,26 @@ def native_head(q: Column, f: dict[str, Column], languages: Column) -> Column:
 FOOD = ("id", "name", "name_folded", "alias_names", "aliases", "search_extra", "brand", "source", "lang", "basic_rank", "quality", "preferred")
 
 
+def one_source(source: Column) -> Column:
+    """Scope of a shelf: foods of a query's own table, or of every national table where it has none."""
+    return national() & ((source == "") | (F.col("f_source") == source))
+
+
+def national() -> Column:
+    """Scope of a shelf: every national table."""
+    return F.col("f_source") != "off"
+
+
+def listed(sources: Column) -> Column:
+    """Scope of a shelf: national tables of a list."""
+    return national() & F.array_contains(sources, F.col("f_source"))
+
+
+def with_preference(foods: DataFrame, members: DataFrame) -> DataFrame:
+    """Foods with ``preferred`` as the members' table says (``id, preferred``), false for foods it doesn't have."""
+    return foods.drop("preferred").join(members.select("id", "preferred"), "id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
+
+
 def shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, scope: Column) -> DataFrame:
     """Each query's best foods in scope: ``query_id, id, tier, place`` with place 1 to the query's ``limit``.
 
@@ -181,8 +201,7 @@ def search(queries: DataFrame, foods: DataFrame, served: DataFrame, custom: Data
             queries = queries.join(used, "query_id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("limit", F.col("limit") - F.col("used")).filter(F.col("limit") > 0)
             queries = work.table(queries, "queries")
         postings = work.table(build_postings(foods), "postings")
-        own = F.col("f_source") != "off"
-        mine = own & ((F.col("source") == "") | (F.col("f_source") == F.col("source")))
+        mine = one_source(F.col("source"))
         base = queries.withColumn("head", F.lit("")).withColumn("lead_source", F.when(F.col("source").isin(*HEAD_FIRST), F.col("source")).otherwise(""))
         first = work.table(shelf(base, postings, foods, mine), "first")
         words = lexicon(foods.filter("source <> 'off'").select("source", "lang", F.col("name_folded").alias("folded")), ["source", "lang"])
@@ -193,7 +212,7 @@ def search(queries: DataFrame, foods: DataFrame, served: DataFrame, custom: Data
         primary = work.table(first.join(other.select("query_id"), "query_id", "left_anti").unionByName(second), "primary")
         empty = now.filter("source <> ''").join(primary.select("query_id").distinct(), "query_id", "left_anti")
         lent = lenders(served).groupBy("source").agg(F.collect_set("lender").alias("from"))
-        borrowed = shelf(empty.join(lent, "source").withColumn("lead_source", F.lit("")), postings, foods, own & F.array_contains("from", F.col("f_source")))
+        borrowed = shelf(empty.join(lent, "source").withColumn("lead_source", F.lit("")), postings, foods, listed(F.col("from")))
         generic = primary.withColumn("shelf", F.lit(0)).unionByName(borrowed.withColumn("shelf", F.lit(1)))
         generic = generic.withColumn("order", F.struct(F.when(F.col("tier") <= 2, 0).otherwise(1).alias("a"), F.col("shelf").alias("b"), F.col("tier").alias("c"), "place"))
         filler = branded_shelf(now, postings, foods).withColumn("shelf", F.lit(2))

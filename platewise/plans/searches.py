@@ -170,7 +170,7 @@ def _first(spark: SparkSession, d: str) -> DataFrame:
     lead = F.when(F.col("source").isin(*search.HEAD_FIRST), F.col("source")).otherwise("")
     q = search_queries(spark, d).withColumn("head", F.lit("")).withColumn("lead_source", lead)
     f = search_foods(spark, d)
-    return search.shelf(q, search.build_postings(f), f, (F.col("f_source") != "off") & ((F.col("source") == "") | (F.col("f_source") == F.col("source"))))
+    return search.shelf(q, search.build_postings(f), f, search.one_source(F.col("source")))
 
 
 @register(BASE + FIRST + " select query_id, id, tier, place from first")
@@ -261,7 +261,7 @@ def rank_probes(spark, d):
 
     f = search_foods(spark, d)
     q = search_queries(spark, d).filter("source = ''").withColumn("head", F.lit("")).withColumn("lead_source", F.lit(""))
-    top = search.shelf(q, search.build_postings(f), f, F.col("f_source") != "off").filter("place = 1")
+    top = search.shelf(q, search.build_postings(f), f, search.national()).filter("place = 1")
     best = top.select("query_id", "id").join(f, "id").join(q.select("query_id", "q"), "query_id")
     head = F.get(F.split("q", " "), F.lit(0))
     return best.select("query_id", audit.bears_word(F.col("name_folded"), F.col("alias_names"), head).alias("named"), (F.col("basic_rank") < 2).alias("plain"))

@@ -189,6 +189,13 @@ def source_representatives(spark, d):
     return cat.representatives(f).select("id", "name")
 
 
+@register(with_views("select user_id, try_cast(t as date) as log_date, row_number() over (partition by user_id order by try_cast(t as date) desc) as place from (select distinct user_id, case when h = 5 then 'not a day' else cast(log_date as varchar) end as t from diary) where try_cast(t as date) is not null"))
+def days_newest_first(spark, d):
+    """Each user's logged days, newest first; text that is no date is left out."""
+    e = v.diary(spark, d).select("user_id", F.when(F.col("h") == 5, "not a day").otherwise(F.col("log_date").cast("string")).alias("log_date"))
+    return diary.logged_dates(e)
+
+
 _SCREEN = (
     ", shown as (select user_id, unnest([max(log_date), cast(max(log_date) + interval 1 day as date)]) as log_date, max(log_date) as today from diary group by user_id), t as (select user_id, log_date, count(*) as entries, sum(calories) as calories from diary group by all), "
     "l as (select user_id, string_agg(cast(log_date as varchar), ',' order by log_date desc) as logged from t group by user_id) "

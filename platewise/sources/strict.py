@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.foods import clean_barcode, reject_reason, serving_grams, upstream_error
-from ..functions.numbers import parse_nutrient, to_float
+from ..functions.numbers import DIALECTS, parse_cell, to_float
 from ..functions.text import clean_name, first_country
 from ..operators.tables import ContractError, assert_empty, assert_unique, duplicates_by, pair_by_occurrence, set_difference, table_diff
 from .common import FIELDS, delimited, finish
@@ -49,53 +49,6 @@ def load_branded(spark: SparkSession, path: str, codes: Column, parts: int | Non
     return finish(df, "off", lang=None, why=F.col("why"))
 
 
-def load_strict_wide(wide: DataFrame, details: DataFrame, definitions: DataFrame) -> DataFrame:
-    """The Dutch form: ``key, name_nl, name_en, basis, fields..`` wide, and ``key, nutrient, value, unit, flag, code, reference`` in detail.
-
-    Any malformed, repeated or disagreeing row refuses the source: keys are unique, each wide cell equals every detail of
-    its figure, details have one unit and flag, figures follow the strict grammar, the basis is g or ml. Returns
-    ``key, nutrient, figure, references`` long; references are distinct and sorted whatever the order of the rows.
-    """
-    assert_unique(wide, "key")
-    assert_empty(wide.filter(~F.col("basis").isin("g", "ml")).select("key", "basis"), "basis")
-    fields = [r["nutrient"] for r in definitions.select("nutrient").distinct().collect()]
-    long_ = wide.unpivot(["key"], fields, "nutrient", "cell")
-    one = details.groupBy("key", "nutrient").agg(F.count_distinct("value").alias("values"), F.count_distinct("unit").alias("units"), F.count_distinct(F.coalesce("flag", F.lit(""))).alias("flags"), F.max("value").alias("value"), F.max("unit").alias("unit"), F.max("flag").alias("flag"), F.array_sort(F.collect_set(F.struct("code", "reference"))).alias("references"), F.count("*").alias("n"))
-    assert_empty(one.filter("values > 1 or units > 1 or flags > 1").select("key", "nutrient"), "details disagree")
-    both = long_.join(one, ["key", "nutrient"], "full_outer")
-    bad = ~F.coalesce("cell", F.lit("")).eqNullSafe(F.coalesce("value", F.lit(""))) | (F.col("n").isNull() & (F.coalesce("cell", F.lit("")) != ""))
-    assert_empty(both.filter(bad).select("key", "nutrient", "cell", "value"), "wide and details differ")
-    out = both.filter("n is not null").select("key", "nutrient", parse_nutrient(F.col("value"), F.col("unit"), F.col("nutrient"), F.col("flag")).alias("figure"), "references")
-    assert_empty(out.filter("figure.error is not null").select("key", "nutrient", "figure.error"), "figures")
-    return out
-
-
-def disjoint(df: DataFrame, a: str, b: str) -> None:
-    """Raise where two arrays of a row have a member in common."""
-    assert_empty(df.filter(F.arrays_overlap(a, b)), f"{a} and {b} overlap")
-
-
-def read_tilde(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The New Zealand form: a licence line, then ``~``-separated text with a fixed header."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    first = [r["value"] for r in lines.limit(2).collect()]
-    if len(first) < 2 or first[1].split("~") != columns:
-        raise ContractError(f"{path}: header {first[1:]}")
-    cells = lines.filter(~F.col("value").isin(*first)).withColumn("c", F.split("value", "~"))
-    assert_empty(cells.filter(F.size("c") != len(columns)).select("value"), "malformed line")
-    return cells.select(*[F.get("c", F.lit(i)).alias(x) for i, x in enumerate(columns)], F.col("n").alias("ord"))
-
-
-def without_pinned(foods: DataFrame, pinned: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Drop pinned foods whose conflicting figures are still as pinned; a change in any of them refuses the source."""
-    seen = pinned.join(foods.select(*keys, *[F.col(v).alias(f"now_{v}") for v in values]), keys, "left")
-    changed = F.lit(False)
-    for v in values:
-        changed = changed | ~F.col(v).eqNullSafe(F.col(f"now_{v}"))
-    assert_empty(seen.filter(changed).select(*keys), "pinned figures changed")
-    return foods.join(pinned.select(*keys), keys, "left_anti")
-
-
 def resolve_portions(portions: DataFrame, resolved: DataFrame) -> DataFrame:
     """One weight for each (food, label): a label with several must be one that is pinned with its choice, else the source is refused."""
     sets = portions.groupBy("key", "label").agg(F.array_sort(F.collect_set("grams")).alias("all"))
@@ -120,9 +73,15 @@ def long_sheet(values: DataFrame, pinned: DataFrame) -> DataFrame:
     return values.join(pinned.select("parameter", "field"), "parameter").groupBy("key").pivot("field", fields).agg(F.max("value"))
 
 
-def agreeing_languages(sheets: dict[str, DataFrame], key: str, cells: list[str], names: str) -> DataFrame:
-    """Sheets of one table in several languages: equal keys and equal cells (marks of missing and trace apart from case), names by language."""
+def agreeing_languages(sheets: dict[str, DataFrame], key: str, cells: list[str], names: str, dialect: str = "swiss") -> DataFrame:
+    """Sheets of one table in several languages: equal keys and equal cells (the case of marks apart), names by language.
+
+    Every cell must be blank, a mark of the dialect, or a figure; a cell of other text refuses the table.
+    """
     (lang, base), *rest = sheets.items()
+    for c in cells:
+        known = F.coalesce(F.trim(c), F.lit("")).isin("", *DIALECTS[dialect][0], *DIALECTS[dialect][1]) | parse_cell(F.col(c), dialect).isNotNull()
+        assert_empty(base.filter(~known).select(key, c), f"{c}: no figure")
     out = base.withColumnRenamed(names, f"name_{lang}")
     for other, df in rest:
         assert_empty(set_difference(base, df, key), f"keys of {lang} and {other}")
@@ -132,6 +91,15 @@ def agreeing_languages(sheets: dict[str, DataFrame], key: str, cells: list[str],
     return out
 
 
+def agreeing_components(sheet: DataFrame, headers: list[str], pinned: dict[str, str]) -> None:
+    """A sheet that says which column holds each component (``component, header``) must say what is pinned, once, and the table have those columns."""
+    said = {}
+    for r in sheet.filter(F.col("component").isin(*pinned)).select("component", F.trim("header").alias("header")).distinct().collect():
+        said.setdefault(r["component"], []).append(r["header"])
+    if wrong := [c for c, h in pinned.items() if said.get(c) != [h] or headers.count(h) != 1]:
+        raise ContractError(f"components {wrong}")
+
+
 def agreeing_books(solid: DataFrame, liquid: DataFrame, key: str, name: str) -> None:
     """Every liquid food is among the solid ones, by the same name."""
     assert_empty(liquid.select(key, name).join(solid.select(key, F.col(name).alias("other")), key, "left").filter(~F.col(name).eqNullSafe(F.col("other"))), "liquid foods")
@@ -181,8 +149,3 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     fig = {f: F.try_element_at("product.nutriments", F.lit(c)) for f, c in (("kcal", "energy-kcal_100g"), ("protein", "proteins_100g"), ("fat", "fat_100g"), ("carbs", "carbohydrates_100g"))}
     df = rows.select("status", clean_barcode(F.col("code")).alias("barcode"), clean_name(F.col("product.product_name")).alias("name"), F.size("product.countries_tags").alias("tags"), *[v.alias(k) for k, v in fig.items()])
     return df.filter("status = 1 and tags > 0 and name is not null and barcode is not null").filter(reject_reason(*[F.col(c) for c in FIELDS[:4]]).isNull())
-
-
-def in_order(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Numbers rows of a key by an order: nothing downstream may rely on where a row happened to be."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -219,15 +219,6 @@ def test_branded_and_text_formats(spark, tmp_path):
 
 
 def test_strict_tables(spark):
-    wide = spark.createDataFrame([("1", "g", "3", "<1")], "key string, basis string, FAT string, PROTEIN string")
-    details = [("1", "FAT", "3", "g", None, "A", "r2"), ("1", "FAT", "3", "g", None, "A", "r1"), ("1", "PROTEIN", "<1", "g", None, "B", "r1")]
-    schema = "key string, nutrient string, value string, unit string, flag string, code string, reference string"
-    definitions = spark.createDataFrame([("FAT",), ("PROTEIN",)], "nutrient string")
-    got = {r.nutrient: r for r in strict.load_strict_wide(wide, spark.createDataFrame(details, schema), definitions).collect()}
-    assert [x.reference for x in got["FAT"].references] == ["r1", "r2"] and got["PROTEIN"].figure.upper == 1.0
-    for bad in (details[:2] + [("1", "PROTEIN", "2", "g", None, "B", "r1")], details + [("1", "FAT", "3", "mg", None, "A", "r3")], details[:2] + [("1", "PROTEIN", "x", "g", None, "B", "r1")]):
-        with pytest.raises(tables.ContractError):
-            strict.load_strict_wide(wide, spark.createDataFrame(bad, schema), definitions)
     portions = spark.createDataFrame([("1", "cup", 240.0), ("1", "cup", 250.0), ("2", "cup", 1.0)], "key string, label string, grams double")
     none = spark.createDataFrame([], "key string, label string, grams double, all array<double>")
     with pytest.raises(tables.ContractError):
