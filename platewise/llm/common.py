@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.staging import Scratch, staged, work_dir, written  # noqa: F401
+
 #: One word of a text: a run without space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of whole texts that go to a Python worker at once: texts may be long, and workers share the executor's memory.
@@ -24,80 +22,14 @@ TEXT_ROWS = 1_000
 ROWS_PER_TASK = 250_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for the row, although ``body`` uses it inside other functions."""
+    return F.transform(F.array(value), body)[0]
 
-    Only a session in one process (``local``, as in tests) may leave that setting out: a temporary folder is made for it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-@contextmanager
-def setting(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (``__`` for a dot) that hold for the actions inside only."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
-def written(df: DataFrame, path: str, **options: str) -> None:
-    """Write Parquet. Whole texts go to Python workers in small batches meanwhile; shuffle files go when the table is there."""
-    with setting(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(TEXT_ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.options(**options).parquet(path)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    written(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables that an operator stages for itself, in a folder of their own in the shared one; they go when the work is done."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.folder = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: list[tuple[DataFrame, str]] = []
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Like :func:`staged`."""
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        written(df, path)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths.append((table, path))
-        return table
-
-    def _remove(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that nothing reads any more."""
-        for table, path in self.paths:
-            if any(table is x for x in tables):
-                self._remove(path)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self._remove(self.folder)
+
+def constant(values: list[int], kind: str) -> Column:
+    """An array that the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
