@@ -3,7 +3,7 @@
 A recording (a binary column of 16-bit samples) becomes frames of the power of the twelve pitch classes. Rectangular
 filters are laid over these frames with an integral image; each filter's answer is rounded to two bits, and sixteen
 filters make one packed integer for each frame. To align recordings, integers that both hold (two at a fixed distance,
-to be rare) vote for an offset; at the offset with most votes the bits that differ are counted.
+to be rare) vote for an offset; at each offset with enough votes the bits that differ are counted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, column, flagged, let, staged
 
 RATE = 2000
 FRAME, HOP = 512, 64
@@ -93,46 +93,65 @@ def fingerprint(audio: bytes | None, rate: int = RATE) -> np.ndarray:
     return packed_integers(chroma(np.frombuffer(audio, "<i2", len(audio) // 2).astype(float), rate))
 
 
-def fingerprint_media(media: DataFrame, *, id_col: str, audio_col: str = "audio", rate: int = RATE) -> DataFrame:
-    """``id, prints`` (array<long>) of every row, in one pass; other columns are left out, repeated rows kept."""
+def fingerprint_media(media: DataFrame, *, id_col: str, audio: dict[str, str] | None = None, rate: int = RATE) -> DataFrame:
+    """``id`` and integers (array<long>) of every row, in one pass; other columns are left out, repeated rows kept.
+
+    ``audio`` names the media columns and what their integers are called (default: ``prints`` of ``audio``). A recording
+    that is null, empty or too short has none; the odd byte of one of odd length is left out.
+    """
+    audio = audio or {"prints": "audio"}
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"id": f["id"].astype("Int64"), "prints": [fingerprint(a, rate).astype(np.int64) for a in f["audio"]]})
+            made = {p: [fingerprint(a, rate).astype(np.int64) for a in f[p]] for p in audio}
+            yield pd.DataFrame({"id": f["id"].astype("Int64").mask(f["nameless"]), **made})
+
+    rows = media.select(*flagged(column(media, id_col, "long"), "id"), *[F.col(f"`{c}`").alias(p) for p, c in audio.items()])
+    return rows.mapInPandas(run, "id long, " + ", ".join(f"{p} array<long>" for p in audio))
 
-    return media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{audio_col}`").alias("audio")).mapInPandas(run, "id long, prints array<long>")
 
+def content_key(prints: Column) -> Column:
+    """Equal for equal integers: 128 bits of hash as text; null for none, so that recordings without integers equal nothing."""
+    return F.when(F.size(prints) > 0, F.concat(F.hex(F.xxhash64(prints)), F.hex(F.xxhash64(F.lit(1), prints))))
 
-def _keys(prints: Column) -> Column:
-    """Two integers at KEY_STEP frames' distance as one number, with the frame of the first."""
-    pairs = F.transform(F.slice(prints, F.lit(1), F.greatest(F.size(prints) - KEY_STEP, F.lit(0))), lambda x, i: F.struct(F.shiftleft(x, 32).bitwiseOR(F.get(prints, i + KEY_STEP)).alias("k"), i.alias("t")))
-    return F.filter(pairs, lambda p, i: (i == 0) | (p["k"] != F.get(pairs, i - 1)["k"]))
 
+def _runs(prints: Column) -> Column:
+    """Runs of one key: ``k`` (two integers at KEY_STEP frames' distance), ``t`` the first frame, ``n`` how many frames."""
+    keys = F.transform(F.slice(prints, F.lit(1), F.greatest(F.size(prints) - KEY_STEP, F.lit(0))), lambda x, i: F.struct(F.shiftleft(x, 32).bitwiseOR(F.get(prints, i + KEY_STEP)).alias("k"), i.alias("t")))
 
-def classes(prints: DataFrame) -> DataFrame:
-    """Add ``class_id``: the least id that has the same integers."""
-    least = prints.groupBy(F.xxhash64("prints").alias("h"), F.col("prints").alias("p")).agg(F.min("id").alias("class_id")).withColumnRenamed("p", "prints")
-    return prints.withColumn("h", F.xxhash64("prints")).join(least, ["h", "prints"]).drop("h")
+    def lengths(all_: Column, first: Column) -> Column:
+        return F.transform(first, lambda s, i: F.struct(s["k"].alias("k"), s["t"].alias("t"), (F.coalesce(F.get(first, i + 1)["t"], F.size(all_)) - s["t"]).alias("n")))
+
+    return let(keys, lambda p: let(F.filter(p, lambda x, i: (i == 0) | (x["k"] != F.get(p, i - 1)["k"])), lambda first: lengths(p, first)))
 
 
 def align(queries: DataFrame, corpus: DataFrame, *, votes: int = VOTES, least_frames: int = LEAST_FRAMES, most_error: float = MOST_ERROR) -> DataFrame:
-    """``query_id, id, offset, votes, frames, bit_error`` of recordings that align with a query.
+    """``query, recording, offset, votes, frames, bit_error`` of recordings that align with a query.
 
-    Both tables have ``id, prints`` with unique ids. A pair is a candidate if an offset gets ``votes`` common keys; of equal
-    votes the least offset counts. The share of differing bits is taken over all frames that overlap there.
+    ``queries`` has ``query, prints``, ``corpus`` has ``recording, prints``, each with unique keys. Runs of a key that both
+    hold vote for the offsets at which they begin or end together, with as many votes as the shorter has frames; so steady
+    tones and silence align too. Each offset with ``votes`` or more is tried: the share of differing bits is taken over all
+    frames that overlap there. A pair's best offset is that of least error, then of most votes, then the least. Keys that
+    many recordings hold are split by adaptive execution, both sides of that join coming as they are.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.explode(_keys(F.col("prints"))).alias("x")).select("query_id", F.col("x.k").alias("k"), F.col("x.t").alias("tq"))
-    c = corpus.select("id", F.explode(_keys(F.col("prints"))).alias("x")).select("id", F.col("x.k").alias("k"), F.col("x.t").alias("tc"))
-    votes_ = c.join(q, "k").groupBy("query_id", "id", (F.col("tc") - F.col("tq")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes_.groupBy("query_id", "id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("query_id", "id", (-F.col("b.o")).alias("offset"), F.col("b.votes").alias("votes")).filter(F.col("votes") >= votes)
-    pairs = best.join(queries.select(F.col("id").alias("query_id"), F.col("prints").alias("a")), "query_id").join(corpus.select("id", F.col("prints").alias("b")), "id")
-    offset = F.col("offset").cast("int")
-    a = F.slice("a", F.greatest(F.lit(0), -offset) + 1, F.size("a"))
-    b = F.slice("b", F.greatest(F.lit(0), offset) + 1, F.size("b"))
-    same = pairs.withColumn("a", a).withColumn("b", b).withColumn("frames", F.least(F.size("a"), F.size("b")))
-    wrong = F.aggregate(F.zip_with("a", "b", lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0))), F.lit(0), lambda s, x: s + x)
-    out = same.withColumn("bit_error", wrong / (32.0 * F.greatest(F.col("frames"), F.lit(1)))).filter((F.col("frames") >= least_frames) & (F.col("bit_error") <= most_error))
-    return out.select("query_id", "id", "offset", "votes", "frames", "bit_error")
+    q = queries.select("query", F.explode(_runs(F.col("prints"))).alias("x")).select("query", F.col("x.k").alias("k"), F.col("x.t").alias("tq"), F.col("x.n").alias("nq"))
+    c = corpus.select("recording", F.explode(_runs(F.col("prints"))).alias("x")).select("recording", F.col("x.k").alias("k"), F.col("x.t").alias("tc"), F.col("x.n").alias("nc"))
+    begin = F.col("tc") - F.col("tq")
+    offsets = F.explode(F.array_distinct(F.array(begin, begin + F.col("nc") - F.col("nq"))))
+    voted = c.join(q, "k").select("query", "recording", offsets.alias("offset"), F.least("nq", "nc").alias("n")).groupBy("query", "recording", "offset").agg(F.sum("n").alias("votes")).filter(F.col("votes") >= votes)
+    tried = voted.groupBy("query", "recording").agg(F.collect_list(F.struct("offset", "votes")).alias("tries"))  # as many as the two have frames, at most
+    pairs = tried.join(queries.withColumnRenamed("prints", "a"), "query").join(corpus.withColumnRenamed("prints", "b"), "recording")
+
+    def judged(t: Column) -> Column:
+        a = F.slice(F.col("a"), F.greatest(F.lit(0), -t["offset"]) + 1, F.size("a"))
+        b = F.slice(F.col("b"), F.greatest(F.lit(0), t["offset"]) + 1, F.size("b"))
+        frames = F.least(F.size(a), F.size(b))
+        wrong = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0))), F.lit(0), lambda s, x: s + x)
+        error = F.when(frames >= least_frames, wrong / (32.0 * frames))
+        return F.struct(error.alias("bit_error"), (-t["votes"]).alias("less"), t["offset"].alias("offset"), t["votes"].alias("votes"), frames.alias("frames"))
+
+    best = F.array_min(F.filter(F.transform("tries", judged), lambda t: t["bit_error"] <= most_error))
+    return pairs.select("query", "recording", best.alias("t")).filter("t is not null").select("query", "recording", "t.offset", "t.votes", "t.frames", "t.bit_error")
 
 
 def melody(vector: np.ndarray, rate: int = RATE) -> bytes:
@@ -152,30 +171,42 @@ def excerpt(audio: bytes) -> bytes:
     return (0.7 * x + hiss).astype("<i2").tobytes()
 
 
-def recordings(vectors: DataFrame, *, again: bool = False) -> DataFrame:
-    """``vec_id, audio``: a media column that stands for each vector (or an excerpt of it, recorded again)."""
+def recordings(vectors: DataFrame) -> DataFrame:
+    """``vec_id, audio, again``: a media column that stands for each vector, and for ids that 50 divides an excerpt of it, recorded again."""
 
     def run(frames):
         for f in frames:
             made = [None if v is None else melody(v) for v in f["embedding"]]
-            yield pd.DataFrame({"vec_id": f["vec_id"].astype("Int64"), "audio": [excerpt(a) if a and again else a for a in made]})
+            asked = (f["vec_id"].mod(50) == 0) & ~f["nameless"]
+            yield pd.DataFrame({"vec_id": f["vec_id"].astype("Int64").mask(f["nameless"]), "audio": made, "again": [excerpt(a) if a and q else None for a, q in zip(made, asked, strict=True)]})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, audio binary")
+    return vectors.select(*flagged(column(vectors, "vec_id", "long"), "vec_id"), "embedding").mapInPandas(run, "vec_id long, audio binary, again binary")
 
 
-def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of a recording for each row of ``embeddings``; excerpts of those whose id 50 divides are searched in all.
+MATCHES = "array<struct<class_id:bigint,offset:int,bit_error:double>>"
 
-    Copies are one class, named by its least id. A row that is a query has ``matches``: classes it aligns with, with
-    offset in frames and share of differing bits; other rows have none.
+
+def search_recordings(media: DataFrame, *, id_col: str, audio_col: str = "audio", query_col: str = "again") -> DataFrame:
+    """``id, class_id, prints, matches`` of every row, a staged table: recordings with their class, and what their query column aligns with.
+
+    Equal recordings are one class, named by its least id (null if none has one); a recording without integers is a
+    class by itself. Rows are never merged by id: rows that share an id, or have none, are recordings each. ``matches`` are
+    classes by id, offset (frames) and share of differing bits; empty where the row is no query.
     """
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    prints = staged(classes(staged(fingerprint_media(recordings(vectors), id_col="vec_id"), "media-prints")), "media-classes")
-    again = staged(fingerprint_media(recordings(vectors.filter("vec_id % 50 = 0"), again=True), id_col="vec_id"), "media-queries")
-    asked = staged(classes(again), "media-asked")
-    corpus = prints.filter("id = class_id").select("id", "prints").dropDuplicates(["id"])
-    found = align(asked.filter("id = class_id").select("id", "prints").dropDuplicates(["id"]), corpus)
-    listed = found.groupBy(F.col("query_id").alias("ask")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("class_id"), F.col("offset").cast("int").alias("offset"), F.round("bit_error", 6).alias("bit_error")))).alias("matches"))
-    by_row = asked.select("id", F.col("class_id").alias("ask")).distinct().join(listed, "ask", "left").select("id", F.coalesce("matches", F.array().cast("array<struct<class_id:bigint,offset:int,bit_error:double>>")).alias("matches"))
-    out = prints.join(by_row, "id", "left")
-    return out.select(F.col("id").alias("vec_id"), "class_id", F.size("prints").alias("n_frames"), F.crc32(F.to_json("prints").cast("binary")).alias("prints_crc32"), F.to_json("matches").alias("matches"))
+    with Scratch(media.sparkSession, "media") as work:
+        rows = fingerprint_media(media, id_col=id_col, audio={"prints": audio_col, "asked": query_col})
+        rows = work.table(rows.withColumn("recording", content_key(F.col("prints"))).withColumn("query", content_key(F.col("asked"))), "rows")
+        corpus = work.table(rows.filter("recording is not null").groupBy("recording").agg(F.min("id").alias("class_id"), F.first("prints").alias("prints")), "classes")
+        queries = work.table(rows.filter("query is not null").groupBy("query").agg(F.first("asked").alias("prints")), "queries")
+        found = align(queries, corpus.select("recording", "prints"))
+        named = found.join(corpus.select("recording", "class_id"), "recording")
+        match = F.struct("class_id", F.col("offset").cast("int").alias("offset"), F.round("bit_error", 6).alias("bit_error"))
+        listed = work.table(named.groupBy("query").agg(F.array_sort(F.collect_list(match)).alias("matches")), "matches")
+        out = rows.join(corpus.select("recording", "class_id"), "recording", "left").join(listed, "query", "left")
+        return staged(out.select("id", F.when(F.col("recording").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "prints", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches")), "media")
+
+
+def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of a recording for each row of ``embeddings``; excerpts of those whose id 50 divides are searched in all."""
+    found = search_recordings(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), id_col="vec_id")
+    return found.select(F.col("id").alias("vec_id"), "class_id", F.size("prints").alias("n_frames"), F.crc32(F.to_json("prints").cast("binary")).alias("prints_crc32"), F.to_json("matches").alias("matches"))
