@@ -209,7 +209,7 @@ def offered_servings(spark, d):
 
 
 _SPLIT = "[ \\t\\n\\r,;./\\\\|\\-_()\\[\\]{}:*+^\"''`!?&%#]"
-_TITLE = "lower(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1)))"
+_TITLE = "replace(replace(lower(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1))), 'ß', 'ss'), 'œ', 'oe')"
 
 
 @register(f"select page_id, nullif(array_to_string(list_filter(list_transform(regexp_split_to_array({_TITLE}, '{_SPLIT}'), lambda x: substr(regexp_replace(x, '[^\\p{{L}}\\p{{Nd}}]', '', 'g'), 1, 64)), lambda x: x <> '')[1:8], ' '), '') as tokens from pages")
