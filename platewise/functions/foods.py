@@ -116,6 +116,10 @@ COMPOUND_DERIVATIVES = (
 WHOLE = ("raw", "fresh", "whole", "unprocessed", "plain", "cru", "crua", "crus", "cruas")
 
 
+#: Names that are milk itself, and whole milk as an ingredient.
+MILK, WHOLE_MILK = r"^(milk(?![a-z])|whole milk(?! *[a-z]))", r"(?<![a-z])whole milk(?![a-z])"
+
+
 def _words(words: tuple[str, ...]) -> str:
     """A pattern of whole words with an optional plural ending (none for ``meal``)."""
     return "(?<![a-z])(?:" + "|".join(w if w == "meal" else f"{w}s?" for w in words) + ")(?![a-z])"
@@ -127,8 +131,8 @@ def basic_rank(name: Column, source: Column, nova: Column) -> Column:
     low = F.lower(name)
     derived = low.rlike(_words(DERIVATIVES)) | low.rlike(_words(COMPOUND_DERIVATIVES))
     american = (source == "usda") & ~low.rlike(_words(tuple(w for w in DERIVATIVES if w != "biscuit"))) & ~low.rlike(_words(COMPOUND_DERIVATIVES))
-    is_milk = low.rlike(r"^(milk(?![a-z])|whole milk(?! *[a-z]))")
-    plain = F.when(is_milk, low).otherwise(F.regexp_replace(low, r"(?<![a-z])whole milk(?![a-z])", " ")).rlike("(?<![a-z])(?:" + "|".join(WHOLE) + ")(?![a-z])")
+    is_milk = low.rlike(MILK)
+    plain = F.when(is_milk, low).otherwise(F.regexp_replace(low, WHOLE_MILK, " ")).rlike("(?<![a-z])(?:" + "|".join(WHOLE) + ")(?![a-z])")
     branded = source == "off"
     return F.when(derived & ~american, 2).when(derived, 1).when(plain, 0).when(branded & (nova == 1), 0).when(branded & (nova == 4), 2).otherwise(1)
 
@@ -203,13 +207,15 @@ def serving_order(label: Column) -> Column:
     return F.coalesce(_lookup(places, F.lower(F.trim(label))), F.lit(100))
 
 
+#: How a serving states a mass, or a volume.
+MASS, VOLUME = r"(?i)([0-9.,]+)\s*(kg|g|gram(?:me)?s?|oz|ounces?)\b", r"(?i)([0-9.,]+)\s*(ml|cl|dl|l|litres?|liters?|fl\.?\s*oz)\b"
+
+
 def serving_grams(text: Column, quantity: Column) -> Column:
     """Grams of a stated serving; null for volumes; the bare quantity only where no text stands."""
     s = F.trim(F.coalesce(text, F.lit("")))
-    mass = r"(?i)([0-9.,]+)\s*(kg|g|gram(?:me)?s?|oz|ounces?)\b"
-    volume = s.rlike(r"(?i)([0-9.,]+)\s*(ml|cl|dl|l|litres?|liters?|fl\.?\s*oz)\b")
-    grams = to_float(F.regexp_extract(s, mass, 1)) * _lookup(list(GRAMS.items()), F.lower(F.regexp_extract(s, mass, 2)))
-    return F.when(~volume, F.when(s == "", quantity).otherwise(grams))
+    grams = to_float(F.regexp_extract(s, MASS, 1)) * _lookup(list(GRAMS.items()), F.lower(F.regexp_extract(s, MASS, 2)))
+    return F.when(~s.rlike(VOLUME), F.when(s == "", quantity).otherwise(grams))
 
 
 def clean_servings(servings: Column) -> Column:

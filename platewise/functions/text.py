@@ -26,6 +26,7 @@ def _fold_any(s: pd.Series) -> pd.Series:
 
 _LATIN = [(chr(c), b) for c in range(0xC0, 0x180) for d in [unicodedata.normalize("NFKD", chr(c))] for b in ["".join(x for x in d if unicodedata.category(x) != "Mn").lower()] if len(b) == 1 and b.isascii()]
 _FROM, _TO = "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN)
+_WHOLE = "".join(WHOLE_LETTERS) + "".join(a.upper() for a in WHOLE_LETTERS if len(a.upper()) == 1) + "ẞ"
 
 
 def fold_latin(c: Column) -> Column:
@@ -39,9 +40,10 @@ def fold_latin(c: Column) -> Column:
 def fold_name(c: Column) -> Column:
     """Without case and accents, punctuation kept: decomposed, marks dropped, lower-cased, whole letters spelled out.
 
-    Compute it once and store it: texts beyond the Latin letters go through a pandas UDF.
+    Texts of ASCII and Latin letters with marks stay in built-in functions; compute it once and store it where others
+    occur, which go through a pandas UDF.
     """
-    return F.when(c.rlike("^[\\x00-\\x7F]*$"), F.lower(c)).otherwise(_fold_any(c))
+    return F.when(c.rlike(f"^[\\x00-\\x7F{_FROM}{_WHOLE}]*$"), fold_latin(c)).otherwise(_fold_any(c))
 
 
 @F.pandas_udf(T.StringType())
@@ -58,11 +60,15 @@ def _repair(s: pd.Series) -> pd.Series:
     return s.map(repair, na_action="ignore")
 
 
+#: Fixed value: character entities that names of the export contain.
+ENTITIES = r"&(?:amp|quot|apos|lt|gt|nbsp|#\d+|#x[0-9a-fA-F]+);"
+
+
 def clean_name(c: Column, *, repair: bool = True) -> Column:
     """A display name, or null if unusable: doubly encoded text repaired, entities and white space to one space,
     control characters out, 2 to 120 characters, no address, at least one letter."""
     text = F.when(c.contains("Ã") | c.contains("â€"), _repair(c)).otherwise(c) if repair else c
-    text = F.regexp_replace(text, r"&(?:amp|quot|apos|lt|gt|nbsp|#\d+|#x[0-9a-fA-F]+);", " ")
+    text = F.regexp_replace(text, ENTITIES, " ")
     text = F.regexp_replace(text, r"[\x00-\x1F\x7F-\x9F]", "")
     text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     fits = (F.length(text) >= 2) & (F.length(text) <= 120) & ~text.rlike(r"(?i)https?://|www\.") & text.rlike(r"\p{L}")

@@ -108,3 +108,12 @@ def test_quantities_and_targets(spark):
     assert values(spark, nutrition.meal_for_hour(F.col("h")), [(10,), (11,), (15,), (20,), (21,)], "h int") == ["breakfast", "lunch", "snack", "dinner", "snack"]
     u = values(spark, nutrition.unit_from_entry(F.col("l"), F.col("a"), F.col("g")), [("oz", 1.0, 28.0), ("slice", 2.0, 60.0), ("slice", 0.0, 60.0)], "l string, a double, g double")
     assert [(x.unit, x.grams) for x in u] == [("oz", None), ("portion", 30.0), ("g", None)]
+
+
+def test_folding_of_every_latin_letter(spark):
+    import unicodedata
+
+    letters = [chr(c) for c in range(0x20, 0x250)] + ["ẞ", "Ñandú", "Œuf à l'ØRE", "ŁÓDŹ", "e\u0301", "ﬁn", "½", "Ωμέγα", ""]
+    for got, x in zip(values(spark, text.fold_name(F.col("x")), letters), letters, strict=True):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn").lower()
+        assert got == "".join(text.WHOLE_LETTERS.get(c, c) for c in bare), x
