@@ -1,20 +1,20 @@
 """Operator 8: chat formatting of reply trees. DataFrame functions only.
 
 Messages point to the message that they answer. Iterative self-joins, which double the distance they reach each round,
-give every path from root to leaf; these branches are ranked within their tree by the mean score of their messages, and each chosen
-one becomes a single conversation. The template marks turns with control strings. Any control string inside a role or
+give every path from root to leaf with the mean score of its messages; by that these branches are ranked within their
+tree, and each chosen one is laid out and becomes a single conversation. The template marks turns with control strings. Any control string inside a role or
 text gets a mark (U+2060) after its first character, one more if marks are there already, so that no text can be taken
 for a turn and the change can be taken back.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, staged, work_dir
+from .common import Scratch, column, staged
 
 #: What the template writes around role and text.
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -47,73 +47,85 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def branch_steps(messages: DataFrame, *, max_rounds: int = 64) -> DataFrame:
-    """``tree, leaf, node, up``: every message on the path from a root to a leaf, ``up`` steps above the leaf.
+def climb(messages: DataFrame, work: Scratch) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Jumps, whole paths, and trees that are set aside, of ``tree, node, parent, score`` with nodes unique within a tree.
 
-    ``messages`` has ``tree, node, parent`` with nodes unique within a tree; a root's parent is null. Self-joins of the
-    table of answers double the distance that they reach: after k of them each message knows its ancestor 2**k above, so
-    the rounds grow with the logarithm of the deepest path. Then each leaf's path is laid out from the longest jump to
-    the shortest; rows are as many as messages on all paths. Messages whose ancestors are missing are not reached; answers
-    that go in a circle are refused.
+    Self-joins double the distance that they reach: after k of them each message knows its ancestor 2**k above and the sum of
+    the scores below that one. Jumps are a table ``tree, node, to`` for each k. Paths, ``tree, node, depth, score``, are those of
+    all messages up to a root, with the mean score of their messages (null counts as 0). A path has no more messages than its tree, so
+    what still climbs after that many steps goes in a circle: those trees are set aside, ``tree, reason``. Messages
+    whose ancestors are missing have no path.
     """
-    links = staged(messages.select("tree", "node", "parent"), "chat-links")
-    jumps = []
-    now = links.filter("parent is not null").select("tree", "node", F.col("parent").alias("to"))
-    while True:
-        now = staged(now, "chat-jumps")
-        if now.select(F.lit(1)).limit(1).count() == 0:
+    links = work.table(messages.select("tree", "node", F.col("parent").alias("to"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n")), "links")
+    largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    now, done, jumps = links, [links.filter("to is null")], []
+    for _ in range(int(largest).bit_length()):
+        now = work.table(now.filter("to is not null"), "jumps")
+        if now.isEmpty():
             break
-        if len(jumps) == max_rounds:
-            raise ValueError("answers go in a circle")
-        jumps.append(now)
-        now = _join(now, now.select("tree", F.col("node").alias("to"), F.col("to").alias("next")), ["tree", "to"]).select("tree", "node", F.col("next").alias("to"))
-    answered = links.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    steps = _join(links, answered, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(jumps))):
-        steps = staged(steps, "chat-steps")
-        steps = steps.union(_join(steps, jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), F.col("up") + (1 << k)))
-    steps = staged(steps, "chat-steps")
-    # The top of a whole path is a root.
-    roots = links.filter("parent is null").select("tree", "node", F.lit(True).alias("root"))
-    whole = _join(steps, roots, ["tree", "node"]).select("tree", "leaf")
-    return _join(steps, whole, ["tree", "leaf"], "left_semi")
+        jumps.append(now.select("tree", "node", "to"))
+        known = reduce(DataFrame.union, done).union(now)
+        above = known.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("sum").alias("more"), F.col("n").alias("further"))
+        now = work.table(_join(now, above, ["tree", "to"]).select("tree", "node", F.col("next").alias("to"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("n") + F.col("further")).alias("n")), "climbed")
+        done.append(now.filter("to is null"))
+    circles = now.filter("to is not null").select("tree").distinct().withColumn("reason", F.lit("answers go in a circle"))
+    whole = reduce(DataFrame.union, done).select("tree", "node", F.col("n").alias("depth"), (F.col("sum") / F.col("n")).alias("score"))
+    return jumps, whole, work.table(circles, "circles")
+
+
+def rank_branches(messages: DataFrame, whole: DataFrame) -> DataFrame:
+    """``tree, leaf, depth, score, rank`` of each path from a root to a leaf: by the mean score of its messages, then the leaf."""
+    answered = messages.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = _join(whole, answered, ["tree", "node"], "left_anti")
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
+    return leaves.select("tree", F.col("node").alias("leaf"), "depth", "score").withColumn("rank", F.row_number().over(best))
 
 
-def rank_branches(messages: DataFrame, steps: DataFrame) -> DataFrame:
-    """``tree, leaf, depth, score, rank`` of each path: by the mean score of its messages (null counts as 0), then the leaf."""
-    scored = _join(steps, messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    return scored.groupBy("tree", "leaf").agg(F.count("*").alias("depth"), F.avg("score").alias("score")).withColumn("rank", F.row_number().over(best))
+def branch_steps(leaves: DataFrame, jumps: list[DataFrame], work: Scratch) -> DataFrame:
+    """``tree, leaf, node, up``: every message on the path above each of the ``leaves`` (``tree, leaf``), ``up`` steps above it.
+
+    A path is laid out from the longest jump to the shortest; only paths that are asked for are.
+    """
+    steps = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(jumps))):
+        steps = work.table(steps, "steps")
+        steps = steps.union(_join(steps, jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), F.col("up") + (1 << k)))
+    return steps
 
 
 def format_trees(messages: DataFrame, *, per_tree: int = 1, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """``tree, leaf, rank, score, n_turns, formatted, loss``: the ``per_tree`` best branches of each tree as conversations.
+    """``tree, leaf, rank, score, n_turns, formatted, loss, reason``: the ``per_tree`` best branches of each tree as conversations, a staged table.
 
     ``messages``: ``tree, node, parent, role, text, score``. Null roles and texts are empty. Equal scores are ranked by
     the leaf's number. ``loss`` holds start (from 1) and length, in characters of ``formatted``, of each text whose role is
-    in ``loss_roles``. Rows of a null tree form one tree.
+    in ``loss_roles``. Rows of a null tree form one tree. A tree in which answers go in a circle is set aside: one row with a
+    ``reason`` (else null) and nothing formatted.
     """
-    paths = branch_steps(messages)
-    chosen = rank_branches(messages, paths).filter(F.col("rank") <= per_tree)
-    steps = _join(paths, chosen, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", (-F.col("up")).alias("at"), "node")
-    said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turn = F.struct("at", (F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE))).alias("head"), escape(F.col("text")).alias("body"), F.col("role").isin(*loss_roles).alias("learn"))
-    turns = _join(steps, said, ["tree", "node"]).groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-
-    def piece(t: Column) -> Column:
-        return F.concat(t["head"], t["body"], F.lit(END))
-
-    begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
-
-    def add(acc: Column, t: Column) -> Column:
-        span = F.struct((acc["next"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))
-        return F.struct((acc["next"] + F.length(piece(t))).alias("next"), F.when(t["learn"], F.concat(acc["loss"], F.array(span))).otherwise(acc["loss"]).alias("loss"))
-
-    return turns.select(
-        "tree", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", piece), "").alias("formatted"),
-        F.aggregate("turns", begin, add)["loss"].alias("loss"),
-    )
+    with Scratch(messages.sparkSession, "chat") as work:
+        messages = work.table(messages, "messages")
+        jumps, whole, circles = climb(messages, work)
+        ranked = rank_branches(messages, whole).filter(F.col("rank") <= per_tree)
+        chosen = work.table(_join(ranked, circles, ["tree"], "left_anti"), "chosen")
+        steps = _join(branch_steps(chosen, jumps, work), chosen.select("tree", "leaf", "rank", "score"), ["tree", "leaf"]).select("tree", "leaf", "rank", "score", (-F.col("up")).alias("at"), "node")
+        said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        turn = F.struct("at", (F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE))).alias("head"), escape(F.col("text")).alias("body"), F.col("role").isin(*loss_roles).alias("learn"))
+        turns = _join(steps, said, ["tree", "node"]).groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+
+        def piece(t: Column) -> Column:
+            return F.concat(t["head"], t["body"], F.lit(END))
+
+        begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
+
+        def add(acc: Column, t: Column) -> Column:
+            span = F.struct((acc["next"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))
+            return F.struct((acc["next"] + F.length(piece(t))).alias("next"), F.when(t["learn"], F.concat(acc["loss"], F.array(span))).otherwise(acc["loss"]).alias("loss"))
+
+        out = turns.select(
+            "tree", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"),
+            F.array_join(F.transform("turns", piece), "").alias("formatted"),
+            F.aggregate("turns", begin, add)["loss"].alias("loss"), F.lit(None).cast("string").alias("reason"),
+        )
+        return staged(out.unionByName(circles, allowMissingColumns=True), "chat")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -158,11 +170,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = "'</s>[INST] ok [/INST]'"
     extra = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"{text} as text")
-    messages = staged(conversation_messages(rows.union(extra)), "chat-messages")
-    path = f"{work_dir(spark)}/chat-{uuid.uuid4().hex}"
-    out = format_trees(messages)
-    out.write.parquet(path)
-    return digest(spark.read.schema(out.schema).parquet(path))
+    return digest(format_trees(conversation_messages(rows.union(extra))).filter("reason is null"))
 
 
 _FIXED = len(START) + len(MIDDLE) + len(END)
