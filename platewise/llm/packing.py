@@ -3,8 +3,8 @@
 Lengths are integers up to the sequence length. Within a bin of pieces: large lengths are sorted and cut into groups of
 equal cardinality, each rounded up to its group's largest length; sequences for the few rounded sizes are chosen as
 configurations (how many of each size), the fullest possible one time after time as long as its sizes last; actual
-pieces then take the places of their group, and small pieces, longest first, go into the fullest sequence that still
-holds them. Pieces are dealt at random over bins of bounded size, each a task's work, so that no task grows with the
+pieces then take the places of their group. Sequences that rounding has left half empty are taken apart and their pieces
+best-fit by real length, and small pieces, longest first, go into the fullest sequence that still holds them. Pieces are dealt at random over bins of bounded size, each a task's work, so that no task grows with the
 input; a bin leaves at most a few sequences partly filled.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, exact_ids, flagged, staged
+from .common import Scratch, column, exact_ids, flagged, staged
 from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 
 #: Pieces of one bin on average.
@@ -27,6 +27,8 @@ BIN_PIECES = 40_000
 GROUPS = 48
 #: Lengths above this share of a sequence are large.
 LARGE = 0.12
+#: Sequences of large pieces that are less full than this are taken apart and packed by their real lengths.
+WELL_FILLED = 0.97
 
 
 def best_configuration(sizes: list[int], left: list[int], room: int) -> list[int]:
@@ -57,46 +59,70 @@ def best_configuration(sizes: list[int], left: list[int], room: int) -> list[int
     return counts
 
 
+def best_fit(sizes: list[int], rooms: list[tuple[int, int]], capacity: int, first_new: int) -> tuple[list[int], int]:
+    """The sequence of each size (in descending order) by best fit into sorted ``rooms`` (room, sequence), and how many new ones were opened.
+
+    ``rooms`` is updated; new sequences are numbered from ``first_new`` on.
+    """
+    out, opened = [], 0
+    for size in sizes:
+        at = bisect_left(rooms, (size, -1))
+        if at < len(rooms):
+            room, s = rooms.pop(at)
+        else:
+            room, s = capacity, first_new + opened
+            opened += 1
+        out.append(s)
+        if room > size:
+            insort(rooms, (room - size, s))
+    return out, opened
+
+
 def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, large: float = LARGE) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, offset) of every length (1 to capacity), and the number of sequences."""
     n = len(lengths)
     sequence, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
     order = np.argsort(-lengths, kind="stable")
     n_large = int(np.searchsorted(-lengths[order], -large * capacity, "left"))
-    fill: list[int] = []
 
     # Large: equal-cardinality groups of the sorted lengths, rounded up to the first of each.
     chunk = max(1, -(-n_large // groups))
     members = [order[a : min(a + chunk, n_large)].tolist()[::-1] for a in range(0, n_large, chunk)]
     sizes = [int(lengths[m[-1]]) for m in members]
     left = [len(m) for m in members]
+    packed: list[list[int]] = []
     while any(left):
         counts = best_configuration(sizes, left, capacity)
         times = min(left[i] // c for i, c in enumerate(counts) if c)
         for _ in range(times):
-            used = 0
-            for i, c in enumerate(counts):
-                for _ in range(c):
-                    k = members[i].pop()
-                    sequence[k], offset[k] = len(fill), used
-                    used += int(lengths[k])
-            fill.append(used)
+            packed.append([members[i].pop() for i, c in enumerate(counts) for _ in range(c)])
         left = [a - times * c for a, c in zip(left, counts, strict=True)]
 
+    # What rounding up has left: sequences that aren't well filled are packed anew by real lengths, if that takes fewer.
+    fill = [int(sum(lengths[k] for k in s)) for s in packed]
+    loose = [s for s, f in enumerate(fill) if f < WELL_FILLED * capacity]
+    kept = [packed[s] for s in range(len(packed)) if fill[s] >= WELL_FILLED * capacity]
+    again = sorted((k for s in loose for k in packed[s]), key=lambda k: -lengths[k])
+    to, opened = best_fit([int(lengths[k]) for k in again], sorted((capacity - sum(int(lengths[k]) for k in s), i) for i, s in enumerate(kept)), capacity, len(kept))
+    if opened < len(loose):
+        packed = [*kept, *([] for _ in range(opened))]
+        for k, s in zip(again, to, strict=True):
+            packed[s].append(k)
+    fill = []
+    for s, some in enumerate(packed):
+        used = 0
+        for k in some:
+            sequence[k], offset[k] = s, used
+            used += int(lengths[k])
+        fill.append(used)
+
     # Small: best fit, by the room that is left.
-    rooms = sorted((capacity - f, s) for s, f in enumerate(fill) if f < capacity)
-    for k in order[n_large:].tolist():
-        size = int(lengths[k])
-        at = bisect_left(rooms, (size, -1))
-        if at < len(rooms):
-            room, s = rooms.pop(at)
-        else:
-            room, s = capacity, len(fill)
-            fill.append(0)
+    small = order[n_large:].tolist()
+    to, opened = best_fit([int(lengths[k]) for k in small], sorted((capacity - f, s) for s, f in enumerate(fill) if f < capacity), capacity, len(fill))
+    fill += [0] * opened
+    for k, s in zip(small, to, strict=True):
         sequence[k], offset[k] = s, fill[s]
-        fill[s] += size
-        if room > size:
-            insort(rooms, (room - size, s))
+        fill[s] += int(lengths[k])
     return sequence, offset, len(fill)
 
 
@@ -150,8 +176,10 @@ def pack(pieces_: DataFrame, capacity: int = 4096, bin_pieces: int = BIN_PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, capacity: int = 4096) -> DataFrame:
-    """All documents, tokenized once into a staged table of pieces, and packed."""
-    return pack(staged(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity), "pieces"), capacity).drop("row_key")
+    """All documents, tokenized once into a staged table of pieces, and packed: a staged table."""
+    with Scratch(docs.sparkSession, "packing") as work:
+        table = work.table(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity), "pieces")
+        return staged(pack(table, capacity).drop("row_key"), "packed")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
