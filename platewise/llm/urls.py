@@ -17,13 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, staged
+from .common import Scratch, column, constant
 
 #: Bits and hashes for each key of a level.
 BITS, HASHES = 10, 4
 #: Bytes of filters that are sent to the tasks at most; beyond that, lists are joined.
 MOST_BYTES = 64 << 20
 MOST_LEVELS = 64
+#: Different lengths of the rules' paths at most: each gives a candidate for each domain of a url.
+MOST_LENGTHS = 1_000
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
@@ -39,7 +41,7 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     """All keys by which a rule could fit, the longest first: domains of the host with beginnings of the path."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.filter(F.array(*[F.lit(None).cast("string")], *[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    starts = F.filter(F.transform(constant(lengths, "int"), lambda n: F.when(F.length(path) >= n, F.substring(path, F.lit(1), n))), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda p: F.struct((-F.length(d) - F.length(p)).alias("a"), (-F.length(d)).alias("b"), F.concat(d, p).alias("key")))))
     return F.when(F.length(host) > 0, F.transform(F.array_sort(keys), lambda x: x["key"])).otherwise(F.array().cast("array<string>"))
 
@@ -47,7 +49,7 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 def positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
     """Bit numbers of keys in a level: HASHES rows."""
     step = h2 | np.uint64(1)
-    base = h1 ^ (np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    base = h1 ^ np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))
     return np.stack([((base + np.uint64(i) * step) >> np.uint64(11)) % np.uint64(bits) for i in range(HASHES)])
 
 
@@ -68,12 +70,12 @@ def listed(levels: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarr
     return out
 
 
-def cascade(keys: DataFrame, most_bytes: int = MOST_BYTES) -> list[np.ndarray] | None:
+def cascade(keys: DataFrame, work: Scratch, most_bytes: int = MOST_BYTES) -> list[np.ndarray] | None:
     """The levels for a table of all keys, ``h1, h2, on`` (whether listed); none if they would be above ``most_bytes``.
 
     Filters are merged from the tasks' words by a bitwise or; a level's size is checked before it is made.
     """
-    keys = staged(keys.select("h1", "h2", "on"), "cascade-keys")
+    keys = work.table(keys.select("h1", "h2", "on"), "cascade-keys")
     ours, others, levels, used = keys.filter("on"), keys.filter("not on"), [], 0
     while (n := ours.count()) > 0:
         size = -(-n * BITS // 64)
@@ -101,7 +103,7 @@ def cascade(keys: DataFrame, most_bytes: int = MOST_BYTES) -> list[np.ndarray] |
             for f in frames:
                 yield f[passes(level, f["h1"].to_numpy().view(np.uint64), f["h2"].to_numpy().view(np.uint64), k)]
 
-        ours, others = staged(others.mapInPandas(wrong, others.schema), "cascade-left"), ours
+        ours, others = work.table(others.mapInPandas(wrong, others.schema), "cascade-left"), ours
     return levels
 
 
@@ -115,15 +117,18 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     spark = pages.sparkSession
     host, path = host_and_path(column(pages, url_col, "string"))
     rules = rules.filter("rule is not null").groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("block"))
-    lengths = sorted(r[0] for r in rules.select((F.length("rule") - F.length(F.regexp_extract("rule", "^[^/]*", 0))).alias("n")).distinct().collect())
+    lengths = sorted(r[0] for r in rules.select((F.length("rule") - F.length(F.regexp_extract("rule", "^[^/]*", 0))).alias("n")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"paths of rules have more than {MOST_LENGTHS} lengths")
     rows = pages.select(column(pages, id_col, "long").alias(id_col), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
     hashes = [F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")]
     # Every key of the corpus once, with the lists it is in.
     none = F.lit(None).cast("boolean")
     universe = rows.select(F.explode("keys").alias("key"), none.alias("block")).union(rules.select(F.col("rule").alias("key"), "block")).groupBy("key").agg(F.max("block").alias("block"))
-    universe = staged(universe.select(*hashes, "block"), "url-keys")
-    both = [cascade(universe.select("h1", "h2", F.coalesce(F.col("block") == want, F.lit(False)).alias("on")), most_bytes) for want in (True, False)]
+    with Scratch(spark, "urls") as work:
+        universe = work.table(universe.select(*hashes, "block"), "keys")
+        both = [cascade(universe.select("h1", "h2", F.coalesce(F.col("block") == want, F.lit(False)).alias("on")), work, most_bytes) for want in (True, False)]
     out = f"`{id_col}` long, host string, path string, rule string, verdict string"
     if None in both:  # lists too large to send: the keys meet the rules in a join
         keyed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", id_col, "host", "path", F.posexplode_outer("keys").alias("at", "key"))
