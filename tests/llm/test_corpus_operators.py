@@ -1,8 +1,10 @@
 """Each corpus operator against a brute-force version, an exact round trip or held-out accuracy, with odd rows."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platewise.llm import binary_output, chat, fingerprint, jaccard, language, media, mixing, packing, tokens, urls
+from platewise.llm.common import Scratch, row_keys
 
 ODD = [
     None, "", " ", "\n", "a", "a  b", " a", "a b ", "x\n\ny", "a \nb", "▁▁ x", "<s> </s> <unk> <|endoftext|> <|startoftext|>x", "日本語 テキスト", "🎉🎉 é é", "\t\ta\r\n", "<0x0A>\x00", "aaaa" * 300, "it's we'll I'VE",
@@ -30,6 +33,16 @@ def empty_docs(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string")
 
 
+def test_row_keys(spark, tmp_path):
+    df = spark.range(1000).withColumn("text", F.lit("x")).repartition(7)
+    df.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for rows in (row_keys(table, "k"), row_keys(df, "k"), row_keys(table.filter("id < 500").union(table.filter("id >= 500")), "k")):
+        got = {r.id: r.k for r in rows.collect()}
+        assert len(got) == len(set(got.values())) == 1000 and got == {r.id: r.k for r in rows.repartition(3).collect()}
+    assert "__file" not in row_keys(table, "k").columns and row_keys(table.limit(0), "k").count() == 0
+
+
 # 1 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -51,6 +64,34 @@ def test_mixing_reaches_targets_and_reruns_agree(spark):
     assert total - 60 <= sum(by.values()) <= total
 
 
+def test_mixing_against_plain_fair_queueing(spark):
+    rnd = random.Random(4)
+    rows = [(i if i % 7 else None, rnd.choice(["b", "a", None, "c", "a"]), " ".join(f"w{i}" for _ in range(rnd.randint(0, 40)))) for i in range(600)]
+    docs = spark.createDataFrame([(k, *r, "x", 1.0) for k, r in enumerate(rows)], "key long, doc_id long, source string, text string, size string, target double")
+    got = {r.row_key: r.repeats for r in mixing.mix(docs, mixing.cycle_weights, key_col="key").collect()}
+    hashed = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("mark", F.xxhash64("text"))
+    order = {r.key: (r.h, r.mark) for r in hashed.select("key", "mark", F.xxhash64(F.lit(17), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("mark"))).alias("h")).collect()}
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    queue = {s: sorted((k for k, r in enumerate(rows) if r[1] == s), key=lambda k: (order[k][0], rows[k][0] if rows[k][0] is not None else -1, order[k][1], k)) for s in names}
+    words = [len(r[2].split()) for r in rows]
+    sizes = [sum(words[k] for k in queue[s]) for s in names]
+    targets = mixing.capped_targets(sizes, mixing.cycle_weights(names), sum(sizes), 3)
+    finish = []
+    for rank, s in enumerate(names):
+        done = 0
+        for turn in range(3):
+            for k in queue[s]:
+                if words[k]:
+                    done += words[k]
+                    finish.append((done / targets[rank], rank, order[k][0], order[k][1], k, turn))
+    want, sent = Counter(), 0
+    for *_, k, _ in sorted(finish):
+        if sent + words[k] <= sum(sizes):
+            want[k] += 1
+        sent += words[k]
+    assert got == {k: want[k] for k in range(len(rows))}
+
+
 def test_capped_targets():
     assert mixing.capped_targets([10, 100, 100], [5, 2, 1], 210, 3) == [30.0, 120.0, 60.0]
     assert mixing.capped_targets([0, 10], [5, 2], 10, 3) == [0.0, 10.0]
@@ -90,7 +131,8 @@ def test_cascade_is_exact(spark):
     rnd = np.random.default_rng(1)
     h = rnd.integers(-(1 << 63), 1 << 63, (20_000, 2))
     on = rnd.random(20_000) < 0.1
-    levels = urls.cascade(spark.createDataFrame([(int(a), int(b), bool(c)) for (a, b), c in zip(h, on)], "h1 long, h2 long, on boolean"))
+    with Scratch(spark, "test") as work:
+        levels = urls.cascade(spark.createDataFrame([(int(a), int(b), bool(c)) for (a, b), c in zip(h, on)], "h1 long, h2 long, on boolean"), work)
     assert len(levels) > 1 and (urls.listed(levels, h[:, 0].view(np.uint64), h[:, 1].view(np.uint64)) == on).all()
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(urls.RULES, "rule string, verdict string")).count() == 0
 
@@ -193,6 +235,39 @@ def test_language_id_on_held_out_documents(spark):
     assert [r.lang_pred for r in language.identify(odd, nothing).collect()] == ["und"] * 4
 
 
+def test_decoding_against_a_plain_one(spark):
+    model = language.learned(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long_ = docs.limit(1).select("doc_id", F.array_join(F.array_repeat("text", 40), " ").alias("text"))
+    rows = docs.select("doc_id", "text").union(long_).union(docs.select("doc_id", "text").limit(5))
+    got = language.identify(rows, model).collect()
+    assert len(got) == docs.count() + 6
+    grams = language.Grams()
+    for r in got[::7]:
+        values, _ = grams.of([r.text])
+        if not len(values):
+            assert r.lang_pred == "und"
+            continue
+        loss = {}
+        for lang, word in zip(model.languages, model.code, strict=True):
+            total = 0.0
+            for bit in range(model.odds.shape[1]):
+                margin = (sum(model.odds[v, bit] for v in values) / len(values) - model.middle[bit]) * model.scale[bit]
+                total += model.weight[bit] * np.exp(-min(20, max(-20, margin)) * word[bit])
+            loss[lang] = total
+        assert r.lang_pred == min(loss, key=loss.get)
+        assert r.score == pytest.approx((1 / min(loss.values())) / sum(1 / x for x in loss.values()))
+
+
+def test_a_text_in_two_languages_is_flagged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null and length(text) > 400")
+    one = {r.lang: r.text for r in docs.groupBy("lang").agg(F.first(F.substring("text", 1, 400)).alias("text")).collect()}
+    (_, a), (_, b), *_ = sorted(one.items())
+    mixes = spark.createDataFrame([(k, a[: 40 * k] + " " + b[: 400 - 40 * k]) for k in range(11)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(mixes, language.learned(docs), ambiguous=0.5).collect()}
+    assert any(r.ambiguous for r in got.values()) and not got[0].ambiguous and not got[10].ambiguous and got[0].lang_pred != got[10].lang_pred
+
+
 def test_codewords_are_apart():
     assert language.codewords(4).shape == (4, 7)
     for k in (2, 3, 5, 9, 30):
@@ -223,18 +298,34 @@ def test_chat_format_round_trip(spark):
 def test_branches_are_ranked(spark):
     rows = [(1, 1, None, 0.5), (1, 2, 1, 0.9), (1, 3, 1, 0.1), (1, 4, 2, 0.0), (1, 5, 3, 1.0), (1, 6, 3, None), (2, 1, None, 0.0)]
     tree = spark.createDataFrame(rows, "tree long, node int, parent int, score double")
-    steps = chat.branch_steps(tree)
-    paths = defaultdict(list)
-    for r in sorted(steps.collect(), key=lambda r: -r.up):
-        paths[r.tree, r.leaf].append(r.node)
-    scores = {(r.tree, r.leaf): round(r.score, 6) for r in chat.rank_branches(tree, steps).collect()}
-    assert paths == {(1, 4): [1, 2, 4], (1, 5): [1, 3, 5], (1, 6): [1, 3, 6], (2, 1): [1]} and scores == {(1, 4): 0.466667, (1, 5): 0.533333, (1, 6): 0.2, (2, 1): 0.0}
+    with Scratch(spark, "test") as work:
+        jumps, whole, circles = chat.climb(tree, work)
+        ranked = chat.rank_branches(tree, whole)
+        paths = defaultdict(list)
+        for r in sorted(chat.branch_steps(ranked, jumps, work).collect(), key=lambda r: -r.up):
+            paths[r.tree, r.leaf].append(r.node)
+        scores = {(r.tree, r.leaf): (r.depth, round(r.score, 6)) for r in ranked.collect()}
+        assert circles.count() == 0
+    assert paths == {(1, 4): [1, 2, 4], (1, 5): [1, 3, 5], (1, 6): [1, 3, 6], (2, 1): [1]}
+    assert scores == {(1, 4): (3, 0.466667), (1, 5): (3, 0.533333), (1, 6): (3, 0.2), (2, 1): (1, 0.0)}
     said = tree.withColumn("role", F.lit("user")).withColumn("text", F.col("node").cast("string"))
     assert sorted((r.tree, r.rank, r.leaf) for r in chat.format_trees(said, per_tree=2).collect()) == [(1, 1, 5), (1, 2, 4), (2, 1, 1)]
-    deep = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(100)] + [(2, 5, 4), (3, 1, 2), (3, 2, None)], "tree long, node int, parent int")
-    assert Counter((r.tree, r.leaf) for r in chat.branch_steps(deep).collect()) == {(1, 99): 100, (3, 1): 2}
-    with pytest.raises(ValueError, match="circle"):
-        chat.branch_steps(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "tree long, node int, parent int"), max_rounds=4)
+
+
+def test_deep_combed_broken_and_cyclic_trees(spark):
+    rows = [(1, i, i - 1 if i else None) for i in range(100)]  # a chain
+    rows += [(2, 5, 4)] + [(3, 1, 2), (3, 2, None)]  # an ancestor is missing; numbers in another order
+    rows += [(4, 1, 2), (4, 2, 3), (4, 3, 1), (4, 4, None), (4, 5, 1)]  # a circle beside a root
+    rows += [(5, 2 * i, 2 * i - 2 if i else None) for i in range(60)] + [(5, 2 * i + 1, 2 * i) for i in range(60)]  # a comb
+    rows += [(None, 1, None), (None, 2, 1)]
+    deep = spark.createDataFrame([(*r, "user", "" if r[1] % 3 else None, float(r[1] % 2)) for r in rows], "tree long, node int, parent int, role string, text string, score double")
+    got = {r.tree: r for r in chat.format_trees(deep).collect()}
+    assert set(got) == {1, 3, 4, 5, None}
+    assert (got[1].leaf, got[1].n_turns, got[3].leaf, got[3].n_turns, got[None].n_turns) == (99, 100, 1, 2, 2)
+    assert got[4].reason == "answers go in a circle" and got[4].formatted is None and got[1].reason is None
+    best = max(((i + 1 + 1, 1 / (i + 2), 2 * i + 1) for i in range(60)), key=lambda x: (x[1], -x[2]))
+    assert (got[5].leaf, got[5].n_turns, round(got[5].score, 9)) == (best[2], best[0], round(best[1], 9))
+    assert chat.format_trees(deep.limit(0)).count() == 0
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------
@@ -271,19 +362,74 @@ def test_fingerprints_against_true_likeness(spark, monkeypatch):
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_audio_aligns_with_its_excerpt(spark):
+def exhaustive(asked, prints, part):
+    """All pairs of which some offset overlaps in enough frames, and that part of the query, with few enough bits apart: the least share of bits."""
+    out = {}
+    for q, a in asked.items():
+        for c, b in prints.items():
+            for offset in range(-len(a) + media.LEAST_FRAMES, len(b) - media.LEAST_FRAMES + 1):
+                x, y = a[max(0, -offset) :], b[max(0, offset) :]
+                n = min(len(x), len(y))
+                if n >= max(media.LEAST_FRAMES, part * len(a)):
+                    e = int(np.bitwise_count(np.asarray(x[:n], np.int64) ^ np.asarray(y[:n], np.int64)).sum()) / 32 / n
+                    if e <= media.MOST_ERROR and e < out.get((q, c), 2):
+                        out[q, c] = e
+    return out
+
+
+def test_audio_against_exhaustive_alignment(spark):
     rnd = np.random.default_rng(3)
-    vectors = [rnd.normal(0, 1, 64) for _ in range(30)]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(100, [float(x) for x in vectors[0]]), (101, None), (102, []), (103, [0.0] * 64)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    prints = media.classes(media.fingerprint_media(media.recordings(df), id_col="vec_id"))
-    by = {r.id: r for r in prints.collect()}
-    assert by[100].class_id == 0 and by[101].prints == [] and len(by) == 34
-    asked = media.fingerprint_media(media.recordings(df.filter("vec_id < 10"), again=True), id_col="vec_id")
-    found = media.align(asked, prints.filter("id = class_id").select("id", "prints")).collect()
-    assert {(r.query_id, r.id) for r in found} == {(i, i) for i in range(10)}
-    third = (len(media.melody(vectors[0])) // 2 // 3 + 37) / media.HOP
-    assert all(abs(r.offset - third) <= 1 and r.bit_error < 0.1 for r in found)
+    vectors = [rnd.normal(0, 1, 64) for _ in range(60)]
+    df = spark.createDataFrame([(i * 10, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    made = media.fingerprint_media(media.recordings(df), id_col="vec_id", audio={"prints": "audio", "asked": "again"}).collect()
+    prints, asked = {r.id: r.prints for r in made}, {r.id: r.asked for r in made if r.asked}
+    want, chance = exhaustive(asked, prints, 0.5), exhaustive(asked, prints, 0)  # short overlaps are alike by chance now and then
+    got = {r.id: json.loads(r.m) for r in media.search_recordings(media.recordings(df), id_col="vec_id").withColumn("m", F.to_json("matches")).collect()}
+    found = {(q, m["class_id"]): m["bit_error"] for q in asked for m in got[q]}
+    assert len(asked) == 12 and all((i, i) in found for i in asked)
+    assert set(found) <= set(chance) and len(set(found) & set(want)) >= 0.9 * len(want) and set(want) <= set(chance)
+    assert all(abs(found[i, i] - want[i, i]) < 1e-5 for i in asked)
+    assert all(not got[i] for i in prints if i not in asked)
+
+
+def tone(seconds, hz, seed=None):
+    t = np.arange(int(seconds * media.RATE)) / media.RATE
+    x = 8000 * np.sin(2 * np.pi * hz * t)
+    return (x + (0 if seed is None else np.random.default_rng(seed).normal(0, 40, len(t)))).astype("<i2").tobytes()
+
+
+def test_odd_recordings(spark):
+    rnd = np.random.default_rng(5)
+    song, other = (media.melody(rnd.normal(0, 1, 64)) for _ in range(2))
+    rows = [
+        (1, song, None), (2, song, None), (None, song, None), (7, other, None), (7, song, media.excerpt(song)),  # copies; two recordings of one id
+        (10, None, None), (11, b"", None), (12, b"\0\0\0", None), (None, None, None),  # without integers
+        (20, tone(3, 440), tone(2, 440)), (21, b"\0" * 12_000, b"\0" * 9_000), (22, song + b"\0", None),  # a steady tone, silence, an odd byte
+    ]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, audio binary, again binary, prints string, query int")
+    got = media.search_recordings(df, id_col="vec_id").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.id].append(r)
+    assert len(got) == len(rows)
+    assert by[1][0].class_id == by[2][0].class_id == 1 and sorted(r.class_id for r in by[7]) == [1, 7] and by[22][0].class_id == 1
+    assert [by[i][0].class_id for i in (10, 11, 12)] == [10, 11, 12] and sorted((r.class_id for r in by[None]), key=str) == [1, None]
+    assert [m.class_id for r in by[7] for m in r.matches] == [1]
+    assert [m.class_id for m in by[20][0].matches] == [20] and [m.class_id for m in by[21][0].matches] == [21]
+    assert media.search_recordings(df.limit(0), id_col="vec_id").count() == 0
+
+
+def test_keys_of_a_long_recording_take_linear_time(spark):
+    runs = spark.range(3).select(F.array_repeat(F.lit(7).cast("long"), 50).alias("p")).select(media._runs(F.col("p")).alias("r")).first().r
+    assert [(x.t, x.n) for x in runs] == [(0, 50 - media.KEY_STEP)]
+    spent = []
+    for n in (20_000, 80_000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 32))).alias("p")).select(F.size(media._runs(F.col("p"))).alias("n"))
+        df.collect()
+        start = time.perf_counter()
+        assert df.first().n == n - media.KEY_STEP
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 9 * spent[0] + 1
 
 
 def test_fingerprint_of_odd_audio():
@@ -314,6 +460,17 @@ def test_next_of_long_ids(spark, monkeypatch):
         assert got[i].near_next is not None and got[i].edited_fingerprint
 
 
+@pytest.mark.parametrize("rows", [20, 1000])
+def test_next_among_nulls_and_repeated_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", rows)
+    rnd = random.Random(6)
+    data = [((None, 7, -(1 << 62), (1 << 63) - 1, i)[min(rnd.randint(0, 9), 4)], rnd.getrandbits(63), i) for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, tie long, n int").repartition(4)
+    got = {r.n: r.next.n for r in fingerprint.next_documents(docs, ["n"]).collect()}
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    assert got == {r[2]: order[(k + 1) % len(order)][2] for k, r in enumerate(order)}
+
+
 def test_long_ids_beside_a_null_stay_exact(spark, tmp_path):
     docs, rows = long_ids(spark)
     want = Counter(r[0] for r in rows)

@@ -7,6 +7,7 @@ import pytest
 from tests_support import classes
 
 from platewise.llm.common import Scratch
+from platewise.llm import jaccard
 from platewise.llm.graph import components
 from platewise.llm.jaccard import jaccard_classes, search
 
@@ -46,6 +47,27 @@ def test_empty_and_clashing_columns(spark):
     assert sorted(map(tuple, jaccard_classes(docs).collect())) == [(1, 1, 1), (2, 1, 1)]
 
 
+def test_all_bits_of_a_shingle_travel():
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64, endpoint=False))
+    x = np.unique(np.concatenate((x, x ^ np.uint64(1 << 63), x ^ np.uint64(1), x ^ np.uint64(1 << 41))))
+    assert (jaccard._from_planes(jaccard._planes(x)) == x).all() and len(jaccard._from_planes(jaccard._planes(x[:0]))) == 0
+
+
+def test_large_group_of_near_copies_and_what_hangs_on_it(spark):
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(60)}"
+        rows.append((1000 - i, " ".join(words)))
+    rows += [(2000 + k, " ".join(base[: 100 - k])) for k in range(30)]  # shorter and shorter: a chain of links
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_classes(docs, batch=2000, bucket=5000, room=1500, heavy=(0.9, 500))
+    assert sorted(map(tuple, got.collect()), key=str) == classes(rows)
+
+
 def test_search_connects_what_is_linked():
     rnd = np.random.default_rng(5)
     base = rnd.integers(0, 1 << 40, 60)
