@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, exact_ids, flagged, work_dir
+from .common import column, exact_ids, flagged, row_keys, work_dir, written
 from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 
 #: A block is closed with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
+#: A shard has about so many documents, or fewer where the session asks for more partitions.
+PART_DOCS = 100_000
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, width int, nameless int, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -64,12 +66,13 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
     """Encode every text and write the ids in ascending order of the documents' ids.
 
     A null text is empty: it has the end id alone, or nothing without one. Rows of null id come first; rows that
-    share an id are ordered by a hash of their text. A document is never split, so a block is as long as it must be.
+    share an id, or have none, are in an order of their places in the table, so that such rows spread over shards. A
+    document is never split, so a block is as long as it must be.
     """
     spark = docs.sparkSession
-    text = column(docs, text_col, "string")
-    rows = docs.select(column(docs, id_col, "long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = row_keys(docs, "__row")
+    rows = keyed.select(column(keyed, id_col, "long").alias("id"), column(keyed, text_col, "string").alias("text"), F.xxhash64("__row").alias("h"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_DOCS)
     ranged = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select(*flagged(F.col("id"), "id"), "text", F.spark_partition_id().alias("shard"))
 
     def pack(batches):
@@ -104,7 +107,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
         if keys:
             yield row()
 
-    ranged.mapInPandas(pack, BLOCK_SCHEMA).write.option("compression", "none").mode("overwrite").parquet(path)
+    written(ranged.mapInPandas(pack, BLOCK_SCHEMA), path, compression="none")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

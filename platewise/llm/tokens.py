@@ -7,6 +7,7 @@ initial symbols less its merges, and no ids are made. Parts are kept by hash in
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -198,6 +199,7 @@ class ChunkEncoder:
     OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str, *, keep_spaces: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would only contend
         from tokenizers import Tokenizer
 
         self.tok, self.keep_spaces = Tokenizer.from_file(path), keep_spaces
