@@ -13,31 +13,21 @@ from random import Random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, constant, let, row_keys
 
 BINS, BITS = 256, 8
 SHINGLE = 5
 #: Bins that an empty bin tries one by one before it looks through all that are filled.
 TRIES = 12
-#: A group of neighbouring documents has about so many rows.
+#: A group of neighbouring documents has about so many rows, or more where that would make over MOST_GROUPS groups.
 GROUP_ROWS = 1_000
 MOST_GROUPS = 100_000
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once for the row, although ``body`` uses it inside other functions."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _constant(values: list[int], kind: str) -> Column:
-    """An array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
-
-
 def _tried(attempt: int) -> Column:
     """The bins that are tried at an attempt, by empty bin: a pseudo-random order for each bin by a fixed rule."""
     orders = [Random(f"bin {b}").sample(range(BINS), TRIES) for b in range(BINS)]
-    return _constant([o[attempt] for o in orders], "int")
+    return constant([o[attempt] for o in orders], "int")
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -49,7 +39,7 @@ def shingle_hashes(text: Column) -> Column:
         short = F.array(F.aggregate(h, F.lit(SHINGLE).cast("long"), lambda a, x: F.xxhash64(a, x)))
         return F.when(F.size(h) >= SHINGLE, long_).when(F.size(h) > 0, short).otherwise(F.array().cast("array<long>"))
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def least_by_bin(hashes: Column) -> Column:
@@ -58,22 +48,28 @@ def least_by_bin(hashes: Column) -> Column:
     def firsts(s: Column) -> Column:
         return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(s, i - 1), 56)))
 
-    return _let(F.sort_array(hashes), firsts)
+    return let(F.sort_array(hashes), firsts)
+
 
+def packed(hashes: Column) -> Column:
+    """All bins' low bits, densified, of the least hash of each bin that has any: an array of 64 words of 32 bits; empty for an empty set.
 
-def packed(least: Column) -> Column:
-    """All bins' low bits, densified: an array of 64 words of 32 bits; empty for an empty set."""
-    low = F.transform(least, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)))
-    place = F.transform(least, lambda x: F.shiftrightunsigned(x, 64 - 8).cast("int"))
+    A number for each filled bin (bin, low bits) and one for every bin (bin, a bit above those) are sorted together; what
+    comes first of a bin says what it holds, or that it is empty.
+    """
+    empty, mask = 1 << BITS, (1 << BITS) - 1
+
+    def numbers(least: Column) -> Column:
+        return F.concat(F.transform(least, lambda x: F.shiftleft(F.shiftrightunsigned(x, 64 - 8), BITS + 1).bitwiseOR(x.bitwiseAND(F.lit(mask)))), constant([b << (BITS + 1) | empty for b in range(BINS)], "bigint"))
 
-    def dense(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(s["low"], F.array_position(s["place"], b).cast("int") - 1))
+    def firsts(s: Column) -> Column:
+        return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, BITS + 1) != F.shiftright(F.get(s, i - 1), BITS + 1)))
 
-    def fill(s: Column, d: Column) -> Column:
+    def fill(least: Column, d: Column) -> Column:
         def one(v: Column, b: Column) -> Column:
             tries = [F.get(d, F.get(_tried(t), b)) for t in range(TRIES)]
             # Then the filled bin that comes first by a hash: the rest of the empty bin's order.
-            rest = F.array_min(F.zip_with(s["low"], s["place"], lambda x, p: F.struct(F.xxhash64(F.lit(13), b, p).alias("h"), x.alias("x"))))["x"]
+            rest = F.array_min(F.transform(least, lambda x: F.struct(F.xxhash64(F.lit(13), b, F.shiftrightunsigned(x, 64 - 8)).alias("h"), x.bitwiseAND(F.lit(mask)).alias("x"))))["x"]
             return F.coalesce(v, *tries, rest)
 
         return F.transform(d, one)
@@ -89,8 +85,12 @@ def packed(least: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.lit(BINS // per - 1)), word)
 
-    filled = _let(F.struct(low.alias("low"), place.alias("place")), lambda s: _let(dense(s), lambda d: fill(s, d)))
-    return F.when(F.size(least) > 0, _let(filled, words)).otherwise(F.array().cast("array<long>"))
+    def whole(least: Column) -> Column:
+        dense = F.transform(let(F.sort_array(numbers(least)), firsts), lambda x: F.when(x.bitwiseAND(F.lit(empty)) == 0, x.bitwiseAND(F.lit(mask))))
+        filled = let(dense, lambda d: F.when(F.size(least) == BINS, d).otherwise(fill(least, d)))
+        return F.when(F.size(least) > 0, let(filled, words)).otherwise(F.array().cast("array<long>"))
+
+    return let(hashes, whole)
 
 
 def fingerprint_text(words: Column) -> Column:
@@ -123,41 +123,54 @@ def fingerprints(df: DataFrame, text: Column, out: str) -> DataFrame:
 def next_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Add ``next``, a struct of the columns ``carry`` of the next document by descending ``doc_id``; after the last the first.
 
-    Ids are cut into groups at quantiles of all ids, so that a group has a bounded number of different ids. Quantiles are
-    worked out in doubles and may be no ids, so groups end at the greatest id found in each, gathered as one number a
-    group; it is copied into the group above, whose least comes before it. One shuffle moves the rows, and each group is
-    put in order by itself. Equal ids are in the order of ``carry``; rows of null id are a group that comes last. A
-    single document is its own next.
+    Equal ids are in the order of ``tie`` (0 or more, a hash of each row's own), rows of null id come last, in that order
+    too. A single document is its own next.
+
+    Ids are cut into groups at quantiles of all ids, so that a group has a bounded number of different ids; an id of very
+    many rows, and null, is a group by itself that is cut at steps of ``tie``. So groups are in order, and of bounded
+    size. Each group's first row, one row a group, is looked up and copied to the end of the group before it. One
+    shuffle moves the rows, and each group is put in order by itself.
     """
-    groups = max(1, min(MOST_GROUPS, docs.count() // GROUP_ROWS))
+    spark = docs.sparkSession
+    n = docs.count()
+    groups = max(1, min(MOST_GROUPS, n // GROUP_ROWS))
+    size = max(GROUP_ROWS, -(-n // groups))
+    ids = docs.groupBy("doc_id").count()
     quantiles = F.percentile_approx("doc_id", F.array(*[F.lit(i / groups) for i in range(1, groups + 1)]), F.lit(10 * groups + 100))
-    found = docs.agg(quantiles.alias("b"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-
-    def group(ends: list[int]) -> Column:
-        """The first group whose end is not below the id, or else the last; -1 for a null id."""
-        array, last = _constant(ends, "long"), len(ends) - 1
-
-        def halve(s: Column, _: Column) -> Column:  # bisection
-            mid = F.shiftright(s["lo"] + s["hi"], 1)
-            below = F.get(array, mid) < F.col("doc_id")
-            return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"))
-
-        state = F.struct(F.lit(0).alias("lo"), F.lit(max(0, last)).alias("hi"))
-        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, last + 1).bit_length())), state, halve)["lo"])
-
-    cut = docs.select("doc_id", group(sorted({*(found["b"] or [])})).alias("g")).filter("g >= 0")
-    ends = sorted(r["m"] for r in cut.groupBy("g").agg(F.max("doc_id").alias("m")).collect())
-    last = len(ends) - 1
-    lowest = -1 if found["nulls"] or not ends else 0
-    array = _constant(ends, "long")
-    placed = docs.withColumn("g", group(ends))
-    end = F.coalesce(F.get(array, F.col("g")) == F.col("doc_id"), F.lit(False))
-    above = F.when((end & (F.col("g") < last)) | ((F.col("g") == -1) & F.lit(last >= 0)), F.col("g") + 1)
-    around = F.when((end & (F.col("g") == last)) if ends else F.lit(True), F.lit(lowest))
-    copies = F.filter(F.array(*[F.struct(g.alias("g"), F.lit(k).alias("copy")) for k, g in enumerate((F.col("g"), above, around))]), lambda x: x["g"].isNotNull())
-    dealt = placed.withColumn("at", F.explode(copies)).withColumn("g", F.col("at.g")).withColumn("copy", F.col("at.copy")).drop("at")
-    order = Window.partitionBy("g").orderBy("copy", F.desc_nulls_last("doc_id"), *carry)
-    return dealt.withColumn("next", F.lead(F.struct(*carry)).over(order)).filter("copy = 0").drop("g", "copy")
+    found = docs.agg(quantiles.alias("b")).first()["b"] or []
+    hot = {r["doc_id"]: -(-r["count"] // size) for r in ids.filter((F.col("count") > 2 * size) | F.col("doc_id").isNull()).collect()}  # fewer than groups
+    named = {h for h in hot if h is not None}
+    bounds = sorted({*found, *named, *(h - 1 for h in named if h > -(1 << 63)), (1 << 63) - 1})
+    parts = [hot.get(None, 1), *(hot.get(b, 1) for b in bounds)]
+    bases = [sum(parts[:k]) for k in range(len(parts))]
+    array, last = constant(bounds, "bigint"), len(bounds) - 1
+
+    def halve(s: Column, _: Column) -> Column:  # bisection for the first bound that isn't below the id
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(array, mid) < F.col("doc_id")
+        return F.struct(F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    state = F.struct(F.lit(0).alias("lo"), F.lit(last).alias("hi"))
+    group = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit((last + 1).bit_length())), state, halve)["lo"] + 1)
+
+    def cut(g: Column) -> Column:
+        """The place of a group, or of the step of ``tie`` in it."""
+        step = F.shiftright(F.shiftright("tie", 31) * F.get(constant(parts, "bigint"), g), 32)
+        return F.get(constant(bases, "int"), g) + step.cast("int")
+
+    placed = docs.withColumn("place", let(group, cut))
+    ends = placed.select("place", "doc_id", "tie").groupBy("place").agg(F.max(F.struct("doc_id", "tie")).alias("m")).collect()
+    ends = sorted((r["place"], r["m"]["doc_id"], r["m"]["tie"]) for r in ends)
+    order_of = [e[0] for e in ends]
+    table = [(p, id_, tie, order_of[(k + 1) % len(ends)], 1 if k + 1 < len(ends) else 2) for k, (p, id_, tie) in enumerate(ends)]
+    first = F.broadcast(spark.createDataFrame(table, "place int, end_id long, end_tie long, to int, copy int"))  # a row a group
+    met = placed.join(first, "place")
+    is_end = F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("tie") == F.col("end_tie"))
+    own = F.struct(F.col("place").alias("place"), F.lit(0).alias("copy"))
+    copies = F.when(is_end, F.array(own, F.struct(F.col("to").alias("place"), F.col("copy").alias("copy")))).otherwise(F.array(own))
+    dealt = met.withColumn("at", F.explode(copies)).select(*docs.columns, "at.place", "at.copy")
+    order = Window.partitionBy("place").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("tie"))
+    return dealt.withColumn("next", F.lead(F.struct(*carry)).over(order)).filter("copy = 0").drop("place", "copy")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,9 +178,12 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     The edited text has the last half of the code points (rounded down) replaced by as many of the next document's first.
     A null text is empty; repeated rows are kept. Fingerprints are taken where the texts are read, before they move.
+    Rows of one id, or of none, follow each other in an order of their places in the table.
     """
-    text = F.coalesce(column(docs, text_col, "string"), F.lit(""))
-    rows = fingerprints(docs.select(column(docs, id_col, "long").alias("doc_id"), text.alias("text")), F.col("text"), "words")
+    keyed = row_keys(docs, "__row")
+    text = F.coalesce(column(keyed, text_col, "string"), F.lit(""))
+    tie = F.shiftrightunsigned(F.xxhash64("__row"), 1)
+    rows = fingerprints(keyed.select(column(keyed, id_col, "long").alias("doc_id"), tie.alias("tie"), text.alias("text")), F.col("text"), "words")
     rows = next_documents(rows, ["text", "words"]).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next.text", F.lit(1), half))
