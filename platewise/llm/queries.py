@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_output, chat, fingerprint, jaccard, language, manifest, media, mixing, packing, tokens, urls
+from . import binary_output, chat, fingerprint, jaccard, language, manifest, media, mixing, packing, phrases, tokens, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_audio_fingerprint": media.op10_audio_fingerprint,
+    "op11_collocations": phrases.op11_collocations,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.OP2_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op13_merkle_manifest": manifest.OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.OP2_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op8_chat_format": chat.OP8_SQL, "op11_collocations": phrases.OP11_SQL, "op13_merkle_manifest": manifest.OP13_SQL}
