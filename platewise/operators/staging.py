@@ -85,8 +85,12 @@ class Scratch:
             if any(table is x for x in tables):
                 remove(self.spark, path)
 
+    def clear(self) -> None:
+        """Remove all tables: nothing reads them any more."""
+        remove(self.spark, self.folder)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        remove(self.spark, self.folder)
+        self.clear()
