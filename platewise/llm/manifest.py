@@ -27,6 +27,16 @@ def leaf_digest(values: list[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
+def text_of(digest: Column) -> Column:
+    """Lowercase hex of one digest or of several in a row; tables hold digests as bytes."""
+    return F.lower(F.hex(digest))
+
+
+def parent_of(before: Column, digest: Column, after: Column) -> Column:
+    """Digest of a run: of its nodes' digests as hex text, one after the other."""
+    return F.unhex(F.sha2(F.concat(text_of(before), text_of(digest), text_of(after)), 256))
+
+
 def with_siblings(nodes: DataFrame, fanout: int, small: bool) -> DataFrame:
     """Nodes (``g, idx, n, digest``) with ``before`` and ``after``: the digests of the lower and the higher slots of their run."""
     out = nodes
@@ -38,7 +48,7 @@ def with_siblings(nodes: DataFrame, fanout: int, small: bool) -> DataFrame:
     others = F.array_sort(F.array_compact(F.array(*[F.col(f"s{d}") for d in range(1, fanout)])))
 
     def side(keep) -> Column:
-        return F.array_join(F.transform(F.filter(others, keep), lambda x: x["digest"]), "")
+        return F.aggregate(F.filter(others, keep), F.unhex(F.lit("")), lambda s, x: F.concat(s, x["digest"]))
 
     return out.select("g", "idx", "n", "digest", side(lambda x: x["slot"] < slot).alias("before"), side(lambda x: x["slot"] > slot).alias("after"))
 
@@ -52,7 +62,7 @@ def climb(leaves: DataFrame, rows: int, most: int, groups: int, fanout: int, wor
         levels.append((work.table(level.coalesce(1) if small else level, "level"), small))
         if most <= 1:
             return levels
-        parent = F.sha2(F.concat("before", "digest", "after"), 256)
+        parent = parent_of(F.col("before"), F.col("digest"), F.col("after"))
         nodes = levels[-1][0].filter((F.col("n") > 1) & (F.col("idx") % fanout == 0)).select("g", F.floor(F.col("idx") / fanout).alias("idx"), F.ceil(F.col("n") / fanout).alias("n"), parent.alias("digest"))
         most, rows = -(-most // fanout), rows // fanout + groups
 
@@ -77,13 +87,15 @@ def descend(levels: list[tuple[DataFrame, bool]], above: DataFrame, fanout: int,
             own = level.filter("n > 1").withColumn("parent", F.floor(F.col("idx") / fanout))
             own = own.join(F.broadcast(up) if levels[at + 1][1] else up, ["g", "parent"])
             now = now.unionByName(own.select("g", "idx", F.concat(F.array(F.struct("before", "after")), F.col("rest")).alias("path")))
-        upper = now if at == 0 else work.table(now.coalesce(1) if small else now, "paths")
+        done, upper = upper, now if at == 0 else work.table(now.coalesce(1) if small else now, "paths")
+        if at:
+            work.drop(level, done)
     return upper
 
 
 def folded(start: Column, path: Column) -> Column:
     """The root that a leaf and its path give."""
-    return F.aggregate(path, start, lambda d, x: F.sha2(F.concat(x["before"], d, x["after"]), 256))
+    return F.aggregate(path, start, lambda d, x: parent_of(x["before"], d, x["after"]))
 
 
 def manifest(docs: DataFrame, *, group_col: str = "lang", id_col: str = "doc_id", columns: tuple[str, ...] = LEAF, changed: dict[str, Column] | None = None, fanout: int = 2) -> DataFrame:
@@ -91,7 +103,7 @@ def manifest(docs: DataFrame, *, group_col: str = "lang", id_col: str = "doc_id"
 
     ``leaf`` is the digest of ``columns`` (those that the table hasn't count as null); leaves of a group ascend by id (long,
     null first), rows that share one by digest. ``path`` is an array of what stands before and after in each run, up to
-    ``root``. ``changed`` gives other values for some columns: ``claimed`` is the leaf of the changed row, and ``verified``
+    ``root``, as bytes; the other digests are hex. ``changed`` gives other values for some columns: ``claimed`` is the leaf of the changed row (else ``leaf``), and ``verified``
     says whether it still folds to ``root``. Groups ascend by UTF-8 bytes, null first; each group's size is counted, no
     group is ever in one task, and only two numbers and the root come to the driver. An empty table gives no rows.
     """
@@ -101,35 +113,37 @@ def manifest(docs: DataFrame, *, group_col: str = "lang", id_col: str = "doc_id"
     values = [column(docs, c, kinds.get(c, "string")) for c in columns]
     other = [(changed or {}).get(c, v) for c, v in zip(columns, values, strict=True)]
     rows = docs.select(
-        column(docs, id_col, "long").alias("id"), column(docs, group_col, "string").alias("grp"), leaf_digest(values).alias("leaf"),
-        (leaf_digest(other) if changed else F.lit(None).cast("string")).alias("claimed"), F.lit(1).cast("long").alias("one"),
-    )
-    with Scratch(docs.sparkSession, "manifest") as work:
-        rows = work.table(rows, "leaves")
+        column(docs, id_col, "long").alias("id"), column(docs, group_col, "string").alias("grp"), F.unhex(leaf_digest(values)).alias("leaf"),
+        (F.unhex(leaf_digest(other)) if changed else F.lit(None).cast("binary")).alias("claimed"), F.lit(1).cast("long").alias("one"),
+    ).withColumn("claimed", F.nullif("claimed", "leaf"))
+    with Scratch(docs.sparkSession, "manifest") as work, Scratch(docs.sparkSession, "manifest-order") as first:
+        rows = first.table(rows, "leaves")
         total = rows.count()
-        ordered = running_total(rows, ["grp", "id", "leaf"], "one", "at", work, max(1, total // ROWS_PER_TASK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        ordered = running_total(rows, ["grp", "id", "leaf"], "one", "at", first, max(1, total // ROWS_PER_TASK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         groups = work.table(ordered.groupBy("grp").agg(F.min("at").alias("first"), F.count("*").alias("n")).withColumn("one", F.lit(1).cast("long")), "groups")
         n_groups, most = groups.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
         numbered = work.table(running_total(groups, ["grp"], "one", "g", work, max(1, n_groups // ROWS_PER_TASK)).withColumnRenamed("grp", "of"), "numbered")
         place = ordered.join(numbered, F.col("grp").eqNullSafe(F.col("of"))).select("g", (F.col("at") - F.col("first")).alias("idx"), "n", "id", "grp", "leaf", "claimed")
         place = work.table(place, "placed")
+        first.clear()
         levels = climb(place.select("g", "idx", "n", F.col("leaf").alias("digest")), total, most, n_groups, fanout, work)
         subroots = work.table(tops(levels), "subroots")
         upper = climb(subroots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("idx"), F.lit(n_groups).cast("long").alias("n"), "digest"), n_groups, n_groups, 1, fanout, work)
         found = tops(upper).first()
-        root = F.lit(found["digest"] if found else None).cast("string")
-        nothing = F.array().cast("array<struct<before:string,after:string>>")
+        root = F.lit(bytes(found["digest"]) if found else None).cast("binary")
+        nothing = F.array().cast("array<struct<before:binary,after:binary>>")
         ways = descend(upper, docs.sparkSession.range(1).select(F.col("id").alias("g"), nothing.alias("path")), fanout, work)
         above = work.table(ways.select(F.col("idx").alias("g"), "path").join(subroots, "g"), "groups-up")
         paths = descend(levels, above.select("g", "path"), fanout, work)
         out = place.drop("n").join(paths, ["g", "idx"]).join(above.select("g", F.col("digest").alias("subroot")), "g")
-        out = out.select("*", folded(F.coalesce("claimed", "leaf"), F.col("path")).alias("folded_root"), root.alias("root"))
-        return staged(out.select(F.col("id").alias(id_col), F.col("grp").alias(group_col), "idx", "leaf", "subroot", "root", "path", "claimed", "folded_root", (F.col("folded_root") == root).alias("verified")), "manifest")
+        end = folded(F.coalesce("claimed", "leaf"), F.col("path"))
+        out = out.select(F.col("id").alias(id_col), F.col("grp").alias(group_col), "idx", text_of(F.col("leaf")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), text_of(root).alias("root"), "path", text_of(F.coalesce("claimed", "leaf")).alias("claimed"), end.alias("end"))
+        return staged(out.select(*out.columns[:-1], text_of(F.col("end")).alias("folded_root"), (F.col("end") == root).alias("verified")), "manifest")
 
 
 def proof_digest(path: Column) -> Column:
     """SHA-256 of all siblings of a path, level by level, left to right."""
-    return F.sha2(F.array_join(F.transform(path, lambda x: F.concat(x["before"], x["after"])), ""), 256)
+    return F.sha2(F.array_join(F.transform(path, lambda x: text_of(F.concat(x["before"], x["after"]))), ""), 256)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
