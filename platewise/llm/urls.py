@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, constant
+from .common import Scratch, column, constant, exact_ids, flagged
 
 #: Bits and hashes for each key of a level.
 BITS, HASHES = 10, 4
@@ -150,10 +150,10 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
             keys = f["keys"].tolist()
             for at in np.flatnonzero(bad | good)[::-1].tolist():  # the longest of a row comes last
                 rule[row[at]], verdict[row[at]] = keys[row[at]][place[at]], "block" if bad[at] else "allow"
-            yield pd.DataFrame({id_col: f[id_col].astype("Int64"), "host": f["host"], "path": f["path"], "rule": rule, "verdict": verdict})
+            yield pd.DataFrame({id_col: exact_ids(f, id_col), "host": f["host"], "path": f["path"], "rule": rule, "verdict": verdict})
 
-    hashed = rows.withColumn("h1", F.transform("keys", lambda k: F.xxhash64(F.lit(1), k))).withColumn("h2", F.transform("keys", lambda k: F.xxhash64(F.lit(2), k)))
-    return hashed.mapInPandas(look_up, out)
+    hashes = [F.transform("keys", lambda k, i=i: F.xxhash64(F.lit(i), k)).alias(f"h{i}") for i in (1, 2)]
+    return rows.select(*flagged(F.col(f"`{id_col}`"), id_col), "host", "path", "keys", *hashes).mapInPandas(look_up, out)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
