@@ -22,8 +22,9 @@ from .tokens import of_worker, text_groups
 #: Hash values of n-grams.
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Labelled documents learned from, at most about so many for each language (chosen by a hash of the id).
+#: Labelled documents learned from, at most about so many for each language (chosen by a hash of id and text, among so many values).
 SAMPLE = 4_000
+SHARES = 1 << 40
 #: Languages that can be learned at most.
 MOST_LANGUAGES = 256
 #: Characters of texts that are handled at once.
@@ -132,17 +133,18 @@ def held_out(id_: Column) -> Column:
 def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", learn: Column, order: Column, sample: int = SAMPLE) -> Model:
     """Learn from the rows for which ``learn`` holds, with text and language, at most about ``sample`` a language.
 
-    Rows are chosen by ``order`` (a hash, long) below a share that is counted for each language. Only the languages'
-    n-gram counts, ``BINS`` numbers each, come to the driver; over ``MOST_LANGUAGES`` languages it refuses.
+    Rows are chosen by ``order`` (a hash, long) below a share that is counted for each language; the rows of a language's
+    least hash are always among them, so none goes unlearned. A language without a letter in what was chosen is left out.
+    Only the languages' n-gram counts, ``BINS`` numbers each, come to the driver; over ``MOST_LANGUAGES`` it refuses.
     """
-    rows = docs.select(column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang"), learn.alias("learn"), F.pmod(order, F.lit(1 << 20)).alias("h")).filter("learn and lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    rows = docs.select(column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang"), learn.alias("learn"), F.pmod(order, F.lit(SHARES)).alias("h")).filter("learn and lang is not null and text is not null")
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], *[np.zeros((0, 0))] * 2, *[np.zeros(0)] * 3)
-    bars = docs.sparkSession.createDataFrame([(x, min(1 << 20, max(64, (sample << 20) // sizes[x]))) for x in languages], "lang string, bar long")
+    bars = docs.sparkSession.createDataFrame([(x, min(SHARES, max(least + 1, sample * SHARES // n))) for x, (n, least) in sorted(sizes.items())], "lang string, bar long")
     chosen = rows.join(F.broadcast(bars), "lang").filter(F.col("h") < F.col("bar")).select("lang", "text")
 
     def count(frames):
@@ -162,7 +164,8 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     place = {x: i for i, x in enumerate(languages)}
     for r in chosen.mapInPandas(count, "lang string, bin int, c long").groupBy("lang", "bin").agg(F.sum("c").alias("c")).toLocalIterator():
         counts[place[r["lang"]], r["bin"]] = r["c"]
-    return Model.fit(languages, counts)
+    some = counts.sum(1) > 0
+    return Model.fit([x for x, k in zip(languages, some, strict=True) if k], counts[some])
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", ambiguous: float = 0.1, keep: list[str] | None = None) -> DataFrame:
@@ -202,7 +205,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", ambiguous
 def learned(docs: DataFrame) -> Model:
     """The model of the documents that are not held out."""
     id_ = column(docs, "doc_id", "long")
-    return fit_languages(docs, learn=id_.isNotNull() & ~held_out(id_), order=F.xxhash64(id_))
+    return fit_languages(docs, learn=id_.isNotNull() & ~held_out(id_), order=F.xxhash64(id_, column(docs, "text", "string")))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
