@@ -24,11 +24,11 @@ from .tokens import ChunkEncoder, of_worker, text_groups, tokenizer_path
 #: Pieces of one bin on average.
 BIN_PIECES = 40_000
 #: Groups that large lengths are rounded to.
-GROUPS = 48
+GROUPS = 96
 #: Lengths above this share of a sequence are large.
 LARGE = 0.12
-#: Sequences of large pieces that are less full than this are taken apart and packed by their real lengths.
-WELL_FILLED = 0.97
+#: Sequences of large pieces that are less full than such a share are taken apart and packed by their real lengths.
+WELL_FILLED = (0.97, 0.99, 0.998)
 
 
 def best_configuration(sizes: list[int], left: list[int], room: int) -> list[int]:
@@ -98,32 +98,25 @@ def pack_lengths(lengths: np.ndarray, capacity: int, groups: int = GROUPS, large
             packed.append([members[i].pop() for i, c in enumerate(counts) for _ in range(c)])
         left = [a - times * c for a, c in zip(left, counts, strict=True)]
 
-    # What rounding up has left: sequences that aren't well filled are packed anew by real lengths, if that takes fewer.
+    # What rounding up has left: sequences that aren't well filled are packed anew by real lengths, then small pieces go into
+    # the fullest room that holds them. How well filled is worth keeping depends on the lengths; the fewest sequences win.
     fill = [int(sum(lengths[k] for k in s)) for s in packed]
-    loose = [s for s, f in enumerate(fill) if f < WELL_FILLED * capacity]
-    kept = [packed[s] for s in range(len(packed)) if fill[s] >= WELL_FILLED * capacity]
-    again = sorted((k for s in loose for k in packed[s]), key=lambda k: -lengths[k])
-    to, opened = best_fit([int(lengths[k]) for k in again], sorted((capacity - sum(int(lengths[k]) for k in s), i) for i, s in enumerate(kept)), capacity, len(kept))
-    if opened < len(loose):
-        packed = [*kept, *([] for _ in range(opened))]
-        for k, s in zip(again, to, strict=True):
-            packed[s].append(k)
-    fill = []
-    for s, some in enumerate(packed):
-        used = 0
-        for k in some:
-            sequence[k], offset[k] = s, used
-            used += int(lengths[k])
-        fill.append(used)
-
-    # Small: best fit, by the room that is left.
     small = order[n_large:].tolist()
-    to, opened = best_fit([int(lengths[k]) for k in small], sorted((capacity - f, s) for s, f in enumerate(fill) if f < capacity), capacity, len(fill))
-    fill += [0] * opened
-    for k, s in zip(small, to, strict=True):
-        sequence[k], offset[k] = s, fill[s]
-        fill[s] += int(lengths[k])
-    return sequence, offset, len(fill)
+    best: tuple[list[int], list[int], int] | None = None
+    for share in WELL_FILLED:
+        kept = [s for s, f in zip(packed, fill, strict=True) if f >= share * capacity]
+        rooms = sorted((capacity - f, i) for i, f in enumerate(f for f in fill if f >= share * capacity))
+        again = sorted((k for s, f in zip(packed, fill, strict=True) if f < share * capacity for k in s), key=lambda k: -lengths[k])
+        rest = again + small
+        to, opened = best_fit([int(lengths[k]) for k in rest], [r for r in rooms if r[0]], capacity, len(kept))
+        if best is None or len(kept) + opened < best[2]:
+            best = [k for s in kept for k in s] + rest, [i for i, s in enumerate(kept) for _ in s] + to, len(kept) + opened
+    placed, to, total = best
+    used = [0] * total
+    for k, s in zip(placed, to, strict=True):
+        sequence[k], offset[k] = s, used[s]
+        used[s] += int(lengths[k])
+    return sequence, offset, total
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
