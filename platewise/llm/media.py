@@ -23,8 +23,9 @@ WIDEST = 12
 FILTERS = [(i % 6, (i * 7) % (12 - h + 1), h, (4, 8, WIDEST)[i % 3]) for i in range(16) for h in [2 + (i * 5) % 9]]
 #: Distance of the two integers of a key, and the votes that an offset needs.
 KEY_STEP, VOTES = 3, 2
-#: Frames that an overlap must have, and the share of bits that may differ.
-LEAST_FRAMES, MOST_ERROR = 12, 0.25
+#: Frames that an overlap must have, and the share of bits that may differ. Overlaps of up to some 22 frames of different
+#: recordings come below that share by chance.
+LEAST_FRAMES, MOST_ERROR = 32, 0.25
 
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
