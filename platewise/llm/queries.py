@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_output, chat, fingerprint, jaccard, language, manifest, media, mixing, packing, phrases, tokens, urls
+from . import binary_output, chat, fingerprint, jaccard, language, manifest, media, mixing, packing, phrases, scoring, tokens, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_audio_fingerprint": media.op10_audio_fingerprint,
     "op11_collocations": phrases.op11_collocations,
+    "op12_lm_scores": scoring.op12_lm_scores,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
