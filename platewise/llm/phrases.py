@@ -3,7 +3,7 @@
 Texts become sequences of word numbers once; words too rare to be in any candidate, and the ends of pieces, break them.
 Phrases are counted order by order: a phrase of n words is the number of its first n-1 words with its last word, so it
 is one 64-bit number, exact and without hashing, and only places whose first and last n-1 words are both frequent are
-counted at all. Tasks count what they hold by sorting it, sums of these sorted runs give the stream of an order, and a
+counted at all. Tasks count what they hold by sorting it; these sorted runs are merged to the stream of an order, and a
 phrase's number is its place in that stream. The stream of order n is then merged twice with that of order n-1, both
 sorted: in prefix order, which gives the counts of all beginnings and the best extension to the right, and in suffix
 order, which gives the counts of all endings and the best extension to the left.
@@ -120,15 +120,46 @@ def places(w: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return at, g[at].astype(np.int64) << 32 | w[at + n - 1]
 
 
-def count_phrases(sequences: DataFrame, n: int) -> DataFrame:
-    """``key, suffix, c`` of phrases of n words, several rows for a phrase: sorted runs of what tasks hold."""
+def packed(numbers: np.ndarray, kind: str) -> bytes:
+    """Whole numbers with their bytes of one weight together, which compress well: those of great weight are mostly 0."""
+    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    """The numbers that ``packed`` made bytes of."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def summed_run(keys: np.ndarray, ends: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One sorted run: each key once, with its ending and the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], ends[order[first]], np.add.reduceat(times[order], first) if len(keys) else times
+
+
+def count_phrases(sequences: DataFrame, n: int, shares: int) -> DataFrame:
+    """Sorted runs of what tasks have counted of phrases of n words, cut into ``shares``: ``share``, and keys, endings and counts packed.
+
+    A run is a row for each share, and not one for each phrase.
+    """
 
     def count(batches):
         keys, ends, held = [], [], 0
 
         def send():
-            key, first, c = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(ends)[first]), pa.array(c.astype(np.int32))], ["key", "suffix", "c"])
+            found = np.concatenate(keys)
+            key, end, c = summed_run(found, np.concatenate(ends), np.ones(len(found), np.int64))
+            share = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shares)
+            order = np.argsort(share, kind="stable")  # keys still ascend within a share
+            cuts = np.searchsorted(share[order], np.arange(shares + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                some = order[cuts[k] : cuts[k + 1]]
+                rows.append((k, packed(np.diff(key[some], prepend=0), "<i8"), packed(end[some], "<i4"), packed(c[some], "<i4")))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["share", "keys", "ends", "counts"])
 
         for batch in batches:
             parts = _arrays(batch)
@@ -143,7 +174,31 @@ def count_phrases(sequences: DataFrame, n: int) -> DataFrame:
         if held:
             yield send()
 
-    return sequences.mapInArrow(count, "key long, suffix int, c int")
+    return sequences.mapInArrow(count, "share int, keys binary, ends binary, counts binary")
+
+
+def merged_runs(runs: DataFrame, least: int, parts: int) -> DataFrame:
+    """``key, suffix, f`` of phrases that all runs together have ``least`` times or more: a share's runs are merged in one task as they come."""
+
+    def merge(batches):
+        held: dict[int, list[tuple]] = defaultdict(list)
+
+        def merged_share(runs):
+            return summed_run(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+
+        for batch in batches:
+            for share, keys, ends, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = held[share]
+                mine.append((np.cumsum(unpacked(keys, "<i8")), unpacked(ends, "<i4"), unpacked(counts, "<i4").astype(np.int64)))
+                # Runs are summed whenever they have grown to twice what they were.
+                if len(mine) > 2 and sum(len(r[0]) for r in mine[1:]) > max(HELD, len(mine[0][0])):
+                    held[share] = [merged_share(mine)]
+        for mine in held.values():
+            key, end, f = merged_share(mine)
+            often = f >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(end[often]), pa.array(f[often])], ["key", "suffix", "f"])
+
+    return runs.repartition(parts, "share").mapInArrow(merge, "key long, suffix int, f long")
 
 
 def number_phrases(sequences: DataFrame, phrases: DataFrame, n_phrases: int, n: int, work: Scratch) -> DataFrame:
@@ -242,8 +297,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
         sequences = number_words(docs, words, n_words, work)
         streams: list[DataFrame] = []
         for n in range(2, longest + 1):
-            summed = count_phrases(sequences, n).groupBy("key").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("f")).filter(F.col("f") >= least)
-            stream, size = numbered(summed, ["key"], "stream")
+            stream, size = numbered(merged_runs(count_phrases(sequences, n, 4 * parts), least, parts), ["key"], "stream")
             if not size:
                 break
             streams.append(stream)
