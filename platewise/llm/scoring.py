@@ -545,9 +545,9 @@ def score_documents(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", t
                 spelled_here[g.at[g.hit]] = False
                 known = ids < len(place)
                 m = len(some)
-                cost = np.bincount(doc[g.at], model.bits(g, marks[g.guess], marks[ids[g.at - 1]]), m)
+                cost = np.zeros(m) + np.bincount(doc[g.at], model.bits(g, marks[g.guess], marks[ids[g.at - 1]]), m)  # of nothing, bincount makes integers
                 a = ids[known]
-                base = np.bincount(doc[known], base_of[a], m)
+                base = np.zeros(m) + np.bincount(doc[known], base_of[a], m)
                 cost += np.bincount(doc[known], bits[a] * spelled_here[known], m)
                 # Each text's rare words once, with how often they are there, and how often they are spelled.
                 pair, at, times = np.unique(doc[~known] << 32 | ids[~known] - len(place), return_inverse=True, return_counts=True)

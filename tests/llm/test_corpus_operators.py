@@ -180,6 +180,17 @@ def test_packing_equals_the_library_and_has_no_gaps(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [lambda r: r.integers(1300, 4097, 6000), lambda r: r.integers(300, 2000, 9000), lambda r: np.clip(r.exponential(700, 9000).astype(int) + 1, 1, 4096), lambda r: np.concatenate([r.integers(1, 300, 6000), r.integers(1000, 4097, 3000)])])
+def test_no_more_sequences_than_best_fit_of_descending_lengths(lengths):
+    v = lengths(np.random.default_rng(1))
+    sequence, offset, n = packing.pack_lengths(v, 4096)
+    plain = packing.best_fit(sorted(v.tolist(), reverse=True), [], 4096, 0)[1]
+    assert n <= plain * 1.0005 and len(set(sequence.tolist())) == n
+    for s in range(0, n, 97):
+        mine = sorted(zip(offset[sequence == s], v[sequence == s], strict=True))
+        assert mine[0][0] == 0 and all(a + x == b for (a, x), (b, _) in zip(mine, mine[1:], strict=False)) and sum(mine[-1]) <= 4096
+
+
 def test_pack_lengths_near_the_bound():
     rnd = np.random.default_rng(0)
     lengths = np.minimum(4096, np.maximum(1, rnd.lognormal(6.2, 1.2, 20_000))).astype(int)
@@ -235,6 +246,21 @@ def test_language_id_on_held_out_documents(spark):
     assert [r.lang_pred for r in language.identify(odd, nothing).collect()] == ["und"] * 4
 
 
+def test_a_language_whose_rows_share_an_id_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    for shared in range(40, 52):  # whatever the hash of the id
+        one = docs.withColumn("doc_id", F.when(F.col("lang") == "de", F.lit(shared)).otherwise(F.col("doc_id")))
+        if zlib.crc32(str(shared).encode()) % 4 != 2:
+            break
+    same = one.withColumn("text", F.when(F.col("lang") == "de", F.lit("der Hund und die Katze und das Haus in der Straße")).otherwise(F.col("text")))
+    for rows in (one, same):
+        got = language.identify(docs.filter("lang = 'de'"), language.fit_languages(rows, learn=~language.held_out(F.col("doc_id")), order=F.xxhash64("doc_id", "text"), sample=20)).collect()
+        assert sum(r.lang_pred == "de" for r in got) > 0.9 * len(got)
+    wordless = docs.select("doc_id", "lang", "text").unionByName(spark.createDataFrame([(7, "xx", "123")], "doc_id long, lang string, text string"))
+    assert "xx" not in language.fit_languages(wordless, learn=F.lit(True), order=F.xxhash64("doc_id")).languages
+
+
 def test_decoding_against_a_plain_one(spark):
     model = language.learned(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -383,11 +409,11 @@ def test_audio_against_exhaustive_alignment(spark):
     df = spark.createDataFrame([(i * 10, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
     made = media.fingerprint_media(media.recordings(df), id_col="vec_id", audio={"prints": "audio", "asked": "again"}).collect()
     prints, asked = {r.id: r.prints for r in made}, {r.id: r.asked for r in made if r.asked}
-    want, chance = exhaustive(asked, prints, 0.5), exhaustive(asked, prints, 0)  # short overlaps are alike by chance now and then
+    want = exhaustive(asked, prints, 0)
     got = {r.id: json.loads(r.m) for r in media.search_recordings(media.recordings(df), id_col="vec_id").withColumn("m", F.to_json("matches")).collect()}
     found = {(q, m["class_id"]): m["bit_error"] for q in asked for m in got[q]}
     assert len(asked) == 12 and all((i, i) in found for i in asked)
-    assert set(found) <= set(chance) and len(set(found) & set(want)) >= 0.9 * len(want) and set(want) <= set(chance)
+    assert set(found) <= set(want) and len(found) >= 0.9 * len(want)  # by the operator's own rule, every overlap that it accepts
     assert all(abs(found[i, i] - want[i, i]) < 1e-5 for i in asked)
     assert all(not got[i] for i in prints if i not in asked)
 
@@ -477,3 +503,7 @@ def test_long_ids_beside_a_null_stay_exact(spark, tmp_path):
     binary_output.write_token_ids(docs, str(tmp_path / "ids"), parts=1)
     for out in (tokens.token_counts(docs), packing.pack_documents(docs), binary_output.digest_documents(spark, str(tmp_path / "ids")), jaccard.jaccard_classes(docs), mixing.mix(docs, mixing.cycle_weights)):
         assert Counter(r.doc_id for r in out.collect()) == want
+    pages = spark.createDataFrame([(9007199254740993, "https://a.com/"), (9007199254740995, "https://b.net/es/"), (None, None), (-(1 << 62) - 1, "x")], "page_id long, url string").coalesce(1)
+    for most in (urls.MOST_BYTES, 0):
+        judged = urls.judge(pages, spark.createDataFrame(urls.RULES, "rule string, verdict string"), most_bytes=most)
+        assert {r.page_id for r in judged.collect()} == {9007199254740993, 9007199254740995, None, -(1 << 62) - 1}
