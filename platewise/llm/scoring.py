@@ -36,7 +36,7 @@ END = b"\n"
 ORDERS = ((1, 16), (2, 19), (3, 20), (4, 21), (6, 21), (0, 21))
 STOP, BEFORE = 256, 257  # end of a word, and what stands before its first letter
 PRIOR, LONG_PRIOR = 0.4, 0.05  # of both bits in every context, and in the whole beginning, which nearly always goes on alike
-LETTERS, STEP_LETTERS = 1 << 15, 1 << 12  # that are worked on at once, and between two corrections of the weights
+LETTERS, STEP_LETTERS = 1 << 14, 1 << 12  # that are worked on at once, and between two corrections of the weights
 FAMILIAR = 12  # classes of how often a word's whole beginning is known, by doublings
 KNOWN_GATES, NODES, INPUTS, LEVELS = 4 * (len(ORDERS) + FAMILIAR), 256, len(ORDERS) + 1, 33
 RATE = 0.01
@@ -45,9 +45,9 @@ HOT_WORDS, HOT_BYTES = 1 << 17, 64
 HASHED = 1 << 16  # slots for guessed words and words before
 REPEAT_GATES, REPEAT_INPUTS = 8, 5
 REPEAT_BLOCK = 1 << 14
-TOKENS = 1 << 18  # of texts that are worked on at once
+TOKENS = 1 << 16  # of texts that are worked on at once
 CHUNK = 1 << 15  # numbers in a row of a vector
-HELD = 1 << 19
+HELD = 1 << 17  # different words that a task counts before it sends them
 
 
 def tokens(text: str | None) -> list[bytes]:
