@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import COMPOUND_LANGS, depluralize, lexicon, split_compounds
 from .staging import Scratch, staged
+from .topk import greatest, top_rows
 
 #: Weights of the indexed columns, and the two constants of BM25.
 WEIGHTS = {"name": 5.0, "brand": 1.0, "aliases": 3.0, "extra": 0.0}
@@ -28,29 +29,56 @@ def build_postings(foods: DataFrame) -> DataFrame:
     return one.groupBy("word", "id", "col").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def prefix_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """``query_id, id, bm25``: foods of which some word begins with each token of a query; the best bm25 is the greatest.
+def token_scores(tokens: DataFrame, postings: DataFrame, work: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """``token, id, part``: what each food adds to bm25 by a token that some word of it begins with; and ``token, df``.
 
-    ``queries``: ``query_id, tokens``. Each different token meets the beginnings of each different word, as equal strings;
-    only the words found meet their postings, so work follows what matches, and a word in very many foods is split by
-    adaptive execution. Every column of every word counts as one row.
+    ``tokens``: ``token``, each once. A token meets the beginnings of each different word, as equal strings; only the words
+    found meet their postings, so work follows what matches, and a word in very many foods is split by adaptive
+    execution. Every column of every word counts as one row. With ``work``, what is read more than once is staged.
     """
-    asked = queries.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
-    distinct = asked.select("token").distinct()
     beginnings = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
     begun = postings.select("word").distinct().select("word", F.explode(beginnings).alias("token"))
-    hit = distinct.join(begun, "token").join(postings, "word").select("token", "id", "col", "tf", "dl")
-    by_row = hit.groupBy("token", "id", "col").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    hit = tokens.join(begun, "token").join(postings, "word").select("token", "id", "col", "tf")
     weight = F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("col"))
-    per_food = by_row.groupBy("token", "id").agg(F.sum(weight * F.col("tf")).alias("wtf"))
+    per_food = hit.groupBy("token", "id").agg(F.sum(weight * F.col("tf")).alias("wtf"))
+    if work is not None:
+        per_food = work.table(per_food, "tokens")
     lengths = postings.select("id", "col", "dl").distinct().groupBy("id").agg(F.sum("dl").alias("len"))
     stats = lengths.agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len"))
     df = per_food.groupBy("token").agg(F.count("*").alias("df"))
+    if work is not None:
+        df = work.table(df, "frequencies")
     scored = per_food.join(df, "token").join(lengths, "id").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = scored.select("token", "id", part.alias("part"))
-    return asked.join(scored, "token").groupBy("query_id", "id").agg(F.count("*").alias("found"), F.first("n").alias("n"), F.sum("part").alias("bm25")).filter("found = n").select("query_id", "id", "bm25")
+    return (scored if work is None else work.table(scored, "scored")), df
+
+
+def rarest_first(queries: DataFrame, scored: DataFrame, df: DataFrame) -> DataFrame:
+    """``query_id, id, bm25``: foods that have all tokens of a query.
+
+    A query starts from the foods of its rarest token, and the other tokens only look those up: rows between the joins
+    follow the rarest token, however common the others are. A query one of whose tokens nothing has is dropped before.
+    """
+    asked = queries.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    known = asked.join(df, "token")
+    rare = known.groupBy("query_id").agg(F.first("n").alias("n"), F.count("*").alias("known"), F.min_by(F.struct("token", "at"), F.struct("df", "at")).alias("rare")).filter("known = n")
+    rare = rare.select("query_id", "n", F.col("rare.token").alias("token"), F.col("rare.at").alias("rare_at"))
+    first = rare.join(scored, "token").select("query_id", "n", "id", "part")
+    rest = asked.select("query_id", "at", "token").join(rare.filter("n > 1").select("query_id", "rare_at"), "query_id").filter("at <> rare_at").select("query_id", "token")
+    probed = first.filter("n > 1").withColumnRenamed("part", "rare_part").join(rest, "query_id").join(scored, ["token", "id"])
+    several = probed.groupBy("query_id", "id").agg(F.count("*").alias("found"), F.first("n").alias("n"), (F.first("rare_part") + F.sum("part")).alias("bm25")).filter("found = n - 1")
+    return first.filter("n = 1").select("query_id", "id", F.col("part").alias("bm25")).unionByName(several.select("query_id", "id", "bm25"))
+
+
+def prefix_matches(queries: DataFrame, postings: DataFrame, work: Scratch | None = None) -> DataFrame:
+    """``query_id, id, bm25``: foods of which some word begins with each token of a query; the best bm25 is the greatest.
+
+    ``queries``: ``query_id, tokens``. A query without tokens matches nothing; a token asked twice counts twice.
+    """
+    tokens = queries.select(F.explode("tokens").alias("token")).distinct()
+    return rarest_first(queries, *token_scores(tokens, postings, work))
 
 
 def _flat(c: Column, separators: str = "[,-]") -> Column:
@@ -127,19 +155,28 @@ def listed(sources: Column) -> Column:
     return national() & F.array_contains(sources, F.col("f_source"))
 
 
+def top_limit(queries: DataFrame) -> int:
+    """The greatest limit that a batch of queries has."""
+    return greatest(queries.select("limit"))
+
+
 def with_preference(foods: DataFrame, members: DataFrame) -> DataFrame:
     """Foods with ``preferred`` as the members' table says (``id, preferred``), false for foods it doesn't have."""
     return foods.drop("preferred").join(members.select("id", "preferred"), "id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
 
 
-def shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, scope: Column) -> DataFrame:
+def shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, scope: Column, *, hits: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Each query's best foods in scope: ``query_id, id, tier, place`` with place 1 to the query's ``limit``.
 
     ``queries``: ``query_id, q, tokens, languages, source, head, lead_source, limit`` and what ``scope`` reads (food
-    columns are prefixed ``f_``). The order has ten terms, and the id for what they leave equal.
+    columns are prefixed ``f_``). The order has ten terms, and the id for what they leave equal. ``hits`` are the queries'
+    matches where they have been found already, ``most`` the greatest limit. Tasks choose among what they hold before
+    rows move, so no task sorts all matches of a query.
     """
+    most = top_limit(queries) if most is None else most
     f = foods.select(*[F.col(c).alias(f"f_{c}") for c in FOOD])
-    found = prefix_matches(queries.select("query_id", "tokens"), postings).join(queries, "query_id").join(f, F.col("id") == F.col("f_id")).filter(scope)
+    hits = prefix_matches(queries.select("query_id", "tokens"), postings) if hits is None else hits.select("query_id", "id", "bm25")
+    found = hits.join(queries, "query_id").join(f, F.col("id") == F.col("f_id")).filter(scope)
     c = {n: F.col(f"f_{n}") for n in FOOD}
     q, langs, lead = F.col("q"), F.col("languages"), F.col("lead_source")
     is_lead = lead_word(q, c["name_folded"], c["source"], lead)
@@ -150,16 +187,18 @@ def shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, scope: Colu
         F.coalesce(1 - c["preferred"].cast("int"), F.lit(0)).alias("o4"), head.alias("o5"), c["basic_rank"].alias("o6"), (F.length(c["name"]) - F.length(F.replace(c["name"], F.lit(" "), F.lit("")))).alias("o7"),
         F.length(c["name"]).alias("o8"), F.round("bm25", 9).alias("o9"), c["quality"].alias("o10"),
     )
-    w = Window.partitionBy("query_id").orderBy("o1", "tier", "o3", "o4", "o5", "o6", "o7", "o8", F.desc("o9"), F.desc("o10"), "id")
-    return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("limit")).select("query_id", "id", "tier", "place")
+    order = ["o1", "tier", "o3", "o4", "o5", "o6", "o7", "o8", F.desc("o9"), F.desc("o10"), "id"]
+    return top_rows(ranked, ["query_id"], order, F.col("limit"), most).select("query_id", "id", "tier", "place")
 
 
-def branded_shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame) -> DataFrame:
-    """Branded foods for each query: exact names, then begun ones, then others; by bm25 and quality."""
-    found = prefix_matches(queries.select("query_id", "tokens"), postings).join(queries.select("query_id", "q", "limit"), "query_id").join(foods.filter("source = 'off'").select("id", "name_folded", "quality"), "id")
+def branded_shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, *, hits: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Branded foods for each query: exact names, then begun ones, then others; by bm25 and quality. ``hits``, ``most``: as for :func:`shelf`."""
+    most = top_limit(queries) if most is None else most
+    hits = prefix_matches(queries.select("query_id", "tokens"), postings) if hits is None else hits.select("query_id", "id", "bm25")
+    found = hits.join(queries.select("query_id", "q", "limit"), "query_id").join(foods.filter("source = 'off'").select("id", "name_folded", "quality"), "id")
     tier = F.when(F.col("name_folded") == F.col("q"), 0).when(F.startswith("name_folded", F.col("q")), 1).otherwise(2)
-    w = Window.partitionBy("query_id").orderBy("tier", F.desc("b"), F.desc("quality"), "id")
-    return found.withColumn("tier", tier).withColumn("b", F.round("bm25", 9)).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.col("limit")).select("query_id", "id", "tier", "place")
+    ranked = found.select("query_id", "id", "limit", tier.alias("tier"), F.round("bm25", 9).alias("b"), "quality")
+    return top_rows(ranked, ["query_id"], ["tier", F.desc("b"), F.desc("quality"), "id"], F.col("limit"), most).select("query_id", "id", "tier", "place")
 
 
 def rescue(queries: DataFrame, answered: DataFrame, words: DataFrame) -> DataFrame:
@@ -185,9 +224,11 @@ def lenders(served: DataFrame) -> DataFrame:
 def search(queries: DataFrame, foods: DataFrame, served: DataFrame, custom: DataFrame | None = None) -> DataFrame:
     """``query_id, place, id, shelf, tier`` for a batch of queries, a staged table: own foods, own table, rescue, borrowed tables, branded filler.
 
-    Passes over all queries at once, each staged: rescue and borrowing only run for the queries that need them. ``served``
-    lists each source's languages in order. ``custom`` (``query_id, id, place``) are the asker's own foods: they come first
-    (shelf -1, no tier), outside the ranking, and the tables fill what they leave of the limit. The merge puts names that begin with
+    Passes over all queries at once, each staged. Foods are matched once for the wordings as typed and once for those that
+    rescue has found; every shelf reads these matches by its scope. Rescue and borrowing only run for the queries that need
+    them, and branded foods are ranked only for queries that the other shelves leave room. ``served`` lists each source's
+    languages in order. ``custom`` (``query_id, id, place``) are the asker's own foods: they come first (shelf -1, no
+    tier), outside the ranking, and the tables fill what they leave of the limit. The merge puts names that begin with
     the query (tier 2 or less) first, then the shelves, the better tiers, and each shelf's order; branded filler comes last.
     """
     with Scratch(foods.sparkSession, "search") as work:
@@ -200,27 +241,42 @@ def search(queries: DataFrame, foods: DataFrame, served: DataFrame, custom: Data
             used = mine_first.groupBy("query_id").agg(F.count("*").cast("int").alias("used"))
             queries = queries.join(used, "query_id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("limit", F.col("limit") - F.col("used")).filter(F.col("limit") > 0)
             queries = work.table(queries, "queries")
+        most = top_limit(queries)
         postings = work.table(build_postings(foods), "postings")
+
+        def matched(asked: DataFrame) -> DataFrame:
+            return work.table(prefix_matches(asked.select("query_id", "tokens"), postings, work).join(foods.select("id", "source"), "id"), "hits")
+
         mine = one_source(F.col("source"))
         base = queries.withColumn("head", F.lit("")).withColumn("lead_source", F.when(F.col("source").isin(*HEAD_FIRST), F.col("source")).otherwise(""))
-        first = work.table(shelf(base, postings, foods, mine), "first")
+        hits = matched(base)
+        national_hits = F.col("source") != "off"
+        first = work.table(shelf(base, postings, foods, mine, hits=hits.filter(national_hits), most=most), "first")
         words = lexicon(foods.filter("source <> 'off'").select("source", "lang", F.col("name_folded").alias("folded")), ["source", "lang"])
         other = work.table(rescue(base, first, words), "rescue")
-        again = base.drop("q", "head", "tokens").join(other, "query_id").withColumn("tokens", F.array("q"))
-        second = shelf(again, postings, foods, mine)
-        now = base.join(other.select("query_id"), "query_id", "left_anti").unionByName(again)
-        primary = work.table(first.join(other.select("query_id"), "query_id", "left_anti").unionByName(second), "primary")
+        again = work.table(base.drop("q", "head", "tokens").join(other, "query_id").withColumn("tokens", F.array("q")), "again")
+        hits_again = matched(again)
+        second = shelf(again, postings, foods, mine, hits=hits_again.filter(national_hits), most=most)
+        changed = other.select("query_id")
+        now = base.join(changed, "query_id", "left_anti").unionByName(again)
+        hits = hits.join(changed, "query_id", "left_anti").unionByName(hits_again)
+        primary = work.table(first.join(changed, "query_id", "left_anti").unionByName(second), "primary")
         empty = now.filter("source <> ''").join(primary.select("query_id").distinct(), "query_id", "left_anti")
         lent = lenders(served).groupBy("source").agg(F.collect_set("lender").alias("from"))
-        borrowed = shelf(empty.join(lent, "source").withColumn("lead_source", F.lit("")), postings, foods, listed(F.col("from")))
+        asking = work.table(empty.join(lent, "source").withColumn("lead_source", F.lit("")), "asking")
+        borrowed = shelf(asking, postings, foods, listed(F.col("from")), hits=hits.filter(national_hits), most=most)
         generic = primary.withColumn("shelf", F.lit(0)).unionByName(borrowed.withColumn("shelf", F.lit(1)))
         generic = generic.withColumn("order", F.struct(F.when(F.col("tier") <= 2, 0).otherwise(1).alias("a"), F.col("shelf").alias("b"), F.col("tier").alias("c"), "place"))
-        filler = branded_shelf(now, postings, foods).withColumn("shelf", F.lit(2))
-        filler = filler.withColumn("order", F.struct(F.lit(2).alias("a"), F.col("shelf").alias("b"), F.lit(0).alias("c"), "place"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("order"))
-        ranked = generic.unionByName(filler).withColumn("rank", rank).join(queries.select("query_id", "limit", *(["used"] if custom is not None else [])), "query_id").filter(F.col("rank") <= F.col("limit"))
-        place = F.col("rank") + F.col("used") if custom is not None else F.col("rank")
-        out = ranked.select("query_id", place.alias("place"), "id", "shelf", "tier")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("order"))  # of at most a limit's rows
+        generic = work.table(generic.select("query_id", rank.alias("rank"), "id", "shelf", "tier"), "generic")
+        taken = generic.groupBy("query_id").agg(F.count("*").cast("int").alias("taken"))
+        room = now.join(taken, "query_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).filter(F.col("taken") < F.col("limit"))
+        room = work.table(room.withColumn("limit", F.col("limit") - F.col("taken")), "room")
+        filler = branded_shelf(room, postings, foods, hits=hits.filter("source = 'off'"), most=most).join(room.select("query_id", "taken"), "query_id")
+        ranked = generic.unionByName(filler.select("query_id", (F.col("place") + F.col("taken")).alias("rank"), "id", F.lit(2).alias("shelf"), "tier"))
+        if custom is not None:
+            ranked = ranked.join(queries.select("query_id", "used"), "query_id").withColumn("rank", F.col("rank") + F.col("used"))
+        out = ranked.select("query_id", F.col("rank").alias("place"), "id", "shelf", "tier")
         return staged(out if mine_first is None else mine_first.unionByName(out), "search")
 
 
