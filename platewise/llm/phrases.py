@@ -149,9 +149,11 @@ def count_phrases(sequences: DataFrame, n: int, shares: int) -> DataFrame:
         keys, ends, held = [], [], 0
 
         def send():
-            found = np.concatenate(keys)
-            key, end, c = summed_run(found, np.concatenate(ends), np.ones(len(found), np.int64))
-            share = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shares)
+            found, last = np.concatenate(keys), np.concatenate(ends)
+            keys.clear()
+            ends.clear()
+            key, end, c = summed_run(found, last, np.ones(len(found), np.int32))
+            share = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shares)).astype(np.int32)
             order = np.argsort(share, kind="stable")  # keys still ascend within a share
             cuts = np.searchsorted(share[order], np.arange(shares + 1))
             rows = []
@@ -168,9 +170,9 @@ def count_phrases(sequences: DataFrame, n: int, shares: int) -> DataFrame:
                 keys.append(key)
                 ends.append(g[at + 1])
                 held += len(at)
-                if held > 4 * HELD:
+                if held > 3 * HELD // 2:
                     yield send()
-                    keys, ends, held = [], [], 0
+                    held = 0
         if held:
             yield send()
 
