@@ -13,7 +13,7 @@ from ..operators import catalogue as cat
 from ..operators.staging import work_dir
 from ..sources import national, strict
 from ..sources.common import driver_table
-from ..streaming import live
+from ..streaming import live, stateful
 from . import views as v
 from .queries import HISTORY_SQL
 from .registry import register, with_views
@@ -329,3 +329,51 @@ def audit_report(spark, d):
     part = driver_table(spark, d, "part")
     f, a, b, s = (spark.sql(q.replace("from part", "from {t}"), t=part) for q in (_F, _A, _B, _S))
     return audit.audit(f, a, b, s)
+
+
+_DIGITS = {k: f"floor((1000000 + l_suppkey) / {10**k}) % 10" for k in range(7)}
+_CODE = f"(10 - cast(3 * ({_DIGITS[0]} + {_DIGITS[2]} + {_DIGITS[4]} + {_DIGITS[6]}) + {_DIGITS[1]} + {_DIGITS[3]} + {_DIGITS[5]} as int) % 10) % 10"
+PRODUCTS_SQL = (
+    f"select concat(cast(1000000 + l_suppkey as varchar(20)), cast(case when l_orderkey % 11 = 0 then ({_CODE} + 1) % 10 else {_CODE} end as varchar(20))) as barcode, concat('item ', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) as name, "
+    "case when l_linenumber = 5 then null else cast(8 * l_quantity + 9 * l_linenumber as double) end as kcal, cast(l_quantity as double) as protein, cast(l_linenumber as double) as fat, cast(l_quantity as double) as carbs, "
+    "case when l_returnflag = 'R' then 'en:value-over-105' else null end as errors, cast(round(l_discount * 100) as int) as quality, cast(round(l_tax * 100) as int) as popularity, l_orderkey * 8 + l_linenumber as ord from lineitem"
+)
+
+
+def _in_batches(rows: DataFrame, batches: int, *spread: str) -> DataFrame:
+    """A table as a stream of so many micro-batches, each a mix of all of it, in no order."""
+    spark = rows.sparkSession
+    path = f"{work_dir(spark)}/batches-{uuid.uuid4().hex}"
+    rows.withColumn("__batch", F.pmod(F.xxhash64(*spread), F.lit(batches))).repartition(batches, "__batch").drop("__batch").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register(
+    f"with products as ({PRODUCTS_SQL}), good as (select * from products where kcal is not null and protein + fat + carbs <= 105 and errors is null and cast(substr(barcode, 8) as bigint) = (10 - (select sum(cast(substr(barcode, i, 1) as bigint) * case when i % 2 = 1 then 3 else 1 end) from range(1, 8) r(i)) % 10) % 10) "
+    "select barcode, name, kcal, quality, popularity, ord, seen from (select *, count(*) over (partition by barcode) as seen, row_number() over (partition by barcode order by quality desc, popularity desc, ord) as n from good) where n = 1"
+)
+def ingested_products(spark, d):
+    """The best record of each barcode from a stream of products in four micro-batches, and how many were accepted."""
+    out = f"{work_dir(spark)}/products-{uuid.uuid4().hex}"
+    products = spark.sql(PRODUCTS_SQL.replace("from lineitem", "from {t}"), t=driver_table(spark, d, "lineitem"))
+    stateful.keep_best_products(_in_batches(products, 4, "ord"), out, f"{out}/checkpoint").awaitTermination()
+    return live.read_current(spark, out).select("barcode", "name", "kcal", "quality", "popularity", "ord", "seen")
+
+
+@register(
+    "select user_id, strftime(log_date, '%Y-%m-%d') as log_date, count(*) as entries, round(sum(round(value, 3)), 2) as kcal from (select user_id, value, cast(ts as date) + case when event_id % 7 = 0 then 1 else 0 end as log_date from events where event_id % 5 <> 0) group by user_id, log_date"
+)
+def late_day_totals(spark, d):
+    """Totals of users' days from changes in no order: every fifth entry is deleted later, every seventh moved to the next day."""
+    out = f"{work_dir(spark)}/totals-{uuid.uuid4().hex}"
+    e = driver_table(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.to_date("ts").alias("day"), F.round("value", 3).alias("value"))
+
+    def change(rows: DataFrame, later: int, new) -> DataFrame:
+        return rows.select("user_id", "id", (F.col("at") + later).alias("at"), new.cast("struct<log_date:date,kcal:double>").alias("new"))
+
+    first = change(e, 0, F.struct(F.col("day"), F.col("value")))
+    moved = change(e.filter("id % 7 = 0"), 1, F.struct(F.date_add("day", 1), F.col("value")))
+    gone = change(e.filter("id % 5 = 0"), 2, F.lit(None))
+    stream = _in_batches(first.unionByName(moved).unionByName(gone), 3, "id", "at")
+    stateful.keep_day_totals(stream, out, f"{out}/checkpoint", ["kcal"]).awaitTermination()
+    return live.read_current(spark, out).select("user_id", F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "entries", F.round("kcal", 2).alias("kcal"))
