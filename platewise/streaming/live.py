@@ -31,7 +31,7 @@ def live_day_totals(changes: DataFrame, sums: list[str], by: list[str]) -> DataF
 
 
 def recompute_touched(batch: DataFrame, by: str, read: Callable[[], DataFrame], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """For ``foreachBatch``: what is derived anew for the users that a batch touches, from the tables as they are now."""
+    """For ``foreachBatch``: what is derived anew for the users that a batch touches, from the tables as they are now (or those parts that hold these users)."""
     touched = batch.select(by).distinct()
     return derive(read().join(touched, by, "left_semi"))
 
@@ -50,12 +50,14 @@ def _read_buckets(spark: SparkSession, path: str, versions: dict[int, int]) -> D
     return spark.read.parquet(*found) if found else None
 
 
-def keep_current(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: list[str], *, buckets: int = 64, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def keep_current(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: list[str], *, buckets: int = 64, then: Callable[[DataFrame, int, DataFrame], None] | None = None) -> StreamingQuery:
     """A table kept current batch by batch: rows are dealt over buckets by key, and only buckets that a batch touches are written anew.
 
     Each batch merges its rows into theirs and then says, in a small table of its own, which batch wrote each bucket last (bucket -1: its own number);
     :func:`read_current` reads by the newest of these. A batch that runs again starts from the one before, so it has the
-    same result. Versions that only older batches need are removed. ``then`` gets each batch when the table has it.
+    same result. Versions that only older batches need are removed, and so are their small tables, but for the last three:
+    what a batch reads and lists follows the buckets that it touches, not how many batches there have been. ``then`` gets
+    each batch when the table has it, with the rows of the touched buckets as they are now.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -71,8 +73,10 @@ def keep_current(stream: DataFrame, path: str, checkpoint: str, merge: Callable[
         spark.createDataFrame([(-1, number), *sorted(now.items())], "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/pointers/{number}")
         for gone in set(_versions(spark, path, number - 2).values()) - set(before.values()) - set(now.values()) if number > 1 else ():
             remove(spark, f"{path}/data/{gone}")
+        if number > 2:
+            remove(spark, f"{path}/pointers/{number - 3}")
         if then is not None:
-            then(batch.drop("__bucket"), number)
+            then(batch.drop("__bucket"), number, _read_buckets(spark, path, {b: number for b in there}))
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -116,14 +120,11 @@ def live_screens(changes: DataFrame, path: str, checkpoint: str, goals: Callable
     ``goals`` gives the goals as they are now, ``shown`` the days to show of some users' entries.
     """
 
-    def then(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-
+    def then(batch: DataFrame, number: int, entries: DataFrame | None) -> None:
         def screens(entries: DataFrame) -> DataFrame:
             users = entries.select("user_id").distinct()
             return diary_screen(entries, goals().join(users, "user_id", "left_semi"), shown(entries), sums)
 
-        entries = read_current(spark, f"{path}/entries")
         if entries is not None:
             recompute_touched(batch, "user_id", lambda: entries, screens).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/screens/{number}")
 
@@ -134,10 +135,7 @@ def live_windows(changes: DataFrame, path: str, checkpoint: str, goals: Callable
     """Histories kept current: like :func:`live_screens`, with means over the last so many days and the goal in force of each day,
     for the users that a batch touches, as ``path/windows/<batch>``."""
 
-    def then(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        entries = read_current(spark, f"{path}/entries")
-
+    def then(batch: DataFrame, number: int, entries: DataFrame | None) -> None:
         def windows(some: DataFrame) -> DataFrame:
             return trailing(history(some, goals().join(some.select("user_id").distinct(), "user_id", "left_semi"), sums), sums, days)
 

@@ -49,3 +49,23 @@ def test_windows(spark, tmp_path):
     want = diary.trailing(diary.history(live.read_current(spark, f"{out}/entries").filter("user_id = 2"), goals, ["calories"]), ["calories"], 7)
     assert sorted(map(str, want.collect())) == sorted(map(str, spark.read.parquet(f"{out}/windows/1").filter("user_id = 2").drop("batch").collect()))
     assert live.goal_history(spark.createDataFrame([(1,), (9,)], "user_id long"), lambda: goals).count() == 1
+
+
+def test_what_a_batch_reads_follows_the_buckets_it_touches(spark, tmp_path):
+    schema = "user_id long, at long, v long"
+    for k in range(9):  # a large batch, then single users
+        users = range(200) if k == 0 else [k]
+        spark.createDataFrame([(u, 10 * k, k) for u in users], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+    read = {}
+
+    def then(batch, number, rows):
+        read[number] = {f.split("bucket=")[1].split("/")[0] for f in rows.inputFiles()}, rows.filter(rows.user_id == number).count() if number else None
+
+    out = f"file://{tmp_path}/out"
+    live.keep_current(stream, out, f"file://{tmp_path}/check", live.live_upsert(["user_id"], "at"), ["user_id"], buckets=16, then=then).awaitTermination()
+    assert len(read[0][0]) == 16 and all(len(b) == 1 and n == 1 for k, (b, n) in read.items() if k)
+    assert sorted(p.name for p in (tmp_path / "out" / "pointers").iterdir()) == ["6", "7", "8"]
+    kept = {int(p.name) for p in (tmp_path / "out" / "data").iterdir()}
+    table = live.read_current(spark, out)
+    assert {(r.user_id, r.v) for r in table.collect()} == {(u, u if 1 <= u <= 8 else 0) for u in range(200)} and len(kept) <= 10
