@@ -187,11 +187,11 @@ def pair_by_occurrence(spark, d):
     return both.select("l_orderkey", "n", F.col("l.l_partkey").alias("left_part"), F.col("r.l_partkey").alias("right_part"))
 
 
-@register("select k, side from (select distinct c_custkey as k, 'left' as side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'right' from orders where o_custkey not in (select c_custkey from customer))")
+@register("with a as (select distinct c_custkey as k from customer where c_acctbal > 0), b as (select distinct o_custkey as k from orders where o_orderstatus = 'P') select k, 'left' as side from a where k not in (select k from b) union all select k, 'right' from b where k not in (select k from a)")
 def key_sets_differ(spark, d):
-    """Keys of only one of two tables."""
-    a = driver_table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return tables.set_difference(a, driver_table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    """Keys of only one of two sets: customers in credit, and customers with an order in progress."""
+    a = driver_table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return tables.set_difference(a, driver_table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k")
 
 
 QUALITY_SQL = "least(100, 40 + case when length(brand) > 0 then 10 else 0 end + case when length(barcode) > 0 then 5 else 0 end + case when source <> 'off' then 20 else 0 end + 5 + case when length(name) >= 8 then 5 else 0 end)"

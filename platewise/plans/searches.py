@@ -5,11 +5,11 @@ The SQL says the whole search again: postings, BM25, the ladder of ten terms, re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import audit, search
 from ..operators import catalogue as cat
-from ..operators import search
 from ..sources.common import driver_table
 from . import views as v
 from .registry import register
@@ -32,7 +32,10 @@ LIMIT = 12
 
 def search_foods(spark: SparkSession, d: str) -> DataFrame:
     """``part`` as foods that a search reads."""
-    f = spark.sql(FOODS_SQL.replace("from part", "from {t}"), t=driver_table(spark, d, "part"))
+    return _as_foods(spark.sql(FOODS_SQL.replace("from part", "from {t}"), t=driver_table(spark, d, "part")))
+
+
+def _as_foods(f: DataFrame) -> DataFrame:
     alias = [F.when(F.col(f"a_{x}").isNotNull(), F.struct(F.lit(x).alias("lang"), F.col(f"a_{x}").alias("name"))) for x in ("de", "fr")]
     bag = F.nullif(F.concat_ws("\n", "a_de", "a_fr"), F.lit(""))
     return f.withColumn("name_folded", F.lower("name")).withColumn("aliases", F.array_compact(F.array(*alias))).withColumn("alias_names", F.lower(bag)).select(*search.FOOD)
@@ -194,11 +197,18 @@ def rescued_queries(spark, d):
     return search.rescue(search_queries(spark, d), _first(spark, d), words)
 
 
-@register(f"with s(source, lang, place) as (values {', '.join(map(str, SERVED))}) select distinct a.source, b.source as lender from s a join s b on a.lang = b.lang and a.place = 1 and a.source <> b.source where exists (from part)")
+@register(
+    f"with foods as ({FOODS_SQL}), alias as (select id, source, unnest([case when a_de is not null then 'de' end, case when a_fr is not null then 'fr' end]) as lang from foods where source <> 'off'), total as (select source, count(*) as total from foods group by source), "
+    "covered as (select source, lang, 2 as own, count(*) as covered from foods where source <> 'off' and lang is not null group by source, lang union all select source, lang, 1, count(distinct id) from alias where lang is not null group by source, lang), "
+    "fits as (select c.source, c.lang, max(c.own) as own, max(c.covered) as covered from covered c join total t using (source) where c.covered * 100 >= 5 * t.total group by c.source, c.lang), "
+    "s as (select source, lang, row_number() over (partition by source order by own desc, covered desc, lang) as place from fits) select distinct a.source, b.source as lender from s a join s b on a.lang = b.lang and a.place = 1 and a.source <> b.source"
+)
 def table_lenders(spark, d):
-    """Tables that lend to each other: those that serve the first language of a table's readers."""
-    some = driver_table(spark, d, "part").limit(1).select(F.lit(1).alias("one"))
-    return search.lenders(served(spark)).crossJoin(F.broadcast(some)).drop("one")
+    """Tables that lend to each other: those that serve the first language of a table's readers, as the foods and their aliases say."""
+    foods = search_foods(spark, d)
+    aliases = foods.select(F.col("id").alias("food_id"), F.explode("aliases").alias("a")).select("food_id", "a.lang")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("own"), F.desc("covered"), "lang"))
+    return search.lenders(cat.languages_by_source(foods, aliases, 5).withColumn("place", place))
 
 
 @register(BASE + FIRST + RESCUE + MERGE + f" select query_id, rank as place, id, shelf, tier from ranked where rank <= {LIMIT}")
@@ -257,11 +267,28 @@ def known_foods_first(spark, d):
 )
 def rank_probes(spark, d):
     """Whether the first result of each wording bears its first word, and is no derivative."""
-    from ..operators import audit
-
     f = search_foods(spark, d)
     q = search_queries(spark, d).filter("source = ''").withColumn("head", F.lit("")).withColumn("lead_source", F.lit(""))
     top = search.shelf(q, search.build_postings(f), f, search.national()).filter("place = 1")
     best = top.select("query_id", "id").join(f, "id").join(q.select("query_id", "q"), "query_id")
     head = F.get(F.split("q", " "), F.lit(0))
     return best.select("query_id", audit.bears_word(F.col("name_folded"), F.col("alias_names"), head).alias("named"), (F.col("basic_rank") < 2).alias("plain"))
+
+
+PINNED = (*audit.WHOLE_FOODS, *audit.MADE_FOODS)
+_WORD = "case p_partkey % 17 " + " ".join(f"when {i} then '{w}'" for i, w in enumerate(PINNED)) + " end"
+PINNED_FOODS_SQL = (
+    f"select p_partkey as id, case when p_partkey % 2 = 0 then concat({_WORD}, ', ', lower(p_type)) when p_partkey % 3 = 0 then concat({_WORD}, ' ', lower(p_type)) else concat(lower(p_type), ' ', {_WORD}) end as name, cast(null as varchar(20)) as a_de, "
+    f"case when p_partkey % 4 = 0 then concat({_WORD}, ' fr') else null end as a_fr, cast(null as varchar(20)) as search_extra, p_brand as brand, case when p_partkey % 5 = 2 then 'off' else 'usda' end as source, 'en' as lang, cast(p_size % 3 as int) as basic_rank, p_size as quality, p_partkey % 2 = 0 as preferred from part"
+)
+
+
+@register(
+    BASE.replace(FOODS_SQL, PINNED_FOODS_SQL).replace(WORDS_SQL, "select unnest([" + ", ".join(f"'{w}'" for w in PINNED) + "]) as q").replace(_READERS, "('', [])").replace("as langs", "::varchar[] as langs") + _match("bm", "base") + _shelf("top", "base", "f.source <> 'off'", "bm")
+    + " select b.q as query_id, t.id, coalesce((contains(f.n, str_split(b.q, ' ')[1]) or coalesce(contains(f.al, str_split(b.q, ' ')[1]), false)) and (f.basic_rank < 2 or b.q in (" + ", ".join(f"'{w}'" for w in audit.MADE_FOODS) + ")), false) as passed from base b left join (select * from top where place = 1) t using (query_id) left join food f using (id)"
+)
+def pinned_probes(spark, d):
+    """The seventeen pinned words over foods of these names: whether the first result is the food that is asked for."""
+    f = spark.sql(PINNED_FOODS_SQL.replace("from part", "from {t}"), t=driver_table(spark, d, "part"))
+    foods = _as_foods(f)
+    return audit.rank_probes(foods, search.build_postings(foods))
