@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import COMPOUND_LANGS, depluralize, lexicon, split_compounds
+from .hot import exact_quantiles
 from .staging import Scratch, staged
 from .topk import greatest, top_rows
 
@@ -298,6 +299,5 @@ def evaluate(results: DataFrame, judged: DataFrame, k: int) -> DataFrame:
 
 
 def latency_summary(timings: DataFrame, by: list[str]) -> DataFrame:
-    """Median and 95th percentile of ``ms`` by key."""
-    return timings.groupBy(*by).agg(F.percentile("ms", 0.5).alias("median"), F.percentile("ms", 0.95).alias("p95"))
-
+    """Median and 95th percentile of ``ms`` by key, exact however many timings a key has."""
+    return exact_quantiles(timings, by, "ms", {"median": 0.5, "p95": 0.95})

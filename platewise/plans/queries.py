@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import foods as food
 from ..functions import numbers, nutrition, text
-from ..operators import audit, diary, maintain, search, tables
+from ..operators import audit, diary, hot, maintain, search, tables
 from ..operators import catalogue as cat
 from ..operators.staging import work_dir
 from ..sources.common import driver_table
@@ -309,6 +309,21 @@ def clean_names(spark, d):
     return driver_table(spark, d, "pages").select("page_id", text.clean_name(title).alias("name"))
 
 
+@register("select quantile_cont(l_extendedprice, 0.25) as lower, quantile_cont(l_extendedprice, 0.5) as median, quantile_cont(l_extendedprice, 0.999) as most from lineitem")
+def price_quantiles(spark, d):
+    """Exact quantiles of one group that holds every row, by refinement."""
+    return hot.exact_quantiles(driver_table(spark, d, "lineitem"), [], "l_extendedprice", {"lower": 0.25, "median": 0.5, "most": 0.999}, few=64)
+
+
+@register("select e.event_id, g.kcal from events e asof left join (select cast(ts as timestamp) as at, max(value) as kcal from events where event_type = 'signup' group by 1) g on cast(e.ts as timestamp) >= g.at where e.event_type <> 'signup'")
+def asof_of_one_key(spark, d):
+    """The last value set before each event, all events being one key's."""
+    e = driver_table(spark, d, "events").withColumn("one", F.lit(1)).withColumn("at", F.col("ts").cast("timestamp"))
+    sets = e.filter("event_type = 'signup'").select("one", F.col("at").alias("start"), F.col("value").alias("kcal"))
+    rows = e.filter("event_type <> 'signup'").select("one", "at", "event_id")
+    return hot.asof_over_ranges(rows, sets, by="one", on="at", start="start", value="kcal").select("event_id", "kcal")
+
+
 @register("select event_type, hour(ts) as h, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.95) as p95 from events group by all")
 def latency_summary(spark, d):
     """Median and 95th percentile of timings by batch: values of events stand for milliseconds."""
