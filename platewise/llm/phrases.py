@@ -25,10 +25,10 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 TO_STOP = bytes.maketrans(ENDS, b"." * len(ENDS))
 #: Words, and phrases, that are looked up in one pass over the sequences; with more there are more passes.
 WORDS_AT_ONCE, PHRASES_AT_ONCE = 1 << 18, 1 << 22
-#: Different words, or places of phrases, that a task counts before it sends what it has.
-HELD = 1 << 20
-#: Words of one row of sequences, about.
-ROW_WORDS = 1 << 18
+#: Different words, and places of phrases, that a task counts before it sends what it has.
+HELD_WORDS, HELD = 1 << 18, 1 << 20
+#: Words of one row of sequences, about: a Python worker gets a thousand rows at once.
+ROW_WORDS = 1 << 14
 #: Phrase numbers must fit 31 bits, to be halves of a 64-bit number.
 MOST_PHRASES = 1 << 31
 
@@ -55,7 +55,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, TEXT_ROWS)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     held[lang].update(tokens(text))
-                if sum(map(len, held.values())) > HELD // 2:
+                if sum(map(len, held.values())) > HELD_WORDS:
                     yield from send()
         yield from send()
 
@@ -170,7 +170,7 @@ def count_phrases(sequences: DataFrame, n: int, shares: int) -> DataFrame:
                 keys.append(key)
                 ends.append(g[at + 1])
                 held += len(at)
-                if held > 3 * HELD // 2:
+                if held > HELD:
                     yield send()
                     held = 0
         if held:
