@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nutrition
-from ..operators import audit, diary, maintain, tables
+from ..operators import audit, diary, maintain, stored, tables
 from ..operators import catalogue as cat
 from ..operators.staging import work_dir
 from ..sources import national, strict
@@ -377,3 +378,28 @@ def late_day_totals(spark, d):
     stream = _in_batches(first.unionByName(moved).unionByName(gone), 3, "id", "at")
     stateful.keep_day_totals(stream, out, f"{out}/checkpoint", ["kcal"]).awaitTermination()
     return live.read_current(spark, out).select("user_id", F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "entries", F.round("kcal", 2).alias("kcal"))
+
+
+@register(f"with foods as ({v.CATALOGUE_SQL}), asked as (select event_id, lpad(cast(cast(regexp_extract(props, '([0-9]+)', 1) as bigint) * 5 + event_id % 3 as varchar(20)), 8, '0') as barcode from events) select a.event_id, a.barcode, f.name, f.kcal from asked a left join foods f using (barcode)")
+def stored_lookups(spark, d):
+    """Foods of scanned barcodes, from tables stored by barcode and by id."""
+    mark = uuid.uuid4().hex
+    foods = v.catalogue(spark, d)
+    path = f"{work_dir(spark)}/stored-{mark}"
+    codes = stored.store_by_key(foods.filter("barcode is not null").select("barcode", F.col("id").alias("food_id")), f"codes_{mark}", f"{path}/codes", ["barcode"], buckets=8)
+    kept = stored.store_by_key(foods.select("id", "name", "kcal"), f"foods_{mark}", f"{path}/foods", ["id"], buckets=8)
+    e = driver_table(spark, d, "events")
+    code = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint") * 5 + F.col("event_id") % 3
+    asked = e.select("event_id", F.lpad(code.cast("string"), 8, "0").alias("barcode"))
+    return stored.resolve_codes(asked, codes, kept).select("event_id", "barcode", "name", "kcal")
+
+
+@register(f"with diary as ({v.DIARY_SQL}) select user_id, count(*) as entries, round(sum(calories), 2) as calories from diary where log_date between (select min(log_date) + 5 from diary) and (select min(log_date) + 20 from diary) group by user_id")
+def stored_window(spark, d):
+    """Totals of a window of sixteen days, from entries stored by month and user."""
+    mark = uuid.uuid4().hex
+    e = v.diary(spark, d).select("user_id", "log_date", "id", "calories")
+    table = stored.store_diary(e, f"diary_{mark}", f"{work_dir(spark)}/diary-{mark}", buckets=8)
+    first = e.agg(F.min("log_date")).first()[0]
+    window = stored.days_between(table, first + datetime.timedelta(days=5), first + datetime.timedelta(days=20))
+    return window.groupBy("user_id").agg(F.count("*").alias("entries"), F.round(F.sum("calories"), 2).alias("calories"))
