@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platewise.operators import diary, hot
+from platewise.operators import diary, hot, tables
 
 D = datetime.date
 
@@ -58,3 +58,21 @@ def test_asof_of_nothing(spark):
     days = spark.createDataFrame([], "u long, d date")
     goals = spark.createDataFrame([], "u long, s date, v double")
     assert hot.asof_over_ranges(days, goals, by="u", on="d", start="s", value="v").count() == 0
+
+
+def test_tables_are_compared_by_digest(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, "a", "b"]), i // 2) for i in range(3000)]
+    a = spark.createDataFrame(rows, "x int, y string, n int").repartition(3)
+    changed = rows[5:] + [rows[10], (1, None, -1), (None, "1", -1)] + [(rows[7][0], "changed", rows[7][2])]
+    b = spark.createDataFrame(changed, "u int, v string, w int").repartition(2)
+    plain = a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
+    for buckets in (1, 16, 4096):
+        got = tables.table_diff(a, b, buckets=buckets)
+        assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() >= 8
+    assert tables.differing_buckets(a, a.orderBy("n")).count() == 0 and 1 <= tables.differing_buckets(a, b).count() <= 9
+    one, two = (spark.createDataFrame([r], "x int, y int") for r in ((None, 1), (1, None)))
+    assert tables.differing_buckets(one, two, 1).count() == 1 and tables.table_diff(one, two).count() == 2
+    assert tables.table_diff(a, a).count() == 0 and tables.table_diff(a.limit(0), a.limit(0)).count() == 0
+    maps = spark.sql("select 1 as k, array(map('a', 1)) as m")
+    assert tables.differing_buckets(a.limit(0), a).count() > 100 and "map<" in dict(maps.dtypes)["m"]
