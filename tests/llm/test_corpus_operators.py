@@ -254,9 +254,13 @@ def test_a_language_whose_rows_share_an_id_is_learned(spark, monkeypatch):
         if zlib.crc32(str(shared).encode()) % 4 != 2:
             break
     same = one.withColumn("text", F.when(F.col("lang") == "de", F.lit("der Hund und die Katze und das Haus in der Straße")).otherwise(F.col("text")))
-    for rows in (one, same):
-        got = language.identify(docs.filter("lang = 'de'"), language.fit_languages(rows, learn=~language.held_out(F.col("doc_id")), order=F.xxhash64("doc_id", "text"), sample=20)).collect()
-        assert sum(r.lang_pred == "de" for r in got) > 0.9 * len(got)
+    def fit(rows):
+        return language.fit_languages(rows, learn=~language.held_out(F.col("doc_id")), order=F.xxhash64("doc_id", "text"), sample=20)
+
+    got = language.identify(docs.filter("lang = 'de'"), fit(one)).collect()
+    assert sum(r.lang_pred == "de" for r in got) > 0.9 * len(got)
+    got = language.identify(same.filter("lang = 'de'"), fit(same)).collect()  # all rows of the language have one hash
+    assert {r.lang_pred for r in got} == {"de"}
     wordless = docs.select("doc_id", "lang", "text").unionByName(spark.createDataFrame([(7, "xx", "123")], "doc_id long, lang string, text string"))
     assert "xx" not in language.fit_languages(wordless, learn=F.lit(True), order=F.xxhash64("doc_id")).languages
 
