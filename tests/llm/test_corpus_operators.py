@@ -127,6 +127,26 @@ def test_url_rules(spark, most_bytes):
     assert Counter(map(tuple, got.collect())) == Counter((i, *brute_verdict(u, rules)) for i, u in pages)
 
 
+CONTRACT_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def odd_pages(spark, sf_dir):
+    """A table of pages with each id once: every rule, hosts that only look like one, and urls without parts."""
+    hosts = ["com", "a.com", "EXAMPLE.com", "example.com", "www.example.com", "a.www.example.com", "b.example.com", "net", "x.y.NET", "notexample.com", "examplecom", "com.org", "example.com:80", "u@example.com", "example.com.", ".com", "a..com", "É.com", "日本.net", ""]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/EN/", "//en/", "/es/", "/fr/a/b", "?/en/", "#/es/", "/en?/", "/es/ \n/x", "/fr/é🎉?q#f"]
+    urls_ = [f"{scheme}://{h}{p}" for h in hosts for p in paths for scheme in ("http", "")] + [None, "", "://", "example.com/en/", ":/com/", "a://b.net://c/es/", "x://net/es/://com/"]
+    rows = [(i if i % 3 else (1 << 53) + i + 1, u) for i, u in enumerate(urls_)]
+    spark.createDataFrame(rows, "page_id long, url string").repartition(3).write.parquet(f"{sf_dir}/pages.parquet")
+    return rows
+
+
+def test_url_query_on_odd_rows(spark, tmp_path):
+    rows = odd_pages(spark, str(tmp_path))
+    got = sorted(map(tuple, urls.op2_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule").collect()))
+    assert got == sorted((i, *brute_verdict(u, CONTRACT_RULES)[:3]) for i, u in rows)
+    assert {r[3] for r in got} == {None, *dict(CONTRACT_RULES)}
+
+
 def test_cascade_is_exact(spark):
     rnd = np.random.default_rng(1)
     h = rnd.integers(-(1 << 63), 1 << 63, (20_000, 2))
