@@ -147,6 +147,15 @@ def test_url_query_on_odd_rows(spark, tmp_path):
     assert {r[3] for r in got} == {None, *dict(CONTRACT_RULES)}
 
 
+def test_url_rules_say_what_the_contract_says(spark, tmp_path):
+    assert urls.RULES == CONTRACT_RULES
+    listed = re.search(r"rules\(.*?\) as \(values (.*?)\)\s*,\s*fit", urls.OP2_SQL, re.S).group(1)
+    assert re.findall(r"\('([^']*)', '(allow|block)'", listed) == CONTRACT_RULES
+    odd_pages(spark, str(tmp_path))
+    said = Counter((r.rule, r.verdict) for r in urls.op2_url_filter(spark, str(tmp_path)).collect())
+    assert set(said) == {*CONTRACT_RULES, (None, "allow")}
+
+
 def test_cascade_is_exact(spark):
     rnd = np.random.default_rng(1)
     h = rnd.integers(-(1 << 63), 1 << 63, (20_000, 2))
