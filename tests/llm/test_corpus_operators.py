@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,15 @@ def test_url_rules_say_what_the_contract_says(spark, tmp_path):
     assert set(said) == {*CONTRACT_RULES, (None, "allow")}
 
 
+def test_url_query_equals_its_sql(spark, tmp_path):
+    odd_pages(spark, str(tmp_path))
+    for sf_dir in ("/root/testdata/sf0.001", str(tmp_path)):
+        con = duckdb.connect()
+        con.execute(f"create view pages as select * from '{sf_dir}/pages.parquet{'/*.parquet' if sf_dir == str(tmp_path) else ''}'")
+        got = urls.op2_url_filter(spark, sf_dir)
+        assert Counter(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect())) == Counter(con.execute(urls.OP2_SQL).fetchall())
+
+
 def test_cascade_is_exact(spark):
     rnd = np.random.default_rng(1)
     h = rnd.integers(-(1 << 63), 1 << 63, (20_000, 2))
