@@ -21,14 +21,17 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import compress, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, Scratch, column, staged
+from .common import Scratch, column, staged
 
 #: The token at the end of a text: no word holds this byte.
 END = b"\n"
@@ -46,13 +49,9 @@ HASHED = 1 << 16  # slots for guessed words and words before
 REPEAT_GATES, REPEAT_INPUTS = 8, 5
 REPEAT_BLOCK = 1 << 14
 TOKENS = 1 << 16  # of texts that are worked on at once
+SPLIT_ROWS = 64  # texts that are split into words at once
 CHUNK = 1 << 15  # numbers in a row of a vector
-HELD = 1 << 17  # different words that a task counts before it sends them
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words and the end."""
-    return [*(text.encode().lower().split() if text else ()), END]
+HELD = 1 << 16  # different words that a task counts before it sends them
 
 
 # ---- vectors of numbers, summed over tasks
@@ -124,9 +123,27 @@ def coded(n: np.ndarray) -> np.ndarray:
 
 
 COUNT = np.where(np.arange(256) < 64, np.arange(256), 64 * 2.0 ** ((np.arange(256) - 64) / 8))
-LOG = [np.log(COUNT + (PRIOR if order else LONG_PRIOR)).astype(np.float32) for order, _ in ORDERS]
-LOG_LESS_ONE = [np.log(np.maximum(COUNT - 1, 0) + (PRIOR if order else LONG_PRIOR)).astype(np.float32) for order, _ in ORDERS]
 CLASS = np.minimum(np.log2(np.maximum(COUNT, 1)), FAMILIAR - 1).astype(np.int64)
+
+
+def spoken(prior: float, less: bool) -> np.ndarray:
+    """What a context says (logistic) by its coded counts of 0, of 1 in the next byte, and the outcome in the bit above; ``less``: without that outcome's own occurrence."""
+    log, log_less = (np.log(c + prior).astype(np.float32) for c in (COUNT, np.maximum(COUNT - 1, 0)))
+    if not less:
+        log_less = log
+    return np.concatenate([(log[:, None] - log_less).ravel(), (log_less[:, None] - log).ravel()])
+
+
+def last_gates(says: np.ndarray, less: bool) -> np.ndarray:
+    """The gate of a known whole beginning, by what ``spoken`` goes by; -1 where it isn't known."""
+    bit, n1, n0 = np.indices((2, 256, 256)).reshape(3, -1)
+    one_sided = np.where(says > 0, n0 - (less & (bit == 0)), n1 - (less & (bit == 1))) == 0
+    return np.where(n0 + n1 > less, 4 * (len(ORDERS) + CLASS[np.maximum(n0, n1)]) + 2 * one_sided, -1).astype(np.int16)
+
+
+#: By ``less``: what contexts say by their prior, and the last context's gates.
+SAYS = [{prior: spoken(prior, less) for prior in (PRIOR, LONG_PRIOR)} for less in (False, True)]
+LAST_GATES = [last_gates(SAYS[less][LONG_PRIOR], bool(less)) for less in (0, 1)]
 OFFSETS = np.cumsum([0, *(1 << b for _, b in ORDERS)])
 
 
@@ -189,20 +206,15 @@ def inputs_of(b: Bits, table: np.ndarray, less: bool) -> tuple[np.ndarray, np.nd
     """What each context says (logistic), with a constant; and the gate of the longest known context. ``less``: without the word's own occurrence."""
     s = np.ones((len(b.bit), INPUTS), np.float32)
     longest = np.zeros(len(b.bit), np.int64)
-    own0, own1 = b.bit == 0, b.bit == 1
-    for k, slot in enumerate(b.slots):
-        n0, n1 = table[2 * slot], table[2 * slot + 1]
-        if less:
-            s[:, k] = np.where(own1, LOG_LESS_ONE[k][n1], LOG[k][n1]) - np.where(own0, LOG_LESS_ONE[k][n0], LOG[k][n0])
-            known = n0.astype(np.int16) + n1 > 1
-        else:
-            s[:, k] = LOG[k][n1] - LOG[k][n0]
-            known = (n0 | n1) > 0
-        longest[known] = k + 1 if k + 1 < len(ORDERS) else len(ORDERS) + CLASS[np.maximum(n0, n1)[known]]
-    one_sided = s[:, len(ORDERS) - 1] > 0
-    one_sided = np.where(one_sided, n0 - (less & own0), n1 - (less & own1)) <= 0  # of the last context, the whole beginning
-    third = np.where(known, 2 * one_sided + (b.place > 2), b.place)
-    return s, 4 * longest + third
+    pairs, outcome = table.view("<u2"), b.bit << 16
+    for k, (slot, (order, _)) in enumerate(zip(b.slots, ORDERS, strict=True)):
+        pair = pairs.take(slot)
+        at = pair | outcome
+        s[:, k] = SAYS[less][PRIOR if order else LONG_PRIOR].take(at)
+        if order:
+            np.copyto(longest, k + 1, where=(pair > 1) & (pair != 256) if less else pair > 0)
+    last = LAST_GATES[less].take(at).astype(np.int64)  # of the last context, the whole beginning
+    return s, np.where(last >= 0, last + (b.place > 2), 4 * longest + b.place)
 
 
 def squash(t: np.ndarray) -> np.ndarray:
@@ -255,10 +267,11 @@ class Spelling:
     def bits(self, words: list[bytes]) -> np.ndarray:
         """Bits of each word."""
         out = [np.empty(0)]
+        weights = (self.known[:, None] + self.by_node).reshape(-1, INPUTS)
         for some in word_groups(words):
             b = bits_of(words[some], self.code)
             s, gate = inputs_of(b, self.table, less=False)
-            t = (s * (self.known[gate] + self.by_node[b.node])).sum(1)
+            t = np.einsum("ij,ij->i", s, weights.take(gate * NODES + b.node, 0))
             p = 0.5 * squash(t) + 0.5 * self.refined[b.node, level(t)]
             out.append(np.bincount(b.word, -np.log2(np.where(b.bit == 1, p, 1 - p)), len(words[some])))
         return np.concatenate(out)
@@ -313,7 +326,7 @@ def fit_spelling(words: DataFrame, work: Scratch) -> Spelling:
             for some in word_groups(found, STEP_LETTERS):
                 b = bits_of(found[some], code)
                 s, gate = inputs_of(b, table, less=True)
-                t = (s * (known.weights[gate] + by_node.weights[b.node])).sum(1)
+                t = np.einsum("ij,ij->i", s, known.weights.take(gate, 0) + by_node.weights.take(b.node, 0))
                 times = c[some][b.word].astype(float)
                 at = b.node * LEVELS + level(t)
                 refined[0] += np.bincount(at, times, NODES * LEVELS)
@@ -354,9 +367,15 @@ class Guesses:
 
 def last_same(key: np.ndarray) -> np.ndarray:
     """The last earlier place of an equal key, or -1."""
-    order = np.argsort(key, kind="stable")
-    out = np.full(len(key), -1, np.int64)
+    # Numbers sort much faster than places by them: the place takes the lowest bits, and keys that differ in these alone are sorted as they are.
+    low = np.uint64(len(key).bit_length())
+    packed = np.sort(key >> low << low | np.arange(len(key), dtype=np.uint64))
+    order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     same = key[order[1:]] == key[order[:-1]]
+    if (packed[1:] >> low == packed[:-1] >> low)[~same].any():
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+    out = np.full(len(key), -1, np.int64)
     out[order[1:][same]] = order[:-1][same]
     return out
 
@@ -419,9 +438,9 @@ class Repeats:
             s, slots, gate = self.inputs(part, guessed[a : a + REPEAT_BLOCK], before[a : a + REPEAT_BLOCK])
             wrong = part.hit - squash((s * self.online.weights[gate]).sum(1))
             self.online.correct(gate, s, wrong, np.ones(len(wrong)))
-            for slot in slots:
-                np.add.at(self.hits, slot[part.hit], 1)
-                np.add.at(self.misses, slot[~part.hit], 1)
+            used, hit = np.concatenate(slots), np.tile(part.hit, len(slots))
+            self.hits += np.bincount(used[hit], minlength=len(self.hits))
+            self.misses += np.bincount(used[~hit], minlength=len(self.misses))
 
     def bits(self, g: Guesses, guessed: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Bits that each guess costs."""
@@ -430,52 +449,71 @@ class Repeats:
         return -np.log2(np.where(g.hit, p, 1 - p))
 
 
-class Numbers(dict):
+def numbering() -> defaultdict[bytes, int]:
     """Numbers of words in the order of their first appearance."""
+    return defaultdict(count().__next__)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, text = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    return words.filter(some).cast(pa.binary()), np.bincount(text[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 def text_batches(batches, columns: int):
-    """Rows with their tokens, TOKENS or a few more at once: lists of the other columns' values, and of token lists."""
-    rows, found, n = [], [], 0
+    """Rows of texts with their words, TOKENS or a few more at once: lists of the other columns' values, the words, and how many each text has."""
+    rows, words, sizes, n = [], [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXT_ROWS):
-            part = batch.slice(at, TEXT_ROWS)
-            for *row, text in zip(*(part.column(k).to_pylist() for k in range(columns)), strict=True):
-                rows.append(row)
-                found.append(tokens(text))
-                n += len(found[-1])
+        for at in range(0, batch.num_rows, SPLIT_ROWS):
+            part = batch.slice(at, SPLIT_ROWS)
+            others = list(zip(*(part.column(k).to_pylist() for k in range(columns - 1)), strict=True))
+            found, size = words_of(part.column(columns - 1))
+            ends, total = np.cumsum(size), np.cumsum(size + 1)  # words, tokens
+            a = 0
+            while a < len(size):
+                done = total[a - 1] if a else 0
+                b = min(int(np.searchsorted(total, done + TOKENS - n)) + 1, len(size))
+                start = ends[a - 1] if a else 0
+                rows += others[a:b]
+                words.append(found.slice(start, ends[b - 1] - start))
+                sizes.append(size[a:b])
+                n += int(total[b - 1] - done)
+                a = b
                 if n >= TOKENS:
-                    yield rows, found
-                    rows, found, n = [], [], 0
+                    yield rows, pa.concat_arrays(words), np.concatenate(sizes)
+                    rows, words, sizes, n = [], [], [], 0
     if rows:
-        yield rows, found
+        yield rows, pa.concat_arrays(words), np.concatenate(sizes)
 
 
-def flat(found: list[list[bytes]], numbers) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all tokens of some texts, and which text each is of."""
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    ids = np.fromiter((numbers[w] for words in found for w in words), np.int64, int(size.sum()))
-    return ids, np.repeat(np.arange(len(found)), size)
+def numbered(words: pa.Array, size: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different tokens of some texts, the number therein of each token, and which text each is of."""
+    coded = words.dictionary_encode()
+    found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+    ids = np.full(len(words) + len(size), len(found))
+    inside = np.ones(len(ids), bool)
+    inside[np.cumsum(size + 1) - 1] = False
+    ids[inside] = coded.indices.to_numpy()
+    return [*found, END], ids, np.repeat(np.arange(len(size)), size + 1)
 
 
 def survey(docs: DataFrame, learn: Column) -> DataFrame:
     """``word, c, chunk, data``: what tasks have counted of words (0 for those that only other texts have), and their vectors of repeats."""
 
     def run(batches):
-        numbers, marks, counts, model = Numbers(), np.empty(0, np.uint32), np.zeros(0, np.int64), Repeats()
+        numbers, marks, counts, model = numbering(), np.empty(0, np.uint32), np.zeros(0, np.int64), Repeats()
 
         def send():
             n = len(numbers)
             return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.binary()), pa.array(counts), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["word", "c", "chunk", "data"])
 
-        for rows, found in text_batches(batches, 2):
-            ids, doc = flat(found, numbers)
+        for rows, words, size in text_batches(batches, 2):
+            found, at, doc = numbered(words, size)
+            ids = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))[at]
             if len(numbers) > len(marks):
-                marks = np.concatenate([marks, np.fromiter((zlib.crc32(w) for w in list(numbers)[len(marks) :]), np.uint32)])
+                marks = np.concatenate([marks, np.fromiter(map(zlib.crc32, islice(numbers, len(marks), None)), np.uint32)])
             mine = np.array([r[0] for r in rows], bool)[doc]
             counts = np.pad(counts, (0, len(numbers) - len(counts)))
             counts += np.bincount(ids[mine], minlength=len(numbers))
@@ -484,9 +522,11 @@ def survey(docs: DataFrame, learn: Column) -> DataFrame:
             model.learn(g, marks[g.guess], marks[ids[g.at - 1]])
             if len(numbers) > HELD:
                 yield send()
-                numbers, marks, counts = Numbers(), np.empty(0, np.uint32), np.zeros(0, np.int64)
+                numbers, marks, counts = numbering(), np.empty(0, np.uint32), np.zeros(0, np.int64)
         if numbers:
             yield send()
+        del numbers, marks, counts
+        pa.default_memory_pool().release_unused()  # the worker goes on to other work
         for b in vector_rows(model.vector()):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *b.columns], ["word", "c", "chunk", "data"])
 
@@ -535,10 +575,13 @@ def score_documents(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", t
         def score(batches):
             place, c, bits, model = hot.value
             base_of, mark_of = np.log10(c + 0.1), np.fromiter(map(zlib.crc32, place), np.uint32, len(place))
-            for some, found in text_batches(batches, 4):
-                numbers = Rest(place)
-                ids, doc = flat(found, numbers)
-                rare = list(numbers.rest)
+            for some, words, size in text_batches(batches, 4):
+                found, at, doc = numbered(words, size)
+                number = np.fromiter(map(place.get, found, repeat(-1)), np.int64, len(found))
+                others = number < 0
+                rare = list(compress(found, others.tolist()))
+                number[others] = len(place) + np.arange(len(rare))
+                ids = number[at]
                 marks = np.concatenate([mark_of, np.fromiter(map(zlib.crc32, rare), np.uint32, len(rare))])
                 g = guesses(ids, doc, marks[ids])
                 spelled_here = np.ones(len(ids), bool)
@@ -571,19 +614,6 @@ def score_documents(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", t
         return staged(out.select(F.col("id").alias(id_col), "learned", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (total * -math.log10(2)).alias("score"), F.try_divide(total, "n_bytes").alias("bits_per_byte")), "scores")
 
 
-class Rest:
-    """Numbers of words: those of a fixed table, and the others after them."""
-
-    def __init__(self, place: dict[bytes, int]) -> None:
-        self.place, self.rest = place, {}
-
-    def __getitem__(self, word: bytes) -> int:
-        n = self.place.get(word)
-        if n is None:
-            n = self.rest.setdefault(word, len(self.place) + len(self.rest))
-        return n
-
-
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` scored, learned from those whose crc32 of the id 10 does not divide."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

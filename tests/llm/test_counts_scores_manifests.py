@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,61 @@ def test_code_and_contexts():
     assert all(abs(scoring.COUNT[c] - m) <= 0.1 * m for c, m in zip(scoring.coded(n)[:-1], n, strict=False))
 
 
+@pytest.mark.parametrize("tokens", [1, 700, 1 << 16])
+def test_words_are_numbered_without_a_call_a_word(monkeypatch, tokens):
+    monkeypatch.setattr(scoring, "TOKENS", tokens)
+    rnd = random.Random(8)
+    texts = [None, "", " ", "\n", "A a\ta a \x1c É é\x85x", " x\x0b\x0cY ", "\x00", "\u3000 ß"] + [" ".join(str(rnd.randint(0, 900)) for _ in range(rnd.randint(0, 90))) for _ in range(200)] + [None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, len(texts[k : k + 90]) + k)), pa.array(texts[k : k + 90], pa.string())], ["row", "text"]) for k in range(0, len(texts), 90)]
+    got, calls, groups = {}, Counter(), []
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        for rows, words, size in scoring.text_batches(iter(batches), 2):
+            groups.append((rows, *scoring.numbered(words, size)))
+    finally:
+        sys.setprofile(None)
+    for rows, found, ids, doc in groups:
+        assert len(set(found)) == len(found)
+        for k, (row,) in enumerate(rows):
+            got[row] = [found[i] for i in ids[doc == k]]
+    assert got == {k: [*(t or "").translate(LOWER).encode().split(), scoring.END] for k, t in enumerate(texts)}
+    n = [len(ids) for *_, ids, _ in groups]
+    assert all(x >= tokens for x in n[:-1]) and calls["call"] < 100 + 100 * len(groups) < (1e9 if tokens == 1 else sum(n))
+
+
+def test_last_same_of_keys_that_share_their_high_bits():
+    rnd = np.random.default_rng(5)
+    for key in (rnd.integers(0, 40, 500), (rnd.integers(0, 4, 500) << 60) + rnd.integers(0, 3, 500), rnd.integers(0, 1 << 62, 9), np.empty(0, int)):
+        key = key.astype(np.uint64)
+        assert scoring.last_same(key).tolist() == [max((j for j in range(i) if key[j] == key[i]), default=-1) for i in range(len(key))]
+
+
+@pytest.mark.parametrize("less", [False, True])
+def test_inputs_are_logs_of_counts(less):
+    code = scoring.huffman(np.ones(257))
+    b = scoring.bits_of([b"abcabc", b"abd", b"", b"xyzzy" * 3, b"abcabc"], code)
+    rnd = np.random.default_rng(6)
+    table = rnd.choice([0, 1, 2, 50, 200, 255], 2 * int(scoring.OFFSETS[-1]), p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.05]).astype(np.uint8)
+    if less:
+        for slot in b.slots:
+            table[2 * slot + b.bit] |= 1  # each has been counted
+    s, gate = scoring.inputs_of(b, table, less)
+    for i in range(0, len(b.bit), 3):
+        longest = third = None
+        for k, (order, _) in enumerate(scoring.ORDERS):
+            n = [int(table[2 * b.slots[k][i] + x]) for x in (0, 1)]
+            left = [scoring.COUNT[n[x]] - (less and b.bit[i] == x) for x in (0, 1)]
+            prior = scoring.PRIOR if order else scoring.LONG_PRIOR
+            assert s[i, k] == pytest.approx(math.log(left[1] + prior) - math.log(left[0] + prior), abs=1e-5)
+            if sum(n) > less:
+                longest = k + 1
+        longest, third = longest or 0, int(b.place[i])
+        if longest == len(scoring.ORDERS):
+            longest += int(scoring.CLASS[max(n)])
+            third = 2 * (min(n[x] - (less and int(b.bit[i]) == x) for x in (0, 1)) == 0) + (b.place[i] > 2)
+        assert gate[i] == 4 * longest + third and s[i, -1] == 1
+
+
 def test_decisions_of_a_model_are_a_distribution(spark):
     """Over all words of two letters at most and everything longer, probabilities add up to 1."""
     from platewise.llm.common import Scratch
