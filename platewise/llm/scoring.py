@@ -50,7 +50,9 @@ REPEAT_GATES, REPEAT_INPUTS = 8, 5
 REPEAT_BLOCK = 1 << 14
 TOKENS = 1 << 16  # of texts that are worked on at once
 SPLIT_ROWS = 64  # texts that are split into words at once
-CHUNK = 1 << 15  # numbers in a row of a vector
+CHUNK = 1 << 12  # numbers in a row of a vector
+CHUNKS_AT_ONCE = 64  # rows of vectors that are sent together
+DEALT = 1 << 10  # groups of rows, at most, that the chunks of a short vector are shared out to
 HELD = 1 << 16  # different words that a task counts before it sends them
 
 
@@ -59,30 +61,43 @@ HELD = 1 << 16  # different words that a task counts before it sends them
 
 def vector_rows(vector: np.ndarray):
     """``chunk, data`` of the parts of a vector that are not all 0."""
-    for k in range(0, len(vector), CHUNK):
-        part = vector[k : k + CHUNK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([part.astype("<f4").tobytes()], pa.binary())], ["chunk", "data"])
+    parts = ((k // CHUNK, vector[k : k + CHUNK]) for k in range(0, len(vector), CHUNK))
+    yield from chunk_rows(((k, part.astype("<f4").tobytes()) for k, part in parts if part.any()))
 
 
-def summed(rows: DataFrame, kind: str = "<f4") -> DataFrame:
-    """Sums of vectors by chunk, in doubles: first within shares of the tasks' rows, then over these; a task holds only its chunks."""
+def chunk_rows(rows):
+    """Record batches of pairs of a chunk's number and bytes, a few at once."""
+    for some in iter(lambda rows=iter(rows): list(islice(rows, CHUNKS_AT_ONCE)), []):
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([data for _, data in some], pa.binary())], ["chunk", "data"])
 
-    def add(kind):
+
+def summed(rows: DataFrame, size: int, finish=None) -> DataFrame:
+    """Sums of vectors (``<f4``) of a known size by chunk, in doubles, or what ``finish`` makes of a sum.
+
+    Chunks are dealt to as many tasks as shuffles have, so that a task holds few sums, and each task is one Python worker. The
+    few chunks of a short vector are first summed within shares of the rows.
+    """
+    parts, chunks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK)
+
+    def add(kind, finish=None):
         def run(batches):
             held: dict[int, np.ndarray] = {}
             for b in batches:
-                for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    v = np.frombuffer(data, kind)
-                    held[k] = held[k] + v if k in held else v.astype(float)
-            for k, v in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype("<f8").tobytes()], pa.binary())], ["chunk", "data"])
+                for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    v = np.frombuffer(data.as_buffer(), kind)
+                    if k in held:
+                        held[k] += v
+                    else:
+                        held[k] = v.astype("<f8")
+            yield from chunk_rows((k, (finish(v) if finish else v).tobytes()) for k, v in held.items())
 
         return run
 
-    share = F.pmod(F.spark_partition_id(), F.lit(32))
-    first = rows.repartition("chunk", share).mapInArrow(add(kind), "chunk int, data binary")
-    return first.repartition("chunk").mapInArrow(add("<f8"), "chunk int, data binary")
+    kind, shares = "<f4", min(32, DEALT // chunks)
+    if shares > 1:
+        share = F.pmod(F.spark_partition_id(), F.lit(shares))
+        rows, kind = rows.repartition(parts, "chunk", share).mapInArrow(add(kind), "chunk int, data binary"), "<f8"
+    return rows.repartition(parts, "chunk").mapInArrow(add(kind, finish), "chunk int, data binary")
 
 
 def gathered(rows: DataFrame, size: int, kind: str = "<f8") -> np.ndarray:
@@ -309,12 +324,8 @@ def fit_spelling(words: DataFrame, work: Scratch) -> Spelling:
                     np.add.at(total, 2 * slot + b.bit, times)
         yield from vector_rows(total)
 
-    def to_bytes(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coded(np.frombuffer(x, "<f8")).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["chunk", "data"])
-
-    tables = work.table(summed(words.mapInArrow(contexts, "chunk int, data binary")).mapInArrow(to_bytes, "chunk int, data binary"), "tables")
-    table = gathered(tables, 2 * int(OFFSETS[-1]), "u1")
+    size = 2 * int(OFFSETS[-1])
+    table = gathered(work.table(summed(words.mapInArrow(contexts, "chunk int, data binary"), size, coded), "tables"), size, "u1")
     spread = spark.sparkContext.broadcast((code, table))
 
     def learn(batches):
@@ -336,8 +347,8 @@ def fit_spelling(words: DataFrame, work: Scratch) -> Spelling:
                 by_node.correct(b.node, s, wrong, times)
         yield from vector_rows(np.concatenate([x for m in (known, by_node) for x in ((m.weights * m.seen[:, None]).ravel(), m.seen)] + [refined.ravel()]))
 
-    learned = work.table(summed(words.mapInArrow(learn, "chunk int, data binary")), "weights")
-    v = gathered(learned, SPELLING)
+    v = gathered(work.table(summed(words.mapInArrow(learn, "chunk int, data binary"), SPELLING), "weights"), SPELLING)
+    spread.destroy()
     at = np.cumsum([0, KNOWN_GATES * INPUTS, KNOWN_GATES, NODES * INPUTS, NODES, NODES * LEVELS, NODES * LEVELS])
     known, seen_known, by_node, seen_node, n, ones = (v[a:b] for a, b in zip(at, at[1:], strict=False))
     middle = np.tile(squash((np.arange(LEVELS) - LEVELS // 2) / 2), NODES)
@@ -528,7 +539,7 @@ def survey(docs: DataFrame, learn: Column) -> DataFrame:
         del numbers, marks, counts
         pa.default_memory_pool().release_unused()  # the worker goes on to other work
         for b in vector_rows(model.vector()):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *b.columns], ["word", "c", "chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.binary()), pa.nulls(len(b), pa.int64()), *b.columns], ["word", "c", "chunk", "data"])
 
     return docs.select(learn.alias("learn"), "text").mapInArrow(run, "word binary, c long, chunk int, data binary")
 
@@ -560,7 +571,7 @@ def score_documents(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", t
     with Scratch(spark, "scoring") as work:
         seen = work.table(survey(rows, F.col("learned")), "survey")
         words = work.table(seen.filter("word is not null").groupBy("word").agg(F.sum("c").alias("c")).sortWithinPartitions(F.xxhash64("word"), "word"), "words")
-        repeats = Repeats(gathered(work.table(summed(seen.filter("chunk is not null").select("chunk", "data")), "repeats"), Repeats.SIZE))
+        repeats = Repeats(gathered(work.table(summed(seen.filter("chunk is not null").select("chunk", "data"), Repeats.SIZE), "repeats"), Repeats.SIZE))
         n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
         spelling = spark.sparkContext.broadcast(fit_spelling(words, work))
 
@@ -611,7 +622,10 @@ def score_documents(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", t
         out = scored.drop("rare", "times", "spelt").join(more, "row", "left")
         total = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
         base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
-        return staged(out.select(F.col("id").alias(id_col), "learned", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (total * -math.log10(2)).alias("score"), F.try_divide(total, "n_bytes").alias("bits_per_byte")), "scores")
+        scores = staged(out.select(F.col("id").alias(id_col), "learned", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (total * -math.log10(2)).alias("score"), F.try_divide(total, "n_bytes").alias("bits_per_byte")), "scores")
+        spelling.destroy()
+        hot.destroy()
+        return scores
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

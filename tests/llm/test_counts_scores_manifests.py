@@ -252,6 +252,35 @@ def test_inputs_are_logs_of_counts(less):
         assert gate[i] == 4 * longest + third and s[i, -1] == 1
 
 
+@pytest.mark.parametrize("chunks", [1, 1100])
+def test_vectors_are_summed_in_tasks_of_few_chunks(spark, chunks):
+    size = chunks * scoring.CHUNK - 5
+    numbers = lambda i: np.random.default_rng(i).integers(0, 100, size)
+
+    def vectors(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from scoring.vector_rows(numbers(i))
+
+    rows = spark.range(0, 6, 1, 3).mapInArrow(vectors, "chunk int, data binary")
+    want = sum(map(numbers, range(6)))
+    got = scoring.summed(rows, size)
+    assert (scoring.gathered(got, size) == want).all()
+    assert (scoring.gathered(scoring.summed(rows, size, scoring.coded), size, "u1") == scoring.coded(want)).all()
+    held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]  # fails where Spark merges small partitions
+    assert sum(held) == chunks and max(held) <= max(1, chunks // 2)
+
+
+def test_no_task_of_a_fit_needs_two_workers(spark, monkeypatch):
+    plans, table = [], scoring.Scratch.table
+    monkeypatch.setattr(scoring.Scratch, "table", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df, name))
+    with scoring.Scratch(spark, "fit") as work:
+        scoring.fit_spelling(spark.createDataFrame([(b"ab", 3), (b"abc", 1)], "word binary, c long"), work)
+    steps = [re.findall(r"MapInArrow|Exchange", p) for p in plans]
+    assert len(steps) == 2 and all("MapInArrow" in x for x in steps)
+    assert not any(a == b == "MapInArrow" for x in steps for a, b in zip(x, x[1:], strict=False))
+
+
 def test_decisions_of_a_model_are_a_distribution(spark):
     """Over all words of two letters at most and everything longer, probabilities add up to 1."""
     from platewise.llm.common import Scratch
