@@ -69,6 +69,12 @@ def test_names(spark):
     assert values(spark, text.first_country(F.col("x"), codes), ["en:france,en:xx", "France", "en:world,en:france", None, "zz"]) == ["FR", "FR", None, None, None]
 
 
+def test_british_name_works_each_term_out_once(spark):
+    """What reads the replaced name several times must not repeat the chain of replacements for each reading."""
+    plan = spark.createDataFrame([("x",)], "x string").select(text.british_name(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("courgette") == 3  # whether it is known (twice: for both cases of the first letter), and the word itself
+
+
 def test_gate_and_ranks(spark):
     rows = [(None, 1.0, 1.0, 1.0), (950.0, 1.0, 1.0, 1.0), (100.0, None, 1.0, 1.0), (100.0, 101.0, 1.0, 1.0), (400.0, 50.0, 30.0, 40.0), (0.0, 2.0, 0.0, 0.0), (300.0, 1.0, 1.0, 1.0), (0.0, 0.0, 0.0, 8.0), (52.0, 0.3, 0.2, 14.0)]
     got = values(spark, foods.reject_reason(*[F.col(c) for c in "kpfc"]), rows, "k double, p double, f double, c double")
