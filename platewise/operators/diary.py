@@ -28,14 +28,26 @@ def calendar(bounds: DataFrame, *, by: str, first: str, last: str, day: str = "d
     return bounds.select(by, F.explode(F.sequence(F.col(first), F.col(last))).alias(day))
 
 
-def day_totals(entries: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
-    """Number of entries and sums by key; sums of nothing but nulls stay null."""
+def day_totals(entries: DataFrame, by: list[str], sums: list[str], order: list[str] | None = None) -> DataFrame:
+    """Number of entries and sums by key; sums of nothing but nulls stay null.
+
+    With ``order``, each key's figures are added one after the other in that order: totals that are rounded afterwards are
+    then the same however the rows were dealt over tasks.
+    """
+    if order is not None:
+        w = Window.partitionBy(*by).orderBy(*order, *sums)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        running = entries.select(*by, F.row_number().over(w).alias("__n"), *[F.sum(c).over(so_far).alias(c) for c in sums])
+        return running.groupBy(*by).agg(F.count("*").alias("entries"), *[F.max_by(c, "__n").alias(c) for c in sums])
     return entries.groupBy(*by).agg(F.count("*").alias("entries"), *[F.sum(c).alias(c) for c in sums])
 
 
-def history(entries: DataFrame, goals: DataFrame, sums: list[str], *, user: str = "user_id", date: str = "log_date") -> DataFrame:
-    """Every calendar day of each user from the first to the last entry, with totals (null on gap days) and the goal in force."""
-    totals = day_totals(entries, [user, date], sums)
+def history(entries: DataFrame, goals: DataFrame, sums: list[str], *, user: str = "user_id", date: str = "log_date", order: list[str] | None = None) -> DataFrame:
+    """Every calendar day of each user from the first to the last entry, with totals (null on gap days) and the goal in force.
+
+    ``order``: as for :func:`day_totals`.
+    """
+    totals = day_totals(entries, [user, date], sums, order)
     span = totals.groupBy(user).agg(F.min(date).alias("first"), F.max(date).alias("last"))
     days = calendar(span, by=user, first="first", last="last", day=date).join(totals, [user, date], "left")
     return asof_join(days, goals, by=user, on=date, start="effective_from", value="calories_target")

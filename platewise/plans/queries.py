@@ -33,8 +33,8 @@ def _history_sql(select: str) -> str:
     return f"with diary as ({v.DIARY_SQL}), goals as ({v.GOALS_SQL}){HISTORY_SQL} {select}"
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
-    return diary.history(v.diary(spark, d), v.goals(spark, d), ["calories"])
+def _history(spark: SparkSession, d: str, order: list[str] | None = None) -> DataFrame:
+    return diary.history(v.diary(spark, d), v.goals(spark, d), ["calories"], order=order)
 
 
 @register(_history_sql("select user_id, log_date, entries, calories, calories_target from history"))
@@ -45,8 +45,9 @@ def daily_intake_vs_goal(spark, d):
 
 @register(_history_sql("select user_id, log_date, coalesce(calories_target, 2000.0::double) as calories_target, floor(coalesce(calories_target, 2000.0) - coalesce(calories, 0) + 0.5) as remaining, case when coalesce(calories_target, 2000.0) > 0 then least(greatest(coalesce(calories, 0) / coalesce(calories_target, 2000.0), 0.0), 1.0) else 0.0 end as progress from history"))
 def remaining_and_progress(spark, d):
-    """What is left of each day's target (a default where none is in force), and the share reached."""
-    h = diary.with_default_goal(_history(spark, d))
+    """What is left of each day's target (a default where none is in force), and the share reached. Sums are taken in the order
+    of the table: what is left is rounded, so another order could give another whole number."""
+    h = diary.with_default_goal(_history(spark, d, ["id"]))
     eaten = F.coalesce("calories", F.lit(0.0))
     return h.select("user_id", "log_date", "calories_target", nutrition.remaining(F.col("calories_target"), eaten).alias("remaining"), nutrition.progress(F.col("calories_target"), eaten).alias("progress"))
 

@@ -1,6 +1,7 @@
 """Operators on small tables with results worked out by hand."""
 
 import datetime
+import itertools
 import json
 
 import pytest
@@ -29,6 +30,18 @@ def test_asof_join_and_gaps(spark):
     assert window == [(1, D(2024, 5, 1)), (1, D(2024, 5, 2)), (1, D(2024, 5, 3))]
 
 
+def test_days_are_summed_in_the_order_of_the_table(spark, tmp_path):
+    """What is left is rounded at a half, so the order of addition shows: rows that are dealt otherwise must not change it."""
+    from platewise.plans.queries import remaining_and_progress
+
+    values, day = (23.82, 8.15, 62.99, 17.74), datetime.datetime(2024, 1, 13, 9)
+    rows = [(u * 10 + 9, day, u, "signup", 73.32, "{}") for u in range(24)]
+    rows += [(u * 10 + i, day, u, "view", values[i], '{"k": 1}') for u, places in enumerate(itertools.permutations(range(4))) for i in places]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    total = ((values[0] + values[1]) + values[2]) + values[3]
+    assert {r.remaining for r in remaining_and_progress(spark, f"file://{tmp_path}").collect()} == {(73.32 * 10 - total + 0.5) // 1}
+
+
 def test_nutrient_sums(spark):
     v = "struct<value:double,qualifiers:array<string>,incomplete:boolean,lower:double,upper:double,lower_inclusive:boolean,upper_inclusive:boolean,dataset:string>"
     one = (0.5, ["LOGICAL_ZERO"], False, None, None, True, True, "x")
