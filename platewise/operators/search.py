@@ -17,6 +17,9 @@ K1, B = 1.2, 0.75
 HEAD_FIRST = ("nevo", "foodfiles")
 #: Letters of a word that a token can be a beginning of.
 LONGEST = 64
+#: Joins with tables that grow with the catalogue or the batch sort and merge. Spark would send such a table to the driver
+#: and to every task as long as its files are small, but files of foods are packed: 8 MB of them are 1,200,000 foods.
+NEVER_SENT = "merge"
 
 
 def build_postings(foods: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def token_scores(tokens: DataFrame, postings: DataFrame, work: Scratch | None =
     """
     beginnings = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
     begun = postings.select("word").distinct().select("word", F.explode(beginnings).alias("token"))
-    hit = tokens.join(begun, "token").join(postings, "word").select("token", "id", "col", "tf")
+    hit = tokens.join(begun.hint(NEVER_SENT), "token").join(postings.hint(NEVER_SENT), "word").select("token", "id", "col", "tf")
     weight = F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("col"))
     per_food = hit.groupBy("token", "id").agg(F.sum(weight * F.col("tf")).alias("wtf"))
     if work is not None:
@@ -49,7 +52,7 @@ def token_scores(tokens: DataFrame, postings: DataFrame, work: Scratch | None =
     df = per_food.groupBy("token").agg(F.count("*").alias("df"))
     if work is not None:
         df = work.table(df, "frequencies")
-    scored = per_food.join(df, "token").join(lengths, "id").crossJoin(F.broadcast(stats))
+    scored = per_food.join(df, "token").join(lengths.hint(NEVER_SENT), "id").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = scored.select("token", "id", part.alias("part"))
@@ -63,11 +66,11 @@ def rarest_first(queries: DataFrame, scored: DataFrame, df: DataFrame) -> DataFr
     follow the rarest token, however common the others are. A query one of whose tokens nothing has is dropped before.
     """
     asked = queries.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
-    known = asked.join(df, "token")
+    known = asked.hint(NEVER_SENT).join(df, "token")
     rare = known.groupBy("query_id").agg(F.first("n").alias("n"), F.count("*").alias("known"), F.min_by(F.struct("token", "at"), F.struct("df", "at")).alias("rare")).filter("known = n")
     rare = rare.select("query_id", "n", F.col("rare.token").alias("token"), F.col("rare.at").alias("rare_at"))
     first = rare.join(scored, "token").select("query_id", "n", "id", "part")
-    rest = asked.select("query_id", "at", "token").join(rare.filter("n > 1").select("query_id", "rare_at"), "query_id").filter("at <> rare_at").select("query_id", "token")
+    rest = asked.select("query_id", "at", "token").hint(NEVER_SENT).join(rare.filter("n > 1").select("query_id", "rare_at"), "query_id").filter("at <> rare_at").select("query_id", "token")
     probed = first.filter("n > 1").withColumnRenamed("part", "rare_part").join(rest, "query_id").join(scored, ["token", "id"])
     several = probed.groupBy("query_id", "id").agg(F.count("*").alias("found"), F.first("n").alias("n"), (F.first("rare_part") + F.sum("part")).alias("bm25")).filter("found = n - 1")
     return first.filter("n = 1").select("query_id", "id", F.col("part").alias("bm25")).unionByName(several.select("query_id", "id", "bm25"))
@@ -246,7 +249,7 @@ def search(queries: DataFrame, foods: DataFrame, served: DataFrame, custom: Data
         postings = work.table(build_postings(foods), "postings")
 
         def matched(asked: DataFrame) -> DataFrame:
-            return work.table(prefix_matches(asked.select("query_id", "tokens"), postings, work).join(foods.select("id", "source"), "id"), "hits")
+            return work.table(prefix_matches(asked.select("query_id", "tokens"), postings, work).join(foods.select("id", "source").hint(NEVER_SENT), "id"), "hits")
 
         mine = one_source(F.col("source"))
         base = queries.withColumn("head", F.lit("")).withColumn("lead_source", F.when(F.col("source").isin(*HEAD_FIRST), F.col("source")).otherwise(""))

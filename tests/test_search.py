@@ -1,6 +1,7 @@
 """Bounded selection and several-word matching: against plain Python, and by their plans."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import search, topk
 from platewise.operators.staging import staged
+from platewise.plans import searches
 
 FOODS = "id long, name string, name_folded string, alias_names string, aliases array<struct<lang:string,name:string>>, search_extra string, brand string, source string, lang string, basic_rank int, quality int, preferred boolean"
 QUERIES = "query_id string, q string, tokens array<string>, languages array<string>, source string, head string, lead_source string, limit int"
@@ -60,6 +62,13 @@ def test_tasks_choose_before_rows_move(spark):
         assert [r.place for r in df.orderBy("place").collect()] == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("name", ["prefix_search"])
+def test_foods_are_never_sent_whole(spark, name):
+    """Files of foods are small for what they hold; plans must not take that for a table that fits a driver."""
+    text = plan(getattr(searches, name)(spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in text and not re.search(r"Broadcast\w+Join \[(id|f_id|word)#", text), text
+
+
 def test_rarest_word_leads(spark):
     table = foods(spark, 1000)
     postings = search.build_postings(table)
