@@ -180,7 +180,7 @@ def shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, scope: Colu
     most = top_limit(queries) if most is None else most
     f = foods.select(*[F.col(c).alias(f"f_{c}") for c in FOOD])
     hits = prefix_matches(queries.select("query_id", "tokens"), postings) if hits is None else hits.select("query_id", "id", "bm25")
-    found = hits.join(queries, "query_id").join(f, F.col("id") == F.col("f_id")).filter(scope)
+    found = hits.join(queries, "query_id").join(f.hint(NEVER_SENT), F.col("id") == F.col("f_id")).filter(scope)
     c = {n: F.col(f"f_{n}") for n in FOOD}
     q, langs, lead = F.col("q"), F.col("languages"), F.col("lead_source")
     is_lead = lead_word(q, c["name_folded"], c["source"], lead)
