@@ -270,7 +270,7 @@ def rank_probes(spark, d):
     f = search_foods(spark, d)
     q = search_queries(spark, d).filter("source = ''").withColumn("head", F.lit("")).withColumn("lead_source", F.lit(""))
     top = search.shelf(q, search.build_postings(f), f, search.national()).filter("place = 1")
-    best = top.select("query_id", "id").join(f, "id").join(q.select("query_id", "q"), "query_id")
+    best = top.select("query_id", "id").join(f.hint(search.NEVER_SENT), "id").join(q.select("query_id", "q"), "query_id")
     head = F.get(F.split("q", " "), F.lit(0))
     return best.select("query_id", audit.bears_word(F.col("name_folded"), F.col("alias_names"), head).alias("named"), (F.col("basic_rank") < 2).alias("plain"))
 
