@@ -132,11 +132,11 @@ def probe_queries(spark: SparkSession) -> DataFrame:
 def rank_probes(foods: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, id, passed`` of the pinned probes: the first national result by the ladder without a reader bears the probe's first
     word in its name or aliases, and is no derivative where the food itself is asked for. No result at all fails."""
-    from .search import national, shelf
+    from .search import NEVER_SENT, national, shelf
 
     probes = probe_queries(foods.sparkSession)
     top = shelf(probes, postings, foods, national()).select("query_id", "id")
-    best = probes.join(top, "query_id", "left").join(foods.select("id", "name", "alias_names", "basic_rank"), "id", "left")
+    best = probes.join(top, "query_id", "left").join(foods.select("id", "name", "alias_names", "basic_rank").hint(NEVER_SENT), "id", "left")
     good = bears_word(F.col("name"), F.col("alias_names"), F.get(F.split("q", " "), F.lit(0))) & ((F.col("basic_rank") < 2) | ~F.col("whole"))
     return best.select("query_id", "id", F.coalesce(good, F.lit(False)).alias("passed"))
 
