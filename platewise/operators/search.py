@@ -199,7 +199,7 @@ def branded_shelf(queries: DataFrame, postings: DataFrame, foods: DataFrame, *,
     """Branded foods for each query: exact names, then begun ones, then others; by bm25 and quality. ``hits``, ``most``: as for :func:`shelf`."""
     most = top_limit(queries) if most is None else most
     hits = prefix_matches(queries.select("query_id", "tokens"), postings) if hits is None else hits.select("query_id", "id", "bm25")
-    found = hits.join(queries.select("query_id", "q", "limit"), "query_id").join(foods.filter("source = 'off'").select("id", "name_folded", "quality"), "id")
+    found = hits.join(queries.select("query_id", "q", "limit"), "query_id").join(foods.filter("source = 'off'").select("id", "name_folded", "quality").hint(NEVER_SENT), "id")
     tier = F.when(F.col("name_folded") == F.col("q"), 0).when(F.startswith("name_folded", F.col("q")), 1).otherwise(2)
     ranked = found.select("query_id", "id", "limit", tier.alias("tier"), F.round("bm25", 9).alias("b"), "quality")
     return top_rows(ranked, ["query_id"], ["tier", F.desc("b"), F.desc("quality"), "id"], F.col("limit"), most).select("query_id", "id", "tier", "place")
