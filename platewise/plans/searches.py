@@ -164,7 +164,7 @@ def match_tiers(spark, d):
     """How well each match fits its query, by the best of five arms."""
     q, f = search_queries(spark, d), search_foods(spark, d)
     hits = search.prefix_matches(q, search.build_postings(f)).select("query_id", "id")
-    rows = hits.join(q.withColumnRenamed("source", "own"), "query_id").join(f, "id")
+    rows = hits.join(q.withColumnRenamed("source", "own"), "query_id").join(f.hint(search.NEVER_SENT), "id")
     lead = F.when(F.col("own").isin(*search.HEAD_FIRST), F.col("own")).otherwise("")
     return rows.select("query_id", "id", search.match_tier(F.col("q"), {c: F.col(c) for c in search.FOOD}, F.col("languages"), lead).alias("tier"))
 

@@ -62,7 +62,7 @@ def test_tasks_choose_before_rows_move(spark):
         assert [r.place for r in df.orderBy("place").collect()] == [1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("name", ["prefix_search", "ranked_shelf", "rank_probes", "pinned_probes", "branded_results"])
+@pytest.mark.parametrize("name", ["prefix_search", "rank_probes", "pinned_probes", "branded_results", "ranked_shelf", "match_tiers"])
 def test_foods_are_never_sent_whole(spark, name):
     """Files of foods are small for what they hold; plans must not take that for a table that fits a driver."""
     text = plan(getattr(searches, name)(spark, "/root/testdata/sf0.001"))
